@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import hilbert, lines, quality
+from folio.llm import decontaminate, hilbert, lines, quality
 from folio.session import table
 
 
@@ -26,10 +26,15 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.sharded(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_line_dedup, op5_hilbert_sharding)}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_line_dedup, op5_hilbert_sharding, op7_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.judged_sql(),
     "op4_line_dedup": lines.digest_sql(),
     "op5_hilbert_sharding": hilbert.sharded_sql(),
+    "op7_decontamination": decontaminate.digest_sql(),
 }
