@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, hilbert, lines, quality
+from folio.llm import decontaminate, hilbert, lines, quality, suffix_tree
 from folio.session import table
 
 
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_docs(spark, sf_dir))
 
 
+def op2_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(_docs(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_docs(spark, sf_dir))
 
@@ -30,7 +34,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_line_dedup, op5_hilbert_sharding, op7_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_tree_score, op4_line_dedup, op5_hilbert_sharding, op7_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.judged_sql(),
