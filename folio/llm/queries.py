@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, hilbert, lines, quality, suffix_tree
+from folio.llm import decontaminate, hilbert, lines, mixing, quality, suffix_tree, urls
 from folio.session import table
 
 
@@ -34,11 +34,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_tree_score, op4_line_dedup, op5_hilbert_sharding, op7_decontamination)}
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_docs(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_tree_score, op4_line_dedup, op5_hilbert_sharding, op7_decontamination, op8_url_filter, op9_source_mixing)}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.judged_sql(),
     "op4_line_dedup": lines.digest_sql(),
     "op5_hilbert_sharding": hilbert.sharded_sql(),
     "op7_decontamination": decontaminate.digest_sql(),
+    "op8_url_filter": urls.judged_sql(),
 }
