@@ -43,8 +43,9 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
 
 def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text after the cut, n_lines and n_dropped."""
+    # A merge join at every size: the table of cuts grows with the documents, so it is never broadcast.
     gone = stage(dropped_positions(docs, min_chars, min_docs), "dropped-lines")
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(gone, "doc_id", "left")
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(gone.hint("merge"), "doc_id", "left")
     d = d.withColumn("lines", F.split("text", "\n", -1))
     n = F.size("lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone")), lambda i: F.get("lines", i))
