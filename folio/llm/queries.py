@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, hilbert, jaccard, lines, mixing, quality, suffix_tree, toxicity, urls
+from folio.llm import decontaminate, hilbert, jaccard, lines, mixing, passages, quality, suffix_tree, toxicity, urls
 from folio.session import table
 
 
@@ -34,6 +34,10 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.sharded(_docs(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_docs(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_tree_score, op3_ngram_jaccard_join, op4_line_dedup, op5_hilbert_sharding, op7_decontamination, op8_url_filter, op9_source_mixing, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_tree_score, op3_ngram_jaccard_join, op4_line_dedup, op5_hilbert_sharding, op6_substring_dedup, op7_decontamination, op8_url_filter, op9_source_mixing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.judged_sql(),
