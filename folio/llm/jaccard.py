@@ -84,17 +84,11 @@ def tree_keys(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def sign_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, k1, k2, keys = [], [], [], []
-        for _, _, data, offsets in tokens.pieces(batch.column("text")):
-            values, n, a, b = gram_sets(data, offsets)
-            counts.append(n)
-            k1.append(a)
-            k2.append(b)
-            keys.append(tree_keys(values, n).ravel())
-        n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
-        columns = [batch.column("doc_id"), tokens.longs(cat(k1)), tokens.longs(cat(k2)), tokens.lists(cat(keys).view(np.int64), np.where(n > 0, TREES, 0))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "keys"])
+        for low, high, data, offsets in tokens.pieces(batch.column("text")):
+            values, n, k1, k2 = gram_sets(data, offsets)
+            keys = tokens.lists(tree_keys(values, n).ravel().view(np.int64), np.where(n > 0, TREES, 0))
+            columns = [batch.column("doc_id").slice(low, high - low), tokens.longs(k1), tokens.longs(k2), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "keys"])
 
 
 def verify_block(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], cross: bool, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

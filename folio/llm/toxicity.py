@@ -152,11 +152,9 @@ def score_task(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for batch in batches:
-            out = []
-            for _, _, data, offsets in tokens.pieces(batch.column("text")):
-                out.append(machine.margin(*machine.rows(*term_sets(data, offsets)))[0])
-            z = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
+            for low, high, data, offsets in tokens.pieces(batch.column("text")):
+                z, _ = machine.margin(*machine.rows(*term_sets(data, offsets)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 
     return run
 
