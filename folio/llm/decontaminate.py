@@ -151,6 +151,29 @@ def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_
     return df
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without any occurrence of a benchmark window; columns as before, no shuffle."""
+
+    def kept(tables: list[tuple]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok = []
+                for _, _, data, offsets in tokens.pieces(batch.column("text")):
+                    w = tokens.words(data, offsets, tokens.ALNUM)
+                    h = w.hashes()
+                    pairs, hl, first = pair(h).tolist(), h.tolist(), w.first.tolist()
+                    word = lambda i, w=w: w.data[w.start[i] : w.end[i]].tobytes()
+                    for a, b in zip(first, first[1:], strict=False):
+                        ok.append(not any(next(search(hl, pairs, a, b, table, word), None) for table in tables))
+                yield batch.filter(pa.array(ok, pa.bool_()))
+
+        return run
+
+    for group in item_groups(benchmark):
+        docs = docs.mapInArrow(kept(Patterns(group, window).coded()), docs.schema)
+    return docs
+
+
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns."""
     found = searched(docs, benchmark)

@@ -121,5 +121,16 @@ def evened(rows: DataFrame, cap: int) -> DataFrame:
     return rows.join(change, "place", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
 
 
+def copied(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """Each document as often as the mix takes it; columns as before. Rows that repeat an id and size share a count."""
+    plan = mixed(docs, weights, cap).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("size", "copies")).alias("_plan"))
+    plan = stage(plan, "mix-plan")
+    # Merge join at every size: the plan grows with the documents.
+    rows = docs.join(plan.hint("merge"), docs.doc_id.eqNullSafe(plan["_id"]))
+    copies = F.filter("_plan", lambda x: x["size"] == text_words())
+    times = F.coalesce(F.get(F.array_sort(copies), F.lit(0))["copies"], F.lit(0)).cast("int")
+    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -111,6 +111,13 @@ def judged(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(True))).alias("kept"))
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The documents whose id is kept; columns as before."""
+    good = stage(judged(docs).where("kept").select(F.col("doc_id").alias("_good")), "good")
+    # Merge join at every size: the ids grow with the documents.
+    return docs.join(good.hint("merge"), docs.doc_id == good["_good"], "left_semi")
+
+
 _FLOORED = " AND ".join([f"m.{m} <= f.high_{m}" for m, _, _ in MEASURES] + [f"m.{m} >= f.low_{m}" for m, _, low in MEASURES if low])
 _LIMITS = ", ".join(f"max(low) FILTER (measure = '{m}') AS low_{m}, max(high) FILTER (measure = '{m}') AS high_{m}" for m, _, _ in MEASURES)
 _SPREADS = " ".join(f"WHEN '{m}' THEN {spread}" for m, spread, _ in MEASURES)
