@@ -43,7 +43,7 @@ def advanced(state: tuple, kind: str, limits: Limits = Limits()) -> tuple:
     return state
 
 
-def state_task(limits: Limits):
+def state_task(limits: Limits, timers: bool):
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = tuple(held.get) if held.exists else FRESH
         if held.hasTimedOut:
@@ -53,16 +53,20 @@ def state_task(limits: Limits):
             for kind in rows["kind"]:
                 state = advanced(state, kind, limits)
         held.update(state)
-        if state[0] == "running" or state[2] == "sending":
+        if timers and (state[0] == "running" or state[2] == "sending"):
             held.setTimeoutDuration((limits.job_seconds + limits.grace_seconds) * 1000)
         yield pd.DataFrame([(key[0], *state)], columns=["check_id", "status", "attempts", "delivery", "delivery_attempts"])
 
     return run
 
 
-def states(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The state of each check after each micro-batch that touches it (ST1, ST3, ST5, ST6)."""
-    return events.groupBy("check_id").applyInPandasWithState(state_task(limits), OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def states(events: DataFrame, limits: Limits = Limits(), timers: bool = True) -> DataFrame:
+    """The state of each check after each micro-batch that touches it (ST1, ST3, ST5, ST6).
+
+    With timers, a check that runs or sends for too long becomes pending by itself; a query that takes
+    what is there and ends (available-now) must go without, since timers keep it waiting."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout
+    return events.groupBy("check_id").applyInPandasWithState(state_task(limits, timers), OUT, STATE, "update", timeout)
 
 
 def states_batch(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
