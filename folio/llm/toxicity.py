@@ -16,10 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import tokens
+from folio.llm.base import stage
 from folio.llm.suffix_tree import held_out
 
 #: Labelled rows that the model learns from; a documented bound.
@@ -57,10 +59,24 @@ def term_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def term_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [term_sets(data, offsets) for _, _, data, offsets in tokens.pieces(batch.column("text"))]
-        if sets:
-            terms = tokens.lists(np.concatenate([s for s, _ in sets]).view(np.int64), np.concatenate([n for _, n in sets]))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), terms], ["toxic", "terms"])
+        for low, high, data, offsets in tokens.pieces(batch.column("text")):
+            hashes, sizes = term_sets(data, offsets)
+            own = batch.slice(low, high - low)
+            yield pa.RecordBatch.from_arrays([own.column("_id").cast(pa.int64()), own.column("toxic"), tokens.lists(hashes.view(np.int64), sizes)], ["id", "toxic", "terms"])
+
+
+def place_task(shared):
+    """Terms of each text as places in the model's sorted terms; others are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Machine(shared.value)
+        for batch in batches:
+            terms = batch.column("terms")
+            sizes = np.asarray(pc.list_value_length(terms)).astype(np.int64)
+            at, known = machine.rows(np.asarray(terms.flatten()).astype(np.int64).view(np.uint64), sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), tokens.lists(at.astype(np.int32), known)], ["id", "toxic", "places"])
+
+    return run
 
 
 class Machine:
@@ -131,20 +147,21 @@ class Machine:
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     rows = labels.where(F.col("toxic").isNotNull() & ~F.coalesce(held_out(F.col("doc_id"), EVERY), F.lit(True))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     picked = rows.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample)
-    texts = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id"))
-    t = texts.select("toxic", "text", "_id").orderBy(F.xxhash64("_id"), "_id", "toxic").select("toxic", "text").mapInArrow(term_task, "toxic int, terms array<long>").toArrow()
-    terms = t["terms"].combine_chunks()
-    y = t["toxic"].to_numpy().astype(float)
-    terms = terms if isinstance(terms, pa.Array) else terms.chunk(0)
-    sizes = np.diff(np.asarray(terms.offsets)) if len(terms) else np.zeros(0, np.int64)
-    flat = np.asarray(terms.flatten()).astype(np.int64).view(np.uint64)
-    values, back, count = np.unique(flat, return_inverse=True, return_counts=True)
-    share = y.mean() if len(y) else 0.5
-    toxic = np.bincount(back, np.repeat(y, sizes), len(values))
-    far = np.abs(toxic - count * share) >= SIFT * np.sqrt(count * share * (1 - share))
-    machine = Machine(values[(count >= MIN_TEXTS) & far])
-    at, sizes = machine.rows(flat, sizes)
-    machine.learn(at, sizes, y)
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # at most `sample` rows
+    terms = stage(texts.select("_id", "toxic", "text").mapInArrow(term_task, "id long, toxic int, terms array<long>"), "toxic-terms")
+    n, toxic = terms.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = toxic / n if n else 0.5
+    seen = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    far = F.abs(F.col("toxic") - F.col("n") * share) >= SIFT * F.sqrt(F.col("n") * (share * (1 - share)))
+    kept = seen.where((F.col("n") >= MIN_TEXTS) & far).select("term").toArrow()["term"].to_numpy()
+    machine = Machine(np.sort(kept.astype(np.int64).view(np.uint64)))
+    # Only terms of the model come to the driver, for at most `sample` texts, in an order that reruns share.
+    rows = terms.mapInArrow(place_task(docs.sparkSession.sparkContext.broadcast(machine.terms)), "id long, toxic int, places array<int>")
+    t = rows.toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
+    places = t["places"].combine_chunks()
+    places = places.chunk(0) if isinstance(places, pa.ChunkedArray) else places
+    at = np.asarray(places.flatten()).astype(np.int64)
+    machine.learn(at, np.asarray(pc.list_value_length(places)).astype(np.int64), t["toxic"].to_numpy().astype(float))
     return machine
 
 
