@@ -16,7 +16,7 @@ star edge for each text. So a group of any size is split over tasks, and no link
 
 Edge cases: texts without words (null, empty) have no grams: they link to nothing and each is its own
 class; a repeated row is a copy of its first; rows that repeat an id with other text count as one
-node; an empty table gives no rows."""
+node; rows without an id have no class and no links; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -213,7 +213,7 @@ def joined(docs: DataFrame, similar: float = SIMILAR, target: float = TARGET) ->
     """doc_id, copy_of (first document with the same words), class_id (first of all that links reach) and n_links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(docs.mapInArrow(sign_task, "doc_id long, k1 long, k2 long, keys array<long>"), "forest-signed")
-    named = signed.where(F.size("keys") > 0)
+    named = signed.where((F.size("keys") > 0) & F.col("doc_id").isNotNull())
     classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     classes = stage(classes, "forest-classes")
     depth = LEVELS
@@ -230,14 +230,16 @@ def joined(docs: DataFrame, similar: float = SIMILAR, target: float = TARGET) ->
     group = components(edges, "links").withColumnRenamed("node", "rep")
     nodes = stage(classes.select("k1", "k2", "rep", "n").join(count, "rep", "left").join(group, "rep", "left"), "forest-nodes")
     out = signed.select("doc_id", "k1", "k2").join(nodes, ["k1", "k2"], "left")
+    out = out.withColumns({c: F.when(F.col("doc_id").isNotNull(), F.col(c)) for c in ("rep", "root", "links", "n")})
     rep = F.coalesce("rep", "doc_id")
     return out.select("doc_id", rep.alias("copy_of"), F.coalesce("root", rep).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"))
 
 
 def kept(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The documents without all but the first of each class; columns as before."""
+    """The documents without all but the first of each class; columns as before. Rows without an id all stay."""
     first = joined(docs, similar).where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
     first = stage(first, "forest-first")
     rows = docs.join(first.hint("merge"), docs.doc_id.cast("long") == F.col("_first"))
     place = F.row_number().over(W.partitionBy("_first").orderBy("_first"))
-    return rows.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    one = rows.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    return one.unionByName(docs.where("doc_id IS NULL"))

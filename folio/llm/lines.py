@@ -5,7 +5,8 @@ documents, and partial counts meet per hash before the shuffle however common a
 positions come back to the texts, which are cut once, in their own row.
 
 Edge cases: null or empty text is one empty line; lines shorter than the least key length always
-stay; a document id that repeats counts as one document and each of its rows is cut alike."""
+stay; a document id that repeats counts as one document and each of its rows is cut alike; rows
+without an id count for no line and lose none."""
 
 from __future__ import annotations
 
@@ -35,7 +36,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     h, g = _hash(F.col("key"))
     hashed = stage(lines.select("doc_id", "pos", h.alias("h"), g.alias("g")), "line-hashes")
     once = hashed.groupBy("h", "g", "doc_id").agg(F.lit(1).alias("one"))
-    common = once.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    common = once.groupBy("h", "g").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     common = stage(common.drop("n"), "common-lines")
     hit = hashed.join(common, ["h", "g"]).where("doc_id <> keeper")
     return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))

@@ -7,7 +7,8 @@ fences are quartiles widened by their distance; a document outside any fence of
 rejected. Counts are exact integers, so reruns and other engines agree.
 
 Edge cases: null text has no words and fails the base rules; empty texts likewise; null lang or
-source are groups of their own; repeated rows are judged each; an empty table gives no rows."""
+source are groups of their own; repeated rows are judged each; rows without an id
+are judged too; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -115,7 +116,7 @@ def kept(docs: DataFrame) -> DataFrame:
     """The documents whose id is kept; columns as before."""
     good = stage(judged(docs).where("kept").select(F.col("doc_id").alias("_good")), "good")
     # Merge join at every size: the ids grow with the documents.
-    return docs.join(good.hint("merge"), docs.doc_id == good["_good"], "left_semi")
+    return docs.join(good.hint("merge"), docs.doc_id.eqNullSafe(good["_good"]), "left_semi")
 
 
 _FLOORED = " AND ".join([f"m.{m} <= f.high_{m}" for m, _, _ in MEASURES] + [f"m.{m} >= f.low_{m}" for m, _, low in MEASURES if low])
