@@ -50,7 +50,7 @@ def source_targets(hist: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFram
             break
         share = new
     most = (F.col("source_size") * cap).cast("double")
-    return stage(s.select("source", "source_size", F.least(F.col("weight") * F.lit(share), most).alias("target"), (F.col("squares").cast("double") / F.greatest(F.col("source_size"), F.lit(1))).alias("scale"), F.coalesce("least", F.lit(1)).alias("least")), "source-targets")
+    return stage(s.select("source", "source_size", F.least(F.col("weight") * F.lit(share), most).alias("target"), F.greatest(F.col("squares").cast("double") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1.0)).alias("scale"), F.coalesce("least", F.lit(1)).alias("least")), "source-targets")
 
 
 def rate(x: Column, size: Column, scale: Column, cap: int = CAP) -> Column:
@@ -77,8 +77,8 @@ def multipliers(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFram
         gap = F.col("words") - F.col("target")
         low, high = F.when(gap < 0, F.col("x")).otherwise(F.col("low")), F.when(gap > 0, F.col("x")).otherwise(F.col("high"))
         n = n.withColumn("low", low).withColumn("high", high)
-        newton = F.col("x") - gap / F.col("slope")
-        inside = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
+        newton = F.col("x") - F.try_divide(gap, F.col("slope"))
+        inside = F.coalesce((newton > F.col("low")) & (newton < F.col("high")), F.lit(False))
         halved = F.when(F.col("low") == -math.inf, F.col("x") * 2 - 1).otherwise((F.col("low") + F.col("high")) / 2)
         settled = F.abs(gap) <= F.col("target") * NEAR
         new = F.when(F.col("done") | settled, F.col("x")).when(inside, newton).otherwise(halved)

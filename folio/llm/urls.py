@@ -95,17 +95,18 @@ def scores(pages: DataFrame) -> DataFrame:
 
 
 def calibrated(binned: DataFrame) -> int:
-    """The least bin that is allowed: the edge of highest balanced accuracy on pages that rules decide."""
-    n = binned.groupBy("bin").agg(F.count_if(F.col("by_rule") == "allow").alias("a"), F.count_if(F.col("by_rule") == "block").alias("b"))
+    """The least bin that is allowed: the first edge of highest balanced accuracy on pages that rules decide,
+    moved to the middle between the bins of theirs that it parts."""
+    n = binned.where("by_rule IS NOT NULL").groupBy("bin").agg(F.count_if(F.col("by_rule") == "allow").alias("a"), F.count_if(F.col("by_rule") == "block").alias("b"))
     rows = sorted(tuple(r) for r in n.collect())  # at most 2 * EDGE + 1 rows
     allowed, blocked = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not allowed or not blocked:
         return 0
-    best, cut, above, under = -1, 0, allowed, 0
+    best, cut, above, under, before = -1, 0, allowed, 0, None
     for at, a, b in rows:
         if (value := above * blocked + under * allowed) > best:
-            best, cut = value, at
-        above, under = above - a, under + b
+            best, cut = value, at if before is None else at - (at - before) // 2
+        above, under, before = above - a, under + b, at
     return cut
 
 
@@ -140,7 +141,7 @@ f0 AS (SELECT DISTINCT gram, {1 / ALPHABET}::DOUBLE AS p, {1 / ALPHABET}::DOUBLE
 r AS (SELECT gram, round(ln(p / q) * {MILLION})::BIGINT AS ratio FROM {last}),
 m AS (SELECT url, greatest(least(floor(sum(ratio)::DOUBLE / (length(url) + 1) / {STEP}), {EDGE}), {-EDGE})::INT AS bin FROM g JOIN r USING (gram) GROUP BY url),
 b AS (SELECT p.*, bin FROM p JOIN m USING (url)),
-k AS (SELECT bin, count(*) FILTER (by_rule = 'allow') AS a, count(*) FILTER (by_rule = 'block') AS b FROM b GROUP BY bin),
-v AS (SELECT bin, (sum(a) OVER () - coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * sum(b) OVER () + coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(a) OVER () AS value, sum(a) OVER () * sum(b) OVER () AS pairs FROM k),
-w AS (SELECT CASE WHEN max(pairs) > 0 THEN arg_min(bin, (-value, bin)) ELSE 0 END AS cut FROM v)
+k AS (SELECT bin, lag(bin) OVER (ORDER BY bin) AS before, a, b FROM (SELECT bin, count(*) FILTER (by_rule = 'allow') AS a, count(*) FILTER (by_rule = 'block') AS b FROM b WHERE by_rule IS NOT NULL GROUP BY bin)),
+v AS (SELECT bin, before, (sum(a) OVER () - coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * sum(b) OVER () + coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(a) OVER () AS value, sum(a) OVER () * sum(b) OVER () AS pairs FROM k),
+w AS (SELECT CASE WHEN max(pairs) > 0 THEN arg_min(bin - (bin - coalesce(before, bin)) // 2, (-value, bin)) ELSE 0 END AS cut FROM v)
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bin >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM b, w"""
