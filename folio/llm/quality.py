@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from folio.llm.base import SPACE_CHARS, SPACE_RE, stage
 
 #: Measure, least spread that its fences assume, and whether it has a lower fence.
-MEASURES = (("word_length", 60, True), ("symbols", 100, False), ("shouts", 100, False), ("capitals", 800, False), ("dup_lines", 1000, False), ("repeats", 400, False))
+MEASURES = (("word_length", 150, True), ("symbols", 100, False), ("shouts", 100, False), ("capitals", 800, False), ("dup_lines", 1500, False), ("repeats", 670, False))
 #: Fences lie this many spreads outside the quartiles.
 REACH = 3
 #: A group's own sketch counts from so many documents.
