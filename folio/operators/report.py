@@ -135,6 +135,27 @@ def advice_message(findings: DataFrame) -> DataFrame:
     return listed(findings, F.coalesce("suggestion", F.lit("")) != "", MOST_ADVICE, F.concat_ws("\n", F.concat(F.lit("• "), F.col("suggestion")), F.when(F.col("location") != "", F.concat(F.lit("  ("), F.col("location"), F.lit(")")))))
 
 
+def summary_message(results: DataFrame) -> DataFrame:
+    """doc_id and the short message on a result: score, counts, notes as message keys."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    counts = [F.concat(F.lit(f"{c}: "), n(c)) for c in ("critical", "errors", "warnings", "passed")]
+    note = F.array_join(score_note(F.col("provisional"), ~F.col("provisional"), F.array().cast("array<string>")), "\n")
+    origin = F.when(F.coalesce("preset_status", F.lit("")) != "department_verified", "pdf.unverified")
+    score = F.concat(F.lit("score: "), score_over_100(F.col("score"), F.col("max_score")).cast("string"), F.lit("/100"))
+    return results.select("doc_id", F.concat_ws("\n", score, *counts, note, origin).alias("text"))
+
+
+def results_message(categories: DataFrame, totals: DataFrame) -> DataFrame:
+    """doc_id and a line for each category in the order of scoring, then the total."""
+    from folio.operators.scoring import SCORED
+
+    place = F.array_position(F.array(*map(F.lit, SCORED)), F.col("category"))
+    line = F.concat("category", F.lit(": "), category_value(F.col("earned_points"), F.col("max_points"), F.col("evaluated"), F.col("coverage")))
+    each = categories.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), line.alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
+    total = F.concat(F.lit("total: "), score_over_100(F.col("score"), F.col("max_score")).cast("string"), F.lit("/100"))
+    return each.join(totals, "doc_id").select("doc_id", F.concat_ws("\n", "lines", total).alias("text"))
+
+
 @pandas_udf(StringType())
 def print_text(s: pd.Series) -> pd.Series:
     """Composed characters, line ends as spaces, controls and variation selectors dropped, markup escaped (P20)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 import json
 import os
 from dataclasses import dataclass, field, fields
@@ -37,6 +38,14 @@ class Settings:
         if any(len(t) < 32 for t in self.api_tokens):
             raise ValueError("API tokens need 32 characters or more")
 
+    def owner(self, token: str | None) -> int | None:
+        """The user of a bearer token, compared in constant time; None if there is none (SEC6)."""
+        found = None
+        for known, user in self.api_tokens.items():
+            if hmac.compare_digest(known.encode(), (token or "").encode()):
+                found = user
+        return found
+
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:
         env = os.environ if env is None else env

@@ -157,3 +157,17 @@ def test_registry_lookups(spark):
     assert [r[0] for r in P.institutions(t).collect()] == ["a", "i"] and P.of_institution(t, "a").first().id == "q"
     with pytest.raises(KeyError):
         P.by_id(t, "r")
+
+
+def test_preview(spark, tmp_path):
+    import yaml
+
+    from folio.preview import checked
+
+    for d in ("docs", "presets"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "presets" / "p.yaml").write_text(yaml.safe_dump(PRESET))
+    (tmp_path / "docs" / "a.docx").write_bytes(SHAPES["correct.docx"])
+    (tmp_path / "docs" / "b.docx").write_bytes(b"no")
+    got = {r.doc_id: r for r in checked(spark, str(tmp_path / "docs"), str(tmp_path / "presets"), "p").collect()}
+    assert got["a.docx"].score > 80 and got["a.docx"].preset_status == "unverified" and got["b.docx"].error_code == "corrupted_document" and got["b.docx"].score is None

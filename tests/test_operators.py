@@ -85,6 +85,10 @@ def test_results_are_nested(spark):
     docs = spark.createDataFrame([(1, "base"), (2, "base")], "doc_id int, preset_id string")
     f = spark.createDataFrame([finding(1, "formatting", "warning", "w"), finding(1, "structure", "critical", "c")], FIELDS)
     r = {x.doc_id: x for x in scoring.results(docs, f, H.presets(spark)).collect()}
+    m = {x.doc_id: x.text.split("\n") for x in report.summary_message(scoring.results(docs, f, H.presets(spark))).collect()}
+    assert m[1] == ["score: 83.0/100", "critical: 1", "errors: 0", "warnings: 1", "passed: 0", "score.provisional", "pdf.unverified"] and m[2][0] == "score: 100.0/100"
+    c = scoring.category_scores(docs, f, H.presets(spark))
+    assert report.results_message(c, scoring.totals(c)).where("doc_id = 1").first().text.split("\n") == ["formatting: 28.5/30", "structure: 13/20", "language: not evaluated", "style: not evaluated", "content: not evaluated", "total: 83.0/100"]
     assert [x.rule_id for x in r[1].findings] == ["c", "w"] and r[1].critical == 1 and len(r[2].category_scores) == 5 and r[2].findings is None
 
 
@@ -326,6 +330,8 @@ def test_settings():
         Settings(max_pages=0)
     with pytest.raises(ValueError):
         Settings(api_tokens={"short": 1})
+    s = Settings(api_tokens={"a" * 32: 7})
+    assert s.owner("a" * 32) == 7 and s.owner("b") is None and s.owner(None) is None
 
 
 def test_advice_leaves_passes(spark):
