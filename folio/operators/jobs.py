@@ -109,7 +109,7 @@ def upserted(users: DataFrame, seen: DataFrame, admins: list[int]) -> DataFrame:
 
 def claimed(checks: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """Pending checks among ids start running and count an attempt; others are left as they are (M4)."""
-    mine = checks.join(F.broadcast(ids.limit(DISPATCH).select(F.col("check_id").alias("_id"))), checks["id"] == F.col("_id"), "left")
+    mine = checks.join(ids.select(F.col("check_id").alias("_id")).distinct(), checks["id"] == F.col("_id"), "left")
     hit = F.col("_id").isNotNull() & (F.col("status") == "pending")
     return changed(mine, hit, status=F.lit("running"), attempts=F.col("attempts") + 1, started_at=now).drop("_id")
 

@@ -41,7 +41,9 @@ def localised(rows: DataFrame, messages: DataFrame, key: str, lang: Column, out:
     """The template of each row's key: in its language, in the default language, the first one, or else the key itself.
 
     args: a map column whose entries fill {name} places; if one is missing the template stays as it is."""
-    c = catalogue(messages.limit(MOST_MESSAGES)).withColumnRenamed("key", "_key")
+    if messages.limit(MOST_MESSAGES + 1).count() > MOST_MESSAGES:
+        raise ValueError(f"at most {MOST_MESSAGES} messages can be broadcast")
+    c = catalogue(messages).withColumnRenamed("key", "_key")
     both = rows.join(F.broadcast(c), rows[key] == c["_key"], "left")
     text = F.coalesce(F.try_element_at("by_lang", F.lower(F.coalesce(lang, F.lit(DEFAULT_LANG)))), F.try_element_at("by_lang", F.lit(DEFAULT_LANG)), "first", F.col(key))
     if args:
