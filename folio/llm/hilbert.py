@@ -123,7 +123,7 @@ def sharded_sql(docs: str = "documents") -> str:
     cell = lambda c: f"(sum(count(*)) OVER (ORDER BY {c} NULLS FIRST) - count(*)) * {1 << BITS} // sum(count(*)) OVER ()"
     return f"""
 WITH b AS (SELECT doc_id, lang, source, coalesce(octet_length(encode(text)), 0)::BIGINT + 8 AS size, coalesce(text, '') AS text FROM {docs}),
-c AS (SELECT *, ({crc32_sql("text")}) AS crc FROM b),
+x AS (SELECT *, hex(encode(text)) AS hx FROM b), c AS (SELECT *, ({crc32_sql("hx")}) AS crc FROM x),
 lx AS (SELECT lang, ({cell("lang")})::INT AS x FROM b GROUP BY lang), sy AS (SELECT source, ({cell("source")})::INT AS y FROM b GROUP BY source),
 s0 AS (SELECT doc_id, size, crc, x, y, least(length(bin(size)), {(1 << BITS) - 1})::INT AS z, 0 AS e, 0 AS r, 0::BIGINT AS h
        FROM c JOIN lx ON c.lang IS NOT DISTINCT FROM lx.lang JOIN sy ON c.source IS NOT DISTINCT FROM sy.source),
@@ -133,13 +133,13 @@ SELECT doc_id, size, crc AS text_crc32, h AS curve, 'rows' AS law, (rank * {SHAR
   (rank - ((rank * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard FROM o"""
 
 
-def crc32_sql(c: str) -> str:
-    """CRC-32 of a string's UTF-8 bytes in SQL: a fold over bytes through the table of the polynomial."""
+def crc32_sql(hx: str) -> str:
+    """CRC-32 in SQL of bytes given as hexadecimal text: a fold over bytes through the table of the polynomial."""
     table = []
     for k in range(256):
         v = k
         for _ in range(8):
             v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
         table.append(v)
-    code = f"list_transform(range(1, length(hex(encode({c}))) // 2 + 1), lambda i: ('0x' || substr(hex(encode({c})), 2 * i - 1, 2))::BIGINT)"
+    code = f"list_transform(range(1, length({hx}) // 2 + 1), lambda i: ('0x' || substr({hx}, 2 * i - 1, 2))::BIGINT)"
     return f"xor(list_reduce({code}, lambda a, b: xor(a >> 8, {table}[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295)"
