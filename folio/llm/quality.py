@@ -49,8 +49,9 @@ def measured(docs: DataFrame) -> DataFrame:
     # Only texts with an equal pair of windows pay for the sort.
     placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = d.withColumn("placed", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), placed)).drop("windows")
-    twin = lambda x, k: (x["h"] == F.get("placed", k - 1)["h"]) | (x["h"] == F.get("placed", k + 1)["h"])
-    d = d.withColumn("at", F.sort_array(F.transform(F.filter("placed", lambda x, k: F.coalesce(twin(x, k), (x["h"] == F.get("placed", k + 1)["h"]), (x["h"] == F.get("placed", k - 1)["h"]), F.lit(False))), lambda x: x["i"]))).drop("placed")
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    twins = F.filter("placed", lambda x, k: same(x, F.get("placed", k - 1)) | same(x, F.get("placed", k + 1)))
+    d = d.withColumn("at", F.sort_array(F.transform(twins, lambda x: x["i"]))).drop("placed")
     covered = F.aggregate("at", F.struct(F.lit(-5).alias("last"), F.lit(0).alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(5), i - s["last"])).alias("n")), lambda s: s["n"])
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
     chars, words, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("word_chars", "n_words", "n_lines"))
