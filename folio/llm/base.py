@@ -87,19 +87,21 @@ def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame
     for _ in range(limit):
         # Large star: each node links its larger neighbours to the least node around it.
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # Written, so that both sides of the join are plain exchanges and a hub's edges can be split over tasks.
+        around = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{name}-around")
+        large = both.join(around, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stage(large.where("a <> b").distinct(), f"{name}-large")
         # Small star: each node links its smaller neighbours, and itself, to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         own = least.select("a", F.col("m").alias("b"))
         new = stage(small.union(own).distinct(), f"{name}-small")
-        changed = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
-        unstage(large)
+        settled = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
+        for used in (around, large, least):
+            unstage(used)
         unstage(e)
         e = new
-        if changed:
+        if settled:
             break
     else:
         raise RuntimeError("components did not settle")
