@@ -129,7 +129,8 @@ def chains(x0: list[int], x1: list[int], y0: list[int], y1: list[int], weight: l
         j, last = i, i
         while j >= 0 and not used[j]:
             used[j], last, j = True, j, before[j]
-        gained = score[i] - (score[j] if j >= 0 else 0)
+        # A chain cut at a segment used before counts its own weights only, not the cost of the gap to it.
+        gained = score[i] - score[last] + weight[last]
         if gained >= MIN_CHAIN:
             out.append((x0[last], x1[i], y0[last], y1[i], gained))
     return out

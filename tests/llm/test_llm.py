@@ -359,6 +359,15 @@ def test_chains_and_alignment():
         assert tree.upto(5)[0] == max(best[:5])
 
 
+@pytest.mark.parametrize("sizes", [(200, 150, 60), (1000, 1000, 60), (60, 150, 200)])
+def test_distant_passages_of_a_pair_are_found(spark, sizes):
+    one, between, two = sizes
+    new = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    texts = [(i, " ".join(new("p", one) + new(f"x{i}", between) + new("q", two))) for i in range(2)]
+    got = rows(passages.repeated(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got == sorted([(1, 0, one, 0, 0, one, one), (1, one + between, two, 0, one + between, two, two)], key=repr)
+
+
 def test_passages_edges(edge, empty):
     got = {(r.doc_id, r.first_id) for r in passages.repeated(edge).collect()}
     assert got == {(12, 11), (13, 11)}
