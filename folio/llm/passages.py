@@ -16,6 +16,7 @@ table gives no rows. Positions count words from 0."""
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ JOIN = 32
 MARGIN, SKIP, SURE = 96, 6, 3
 #: Edits for each word that a passage may have.
 EDITS = 0.4
-CHAIN = "doc_id long, first_id long, start int, stop int, first_start int, first_stop int, score double"
+CHAIN = "doc_id long, first_id long, start int, stop int, first_start int, first_stop int, score double, parts array<int>"
 
 
 def minimizers(values: np.ndarray, ok: np.ndarray) -> np.ndarray:
@@ -107,8 +108,8 @@ class Fenwick:
         return out
 
 
-def chains(x0: list[int], x1: list[int], y0: list[int], y1: list[int], weight: list[int]) -> list[tuple[int, int, int, int, float]]:
-    """Best chains of segments [x0, x1) to [y0, y1): (start, stop, first_start, first_stop, score), segments used once."""
+def traced(x0: list[int], x1: list[int], y0: list[int], y1: list[int], weight: list[int]) -> list[tuple[list[int], float]]:
+    """Best chains of segments [x0, x1) to [y0, y1): their segments in order, each used once, and their score."""
     n = len(x0)
     ends = sorted(set(y1))
     tree = Fenwick(len(ends))
@@ -126,16 +127,24 @@ def chains(x0: list[int], x1: list[int], y0: list[int], y1: list[int], weight: l
     for i in sorted(range(n), key=lambda i: (-score[i], i)):
         if used[i]:
             continue
-        j, last = i, i
+        j, path = i, []
         while j >= 0 and not used[j]:
-            used[j], last, j = True, j, before[j]
+            used[j] = True
+            path.append(j)
+            j = before[j]
+        last = path[-1]
         # A chain cut at a segment used before counts its own weights only, not the cost of the gap to it.
         gained = score[i] - score[last] + weight[last]
         if gained >= MIN_CHAIN:
-            out.append((x0[last], x1[i], y0[last], y1[i], gained))
+            out.append((path[::-1], gained))
     return out
 
 
+def chains(x0: list[int], x1: list[int], y0: list[int], y1: list[int], weight: list[int]) -> list[tuple[int, int, int, int, float]]:
+    """The chains of traced as (start, stop, first_start, first_stop, score)."""
+    return [(x0[path[0]], x1[path[-1]], y0[path[0]], y1[path[-1]], score) for path, score in traced(x0, x1, y0, y1, weight)]
+
+
 def chain_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains of each (doc_id, first_id); rows come sorted by both, diagonal and position."""
     rest: np.ndarray | None = None
@@ -159,12 +168,14 @@ def chain_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = np.flatnonzero(other[begin])
         for a, b in zip(groups, np.r_[groups[1:], len(begin)], strict=True):
             s = slice(a, b)
-            for c in chains(x0[s].tolist(), x1[s].tolist(), (x0[s] - shift[s]).tolist(), (x1[s] - shift[s]).tolist(), weight[s].tolist()):
-                yield int(doc[begin[a]]), int(first[begin[a]]), *c
+            ends = [x0[s].tolist(), x1[s].tolist(), (x0[s] - shift[s]).tolist(), (x1[s] - shift[s]).tolist()]
+            for path, score in traced(*ends, weight[s].tolist()):
+                span = [ends[k][path[-(k % 2)]] for k in range(4)]
+                yield int(doc[begin[a]]), int(first[begin[a]]), *span, score, [e[i] for i in path for e in ends]
 
     def sent(found: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-        columns = zip(*found, strict=True) if found else [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()))
+        columns = zip(*found, strict=True) if found else [()] * 8
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in CHAIN.split(", ")])
 
     for batch in batches:
@@ -204,6 +215,9 @@ def slice_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edits(a: list[int], b: list[int], most: int) -> int | None:
     """Words to drop from a or b until they are equal (the greedy walk over diagonals); None if more than most."""
     n, m = len(a), len(b)
+    # No alignment can keep more words than both have.
+    if n + m - 2 * (Counter(a) & Counter(b)).total() > most:
+        return None
     reach = {1: 0}
     for d in range(most + 1):
         for k in range(-d, d + 1, 2):
@@ -248,18 +262,47 @@ def aligned(a: list[int], span: tuple[int, int], b: list[int], first: tuple[int,
     return s - left, e + right, fs - first_left, fe + first_right, core + left_wrong + right_wrong
 
 
+def equal_runs(a: list[int], b: list[int], part: tuple[int, int, int, int]) -> list[tuple[int, int, int, int]]:
+    """Runs of equal words on the diagonal of a segment."""
+    s, e, fs, _ = part
+    same = np.r_[False, np.array(a[s:e]) == np.array(b[fs : fs + e - s]), False]
+    turns = np.flatnonzero(same[1:] != same[:-1]).tolist()
+    return [(s + i, s + j, fs + i, fs + j) for i, j in zip(turns[::2], turns[1::2], strict=True)]
+
+
+def parted(a: list[int], b: list[int], parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """What aligned gives for a chain of segments, or for its parts where the whole differs too much.
+
+    A chain is split at its largest gap, a segment at the words that differ, until each part is judged."""
+    out, open_parts = [], [parts]
+    while open_parts:
+        p = open_parts.pop()
+        s, e, fs, fe = p[0][0], p[-1][1], p[0][2], p[-1][3]
+        if any(s >= x[0] and e <= x[1] and fs >= x[2] and fe <= x[3] for x in out):
+            continue  # a neighbour has grown over it
+        if found := aligned(a, (s, e), b, (fs, fe)):
+            out.append(found)
+        elif len(p) > 1:
+            gap = lambda k: (p[k][0] - p[k - 1][1] + p[k][2] - p[k - 1][3], -abs(2 * k - len(p)))  # noqa: B023, E731
+            cut = max(range(1, len(p)), key=gap)
+            open_parts += [p[cut:], p[:cut]]
+        elif len(runs := equal_runs(a, b, p[0])) > 1:
+            open_parts.append(runs)
+    return out
+
+
 def align_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("chain", "start", "words", "first_start", "first_words", "matched")
     for batch in batches:
         out = []
         c = {x: batch.column(x) for x in batch.schema.names}
-        spans = {x: c[x].to_pylist() for x in ("chain", "start", "stop", "first_start", "first_stop", "low", "first_low")}
+        spans = {x: c[x].to_pylist() for x in ("chain", "parts", "low", "first_low")}
         for r in range(len(batch)):
             a, b = c["own_words"][r].values.to_pylist(), c["other_words"][r].values.to_pylist()
             low, first_low = spans["low"][r], spans["first_low"][r]
-            found = aligned(a, (spans["start"][r] - low, spans["stop"][r] - low), b, (spans["first_start"][r] - first_low, spans["first_stop"][r] - first_low))
-            if found:
-                s, e, fs, fe, wrong = found
+            p = spans["parts"][r]
+            parts = [(p[k] - low, p[k + 1] - low, p[k + 2] - first_low, p[k + 3] - first_low) for k in range(0, len(p), 4)]
+            for s, e, fs, fe, wrong in parted(a, b, parts):
                 if min(e - s, fe - fs) >= MIN_WORDS:
                     out.append((spans["chain"][r], s + low, e - s, fs + first_low, fe - fs, (e - s + fe - fs - wrong) // 2))
         columns = list(zip(*out, strict=True)) if out else [()] * 6
@@ -283,7 +326,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     words = stage(one.mapInArrow(slice_task, "chain long, side int, low int, words array<int>"), "chain-words")
     own = words.where("side = 0").select("chain", "low", F.col("words").alias("own_words"))
     other = words.where("side = 1").select("chain", F.col("low").alias("first_low"), F.col("words").alias("other_words"))
-    spans = found.select("chain", "start", "stop", "first_start", "first_stop")
+    spans = found.select("chain", "parts")
     done = spans.join(own, "chain").join(other, "chain").mapInArrow(align_task, "chain long, start long, words long, first_start long, first_words long, matched long")
     out = done.join(found.select("chain", "doc_id", "first_id"), "chain")
     return out.select("doc_id", "start", "words", "first_id", "first_start", "first_words", "matched").distinct()

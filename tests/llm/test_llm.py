@@ -368,6 +368,19 @@ def test_distant_passages_of_a_pair_are_found(spark, sizes):
     assert got == sorted([(1, 0, one, 0, 0, one, one), (1, one + between, two, 0, one + between, two, two)], key=repr)
 
 
+@pytest.mark.parametrize(("size", "inserted"), [(200, 650), (80, 240)])
+def test_passages_around_an_insertion_are_found(spark, size, inserted):
+    new = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    texts = [(0, " ".join(new("p", size) + new("q", size))), (1, " ".join(new("p", size) + new("x", inserted) + new("q", size)))]
+    got = rows(passages.repeated(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got == sorted([(1, 0, size, 0, 0, size, size), (1, size + inserted, size, 0, size, size, size)], key=repr)
+    # A segment that differs too much as a whole, with a passage in it.
+    a = list(range(60)) + [w for i in range(20) for w in [*range(1000 + 30 * i, 1024 + 30 * i), *range(100 + 6 * i, 106 + 6 * i)]]
+    b = list(range(60)) + [w for i in range(20) for w in [*range(5000 + 30 * i, 5024 + 30 * i), *range(100 + 6 * i, 106 + 6 * i)]]
+    assert passages.aligned(a, (0, len(a)), b, (0, len(b))) is None
+    assert any(s == fs == 0 and e == fe >= 60 for s, e, fs, fe, _ in passages.parted(a, b, [(0, len(a), 0, len(b))]))
+
+
 def test_passages_edges(edge, empty):
     got = {(r.doc_id, r.first_id) for r in passages.repeated(edge).collect()}
     assert got == {(12, 11), (13, 11)}
