@@ -6,7 +6,10 @@ occurrence, the one of least doc_id, never to all others: matches grow with the
 square of a passage's copies. For each document and first document, runs of matches on a diagonal are
 segments; segments are chained in both orders with a cost for gaps, by a Fenwick tree over the first
 document's positions. Chains are aligned word by word and grown at both ends, which also joins what
-other first occurrences took out of a chain. A passage is reported by the document that repeats it
+other first occurrences took out of a chain. Where the seeds of a run have first occurrences in several
+documents, no chain may show who has the whole run: runs of repeated seeds that no passage covers are
+searched again by their grams of MIN_WORDS words, each joined to the first document that has it. So each
+exact repeat of MIN_WORDS words is found, whatever else holds parts of it. A passage is reported by the document that repeats it
 and the first document that has it, with its place in both.
 
 Edge cases: null and empty texts and texts under K words have no seeds; passages under MIN_WORDS words
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm import tokens
@@ -309,15 +313,9 @@ def align_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], list(names))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, start, words, first_id, first_start, first_words, matched of each repeated passage."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    seeds = docs.mapInArrow(seed_task, "seed long, doc_id long, pos int, lead boolean")
-    spread = seeds.groupBy("seed").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.expr("min_by(pos, doc_id) FILTER (WHERE lead)").alias("first_pos"))
-    spread = stage(spread.where("first_id < last_id").drop("last_id"), "seed-firsts")
-    matches = seeds.join(spread, "seed").where("doc_id <> first_id").select("doc_id", "first_id", (F.col("pos") - F.col("first_pos")).alias("diagonal"), "pos")
-    n = shuffle_parts(spark)
+def reported(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """The passages around matches (doc_id, first_id, diagonal, pos) of K words."""
+    n = shuffle_parts(docs.sparkSession)
     matches = matches.repartition(n, "doc_id", "first_id").sortWithinPartitions("doc_id", "first_id", "diagonal", "pos")
     found = stage(matches.mapInArrow(chain_task, CHAIN).distinct().withColumn("chain", F.monotonically_increasing_id()), "chains")
     sides = found.select("chain", F.lit(0).alias("side"), "doc_id", "start", "stop").union(found.select("chain", F.lit(1), "first_id", "first_start", "first_stop"))
@@ -330,3 +328,86 @@ def repeated(docs: DataFrame) -> DataFrame:
     done = spans.join(own, "chain").join(other, "chain").mapInArrow(align_task, "chain long, start long, words long, first_start long, first_words long, matched long")
     out = done.join(found.select("chain", "doc_id", "first_id"), "chain")
     return out.select("doc_id", "start", "words", "first_id", "first_start", "first_words", "matched").distinct()
+
+
+def long_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seed, doc_id, pos, open) for each gram of MIN_WORDS words inside the runs; open if passages don't cover it."""
+
+    def inside(spans: list, w: tokens.Words, start: int) -> np.ndarray:
+        """How many words before each one lie in the spans of their text."""
+        mask = np.zeros(int(w.first[-1]), bool)
+        for d in range(len(w.first) - 1):
+            for x in spans[start + d] or ():
+                mask[min(w.first[d] + x["low"], w.first[d + 1]) : min(w.first[d] + x["high"], w.first[d + 1])] = True
+        return np.r_[0, np.cumsum(mask)]
+
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        runs, covered = (batch.column(c).to_pylist() for c in ("runs", "covered"))
+        for start, _, data, offsets in tokens.pieces(batch.column("text")):
+            w = tokens.words(data, offsets)
+            values, ok = tokens.grams(w.hashes(), w.first, MIN_WORDS)
+            at = np.flatnonzero(ok)
+            within, under = inside(runs, w, start), inside(covered, w, start)
+            at = at[within[at + MIN_WORDS] - within[at] == MIN_WORDS]
+            owner = np.searchsorted(w.first, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([tokens.longs(values[at]), pa.array(ids[start + owner]), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(under[at + MIN_WORDS] - under[at] < MIN_WORDS)], ["seed", "doc_id", "pos", "open"])
+
+
+def cover_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the matches of MIN_WORDS words of each (doc_id, first_id), as few as cover the same words; rows come sorted by both and pos.
+
+    In a text that repeats a few words over and over all matches have one place in the first document."""
+    key, end, later = None, 0, None
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first_id", "diagonal", "pos")), strict=True):
+            pos = row[3]
+            if later and (row[:2] != key or pos > end):
+                out.append(later)
+                end, later = later[3] + MIN_WORDS, None
+            if row[:2] != key or pos > end:
+                out.append(row)
+                key, end = row[:2], pos + MIN_WORDS
+            else:
+                later = row
+        yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "first_id", "diagonal", "pos"), r, strict=True)) for r in out], batch.schema)
+    if later:
+        yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "first_id", "diagonal", "pos"), later, strict=True))], batch.schema)
+
+
+def long_matches(docs: DataFrame, hits: DataFrame, done: DataFrame) -> DataFrame:
+    """Matches of MIN_WORDS words that the passages in done don't cover, with the first document that has all of them.
+
+    hits are the places of all seeds that several documents have. In a repeated run of MIN_WORDS words
+    they lie at most WINDOW apart, so only such runs are searched."""
+    by = W.partitionBy("doc_id").orderBy("pos")
+    new = F.when(F.col("pos") - F.lag("pos").over(by) <= WINDOW, 0).otherwise(1)
+    runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where(F.col("b") - F.col("a") >= MIN_WORDS - K - 2 * (WINDOW - 1))
+    span = F.struct(F.greatest(F.col("a") - (WINDOW - 1), F.lit(0)).cast("long").alias("low"), (F.col("b") + K + WINDOW - 1).cast("long").alias("high"))
+    runs = runs.groupBy("doc_id").agg(F.collect_list(span).alias("runs"))
+    covered = done.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").alias("low"), (F.col("start") + F.col("words")).alias("high"))).alias("covered"))
+    # Merge joins at every size, as above.
+    texts = docs.join(runs.join(covered.hint("merge"), "doc_id", "left").hint("merge"), "doc_id").select("doc_id", "text", "runs", "covered")
+    grams = stage(texts.mapInArrow(long_task, "seed long, doc_id long, pos int, open boolean"), "long-grams")
+    first = grams.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("x"), F.max("doc_id").alias("last_id"), F.max("open").alias("any_open"))
+    first = first.where("any_open AND x.doc_id < last_id").select("seed", F.col("x.doc_id").alias("first_id"), F.col("x.pos").alias("first_pos"))
+    found = grams.where("open").join(first.hint("merge"), "seed").where("doc_id <> first_id")
+    found = found.select("doc_id", "first_id", (F.col("pos") - F.col("first_pos")).alias("diagonal"), "pos")
+    found = found.repartition(shuffle_parts(docs.sparkSession), "doc_id", "first_id").sortWithinPartitions("doc_id", "first_id", "pos")
+    found = found.mapInArrow(cover_task, "doc_id long, first_id long, diagonal int, pos int")
+    # As matches of K words: its first, middle and last.
+    each = F.explode(F.array(*(F.lit(x) for x in (0, (MIN_WORDS - K) // 2, MIN_WORDS - K))))
+    return found.select("doc_id", "first_id", "diagonal", "pos", each.alias("on")).withColumn("pos", F.col("pos") + F.col("on")).drop("on").distinct()
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc_id, start, words, first_id, first_start, first_words, matched of each repeated passage."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    seeds = docs.mapInArrow(seed_task, "seed long, doc_id long, pos int, lead boolean")
+    spread = seeds.groupBy("seed").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.expr("min_by(pos, doc_id) FILTER (WHERE lead)").alias("first_pos"))
+    spread = stage(spread.where("first_id < last_id").drop("last_id"), "seed-firsts")
+    hits = stage(seeds.join(spread, "seed").select("doc_id", "first_id", (F.col("pos") - F.col("first_pos")).alias("diagonal"), "pos"), "seed-hits")
+    done = stage(reported(docs, hits.where("doc_id <> first_id")), "passages")
+    return done.union(reported(docs, long_matches(docs, hits.select("doc_id", "pos"), done))).distinct()

@@ -381,6 +381,27 @@ def test_passages_around_an_insertion_are_found(spark, size, inserted):
     assert any(s == fs == 0 and e == fe >= 60 for s, e, fs, fe, _ in passages.parted(a, b, [(0, len(a), 0, len(b))]))
 
 
+@pytest.mark.parametrize("size", [60, 50])
+def test_passage_in_parts_of_earlier_documents_is_found(spark, size):
+    new = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    p = new("p", size)
+    # Parts of 30 words, and each 14 words at another place, stand in earlier documents.
+    parts = [(1, p[:30]), (2, p[30:]), *((10 + k, p[k : k + 14]) for k in range(0, size, 7))]
+    texts = [(i, " ".join(new(f"a{i}x", 40) + w + new(f"b{i}x", 40))) for i, w in [*parts, (50, p), (90, p), (95, p)]]
+    got = rows(passages.repeated(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got == [(90, 40, size, 50, 40, size, size), (95, 40, size, 50, 40, size, size)]
+
+
+def test_cover_keeps_few_matches_and_all_words():
+    rng = random.Random(11)
+    names = ["doc_id", "first_id", "diagonal", "pos"]
+    places = [(d, f, p, p) for d in range(3) for f in range(2) for p in sorted(rng.sample(range(900), 120))] + [(9, 0, p, p) for p in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*places[k : k + 70], strict=True)], names) for k in range(0, len(places), 70)]
+    kept = [tuple(r.values()) for b in passages.cover_task(iter(batches)) for r in b.to_pylist()]
+    words = lambda rows: {(d, f, p + k) for d, f, _, p in rows for k in range(passages.MIN_WORDS)}
+    assert words(kept) == words(places) and set(kept) <= set(places) and sum(r[0] == 9 for r in kept) <= 10
+
+
 def test_passages_edges(edge, empty):
     got = {(r.doc_id, r.first_id) for r in passages.repeated(edge).collect()}
     assert got == {(12, 11), (13, 11)}
