@@ -5,8 +5,8 @@ one key for each text: LEVELS min-hash digits, packed into a long from the root
 order of keys is the order of the trie and its nodes at depth k are the runs of equal k-digit prefix.
 Texts that share a node at the matched depth in any tree are candidates. Candidates are verified by
 their exact similarity, in blocks. From the links found, each weighed by the chance that the forest
-had to find a pair so similar, the share of links found is estimated; while it is below the target,
-the matched prefix is shortened by one digit and the join repeated.
+had to find a pair so similar, the share of links found is estimated. The matched prefix is shortened by
+one digit and the join repeated until that share meets the target and the last digit brought no new link.
 
 Work stays linear in rows and pairs never become rows. Equal word sequences are one class and only
 its first document takes part. Candidates are joined to one star for each trie node; connected groups
@@ -216,15 +216,17 @@ def joined(docs: DataFrame, similar: float = SIMILAR, target: float = TARGET) ->
     named = signed.where((F.size("keys") > 0) & F.col("doc_id").isNotNull())
     classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     classes = stage(classes, "forest-classes")
-    depth = LEVELS
+    depth, before = LEVELS, None
     while True:
         found = verified(docs, classes, depth, similar)
         links = found.where("kind = 2").groupBy("a").agg(F.sum("b").alias("n")).collect()  # at most 101 rows
         seen = sum(r.n for r in links)
-        due = sum(r.n / chance(min(1.0, (r.a + 0.5) / 100), depth) for r in links)
-        if depth == 1 or seen >= target * due:
+        # By the lower edge of each bin, where the chance is least.
+        due = sum(r.n / chance(max(similar, r.a / 100), depth) for r in links)
+        # What was found can't tell of similarities that the forest missed; only a shorter prefix can.
+        if depth == 1 or (seen == before and seen >= target * due):
             break
-        depth -= 1
+        depth, before = depth - 1, seen
     count = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     edges = found.where("kind = 1").select("a", "b")
     group = components(edges, "links").withColumnRenamed("node", "rep")

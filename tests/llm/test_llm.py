@@ -225,6 +225,24 @@ def test_jaccard_shortens_to_the_target(spark, monkeypatch):
     assert jaccard.chance(0.8, jaccard.LEVELS) > 0.999
 
 
+def test_jaccard_finds_links_that_the_first_depth_misses(spark):
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    pairs = []
+    for _ in range(6000):  # similarity 0.8: 80 grams of 100
+        w = [word() for _ in range(94)]
+        pairs += [" ".join(w), " ".join(w[:84] + [word() for _ in range(10)])]
+    keys = np.concatenate([jaccard.tree_keys(*jaccard.gram_sets(data, offsets)[:2]) for _, _, data, offsets in tokens.pieces(pa.array(pairs))])
+    missed = np.flatnonzero((keys[::2] != keys[1::2]).all(axis=1)).tolist()
+    assert missed
+    texts = [(2 * i + k, pairs[2 * i + k]) for i in [*missed, *(j for j in range(40) if j not in missed)] for k in range(2)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.joined(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in texts}
+    # Also where nothing at all is found at first.
+    got = jaccard.joined(spark.createDataFrame(texts[: 2 * len(missed)], "doc_id long, text string")).collect()
+    assert {r.n_links for r in got} == {1}
+
+
 def test_jaccard_edges(edge, empty):
     got = rows(jaccard.joined(edge))
     by = {r[0]: r for r in got}
