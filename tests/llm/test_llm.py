@@ -94,19 +94,65 @@ def test_quality_counts_on_edges(edge):
     assert {r.kept for r in quality.judged(edge).where("base_failed").collect()} == {False}
 
 
-def test_quality_rejects_outliers_and_keeps_clean(spark):
+def clean_texts(rng, n, size):
+    """Sentences of varied words, with some punctuation and capitals."""
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    texts = []
+    for _ in range(n):
+        ws = [word() for _ in range(size + rng.randrange(size // 4))]
+        for k in range(0, len(ws), rng.randrange(6, 12)):
+            ws[k] = ws[k].capitalize()
+            ws[k - 1] += rng.choice((".", ",", "."))
+        texts.append(" ".join(ws))
+    return texts
+
+
+OUTLIERS = {"word_length high": lambda w: w * 4, "word_length low": lambda w: w[:1], "punctuation high": lambda w: w + " ,;", "capitals high": str.upper}
+
+
+@pytest.mark.parametrize("name", OUTLIERS)
+def test_every_fence_rejects_its_outlier_and_keeps_clean(spark, name):
     rng = random.Random(1)
-    clean = [(i, " ".join(rng.choice(("river", "stone", "cloud", "window", "garden", "letter")) + str(rng.randrange(500)) for _ in range(80)), "en", f"s{i % 2}", 1) for i in range(160)]
-    junk = [(1000 + i, " ".join(f"### {rng.randrange(9**6)} $$$" for _ in range(60)), "en", "s0", 1) for i in range(8)]
-    d = spark.createDataFrame(clean + junk, DOCS)
+    clean = clean_texts(rng, 240, 80)
+    odd = [" ".join(OUTLIERS[name](w) for w in t.split()) for t in clean_texts(rng, 6, 80)]
+    d = spark.createDataFrame([(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(clean + odd)], DOCS)
     kept = {r.doc_id for r in quality.kept(d).collect()}
-    assert kept == {r[0] for r in clean}
+    assert not kept & set(range(240, 246)) and len(kept) >= 238
+
+
+def test_fences_follow_their_group(spark):
+    """What is usual in one source is out of bounds in another, and nothing but the sketch says so."""
+    rng = random.Random(3)
+    plain, loud = clean_texts(rng, 120, 80), [t.upper() if i % 2 else t for i, t in enumerate(clean_texts(rng, 120, 80))]
+    d = spark.createDataFrame([(i, t, "en", "plain", 1) for i, t in enumerate([*plain, loud[1]])] + [(1000 + i, t, "en", "loud", 1) for i, t in enumerate(loud)], DOCS)
+    kept = {r.doc_id for r in quality.kept(d).collect()}
+    assert 120 not in kept and len([i for i in kept if i >= 1000]) >= 118
+
+
+def test_no_width_is_fixed(spark):
+    """A fence scales with its group: values of ten times the spread move it ten times as far."""
+    def bounds(scale):
+        rows = [("en", "s", 5, m, 64 * 1024 + scale * (k % 9) * 4096, 10) for k in range(9) for m, _ in quality.MEASURES]
+        s = spark.createDataFrame(rows, "lang string, source string, size_class int, measure string, bin long, n long")
+        return quality.fences(s).first()
+
+    one, ten, none = bounds(1), bounds(10), bounds(0)
+    mid = lambda scale: 64 * 1024 + 4 * scale * 4096
+    assert ten.high_capitals - mid(10) == 10 * (one.high_capitals - mid(1)) and mid(10) - ten.low_word_length == 10 * (mid(1) - one.low_word_length)
+    assert none.high_capitals is None and none.low_word_length is None
+
+
+def test_each_row_is_judged_by_itself(spark):
+    good = " ".join(f"Word{i} and more, again." for i in range(20))
+    d = spark.createDataFrame([(1, good, "en", "a", 1), (1, "two words", "en", "a", 1), (None, good, "en", "a", 1), (None, "two words", "en", "a", 1)], DOCS).withColumns({c: F.lit("clash") for c in ("row", "_good", "size_class", "kept", "_lang", "_class", "low_word_length")})
+    out = quality.kept(d)
+    assert out.columns == d.columns and [r.text for r in out.collect()] == [good, good]
 
 
 def test_sketches_merge(spark, small):
-    measures = base.stage(quality.measured(small), "measures")
+    measures = base.stage(quality.measured(small, ["doc_id"]), "measures")
     s = quality.sketches(measures)
-    parts = [quality.sketches(measures.where(F.pmod("doc_id", F.lit(3)) == k)) for k in range(3)]
+    parts = [quality.sketches(measures.where(F.pmod("row.doc_id", F.lit(3)) == k)) for k in range(3)]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
     assert rows(quality.merged(s, ["lang"])) == rows(quality.merged(whole, ["lang"]))
     v = spark.range(0, 5000).select("id", quality.bin_of(F.col("id")).alias("b")).collect()
