@@ -2,13 +2,18 @@
 
 A text is the set of 64-bit hashes of its words (letters and digits, lower-cased) and their beginnings. The model scores
 w0 + sum of w over the terms + sum over pairs of <v_i, v_j>, so that two terms can say together what
-neither says alone. It is learned with Adam on the logistic loss from at most SAMPLE labelled rows, the
-ones whose ids hash lowest; terms in fewer than MIN_TEXTS of them, or as toxic as
-any text, are left out. The model then has at
-most SAMPLE * terms / MIN_TEXTS terms whatever the corpus, and is broadcast. Scoring covers all texts.
+neither says alone. It learns from at most SAMPLE labelled rows, the ones whose ids hash lowest, as far
+as their terms number SAMPLE_TERMS together (a row with more than a 64th of that is not learned from);
+every term of at least MIN_TEXTS of them takes part, whatever its own toxic share.
+
+The weights are learned first, by follow-the-regularised-leader with a penalty that keeps most at
+zero; then weights and factors together, where a group penalty lets only such factors grow as say more
+than the weights do. Terms left at zero are dropped, and the rest is broadcast: at most SAMPLE_TERMS /
+MIN_TEXTS terms whatever the corpus. Scoring covers all texts.
 
 Edge cases: null and empty texts score the intercept alone; rows without a label, or with a null label,
-teach nothing; a row labelled twice counts twice; with no labels all scores are one half."""
+teach nothing; a row labelled twice counts twice; with no labels all scores are one half; an empty
+table gives no rows; other columns are not looked at. Ids of any type are kept as they are."""
 
 from __future__ import annotations
 
@@ -18,22 +23,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm import tokens
 from folio.llm.base import stage
 from folio.llm.suffix_tree import held_out
 
-#: Labelled rows that the model learns from; a documented bound.
-SAMPLE = 20_000
+#: Labelled rows that the model learns from, and terms that these have together; documented bounds.
+SAMPLE, SAMPLE_TERMS = 20_000, 8_000_000
 #: A term counts from so many texts.
 MIN_TEXTS = 4
-#: Standard errors by which a term's toxic share must differ from that of all texts; else it is noise to the model.
-SIFT = 3.0
 #: Besides a word, its first bytes are terms, for inflected and compound words.
 PREFIXES = (4, 5, 6, 7)
 FACTORS = 4
-EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.02, 1e-4
+#: Passes over the rows, those of them before the factors, and rows that make one step.
+EPOCHS, ALONE, BATCH = 10, 4, 32
+#: Step sizes of weights and factors, and how far factors start from zero, for texts of one term.
+RATE, FACTOR_RATE, START = 0.2, 0.1, 0.25
+#: Penalties: of a weight, times the root of the rows; of a term's factors at each step.
+SPARSE, GROUP = 0.27, 0.3
 #: Holdout remainder: rows whose crc32(doc_id) mod 5 is 0 teach nothing.
 EVERY = 5
 
@@ -62,7 +71,7 @@ def term_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high, data, offsets in tokens.pieces(batch.column("text")):
             hashes, sizes = term_sets(data, offsets)
             own = batch.slice(low, high - low)
-            yield pa.RecordBatch.from_arrays([own.column("_id").cast(pa.int64()), own.column("toxic"), tokens.lists(hashes.view(np.int64), sizes)], ["id", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("place", "toxic", "key")), tokens.lists(hashes.view(np.int64), sizes)], ["place", "toxic", "key", "terms"])
 
 
 def place_task(shared):
@@ -74,7 +83,7 @@ def place_task(shared):
             terms = batch.column("terms")
             sizes = np.asarray(pc.list_value_length(terms)).astype(np.int64)
             at, known = machine.rows(np.asarray(terms.flatten()).astype(np.int64).view(np.uint64), sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), tokens.lists(at.astype(np.int32), known)], ["id", "toxic", "places"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("place", "toxic", "key")), tokens.lists(at.astype(np.int32), known)], ["place", "toxic", "key", "places"])
 
     return run
 
@@ -82,11 +91,10 @@ def place_task(shared):
 class Machine:
     """w0, the sorted term hashes, their weights and factors."""
 
-    def __init__(self, terms: np.ndarray, seed: int = 7, factors: int = FACTORS) -> None:
-        rng = np.random.default_rng(seed)
+    def __init__(self, terms: np.ndarray, factors: int = FACTORS) -> None:
         self.terms, self.w0 = terms, 0.0
         self.w = np.zeros(len(terms))
-        self.v = rng.normal(0, 0.01, (len(terms), factors))
+        self.v = np.zeros((len(terms), factors))
 
     def rows(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of each text as places in the model, and how many."""
@@ -111,58 +119,76 @@ class Machine:
         return self.w0 + linear + 0.5 * (sums * sums - squares).sum(axis=1), sums
 
     def learn(self, at: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> None:
-        """Adam over mini-batches, terms updated where they occur."""
+        """Logistic loss over mini-batches; terms are updated where they occur."""
         rng, begin = np.random.default_rng(seed), np.cumsum(sizes) - sizes
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
+        if not len(y):
+            return
+        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.w0 = float(np.log(rate / (1 - rate)))
-        moments = [np.zeros_like(self.w), np.zeros_like(self.w), np.zeros_like(self.v), np.zeros_like(self.v), 0.0, 0.0]
-        step = 0
-        for _ in range(epochs):
+        push, seen, seen_v = np.zeros_like(self.w), np.zeros_like(self.w), np.zeros_like(self.w)
+        least = SPARSE * np.sqrt(len(y))
+        for epoch in range(epochs):
+            if epoch == ALONE:
+                self.v = rng.normal(0, START / np.sqrt(max(sizes.mean(), 1)), self.v.shape)
             order = rng.permutation(len(y))
             for low in range(0, len(y), BATCH):
-                docs, step = order[low : low + BATCH], step + 1
+                docs = order[low : low + BATCH]
                 n = sizes[docs]
                 inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 terms = at[np.repeat(begin[docs], n) + inside]
                 z, sums = self.margin(terms, n)
-                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[docs]) / len(docs)
+                error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[docs]
                 each = np.repeat(error, n)
                 place, back = np.unique(terms, return_inverse=True)
-                g = np.bincount(back, each, len(place)) + DECAY * self.w[place]
-                gv = np.empty((len(place), self.v.shape[1]))
+                g = np.bincount(back, each, len(place))
+                more = seen[place] + g * g
+                push[place] += g - (np.sqrt(more) - np.sqrt(seen[place])) / RATE * self.w[place]
+                seen[place] = more
+                far = np.maximum(np.abs(push[place]) - least, 0)
+                self.w[place] = -np.sign(push[place]) * far * RATE / (1 + np.sqrt(more))
+                self.w0 -= 0.01 * float(error.mean())
+                if epoch < ALONE:
+                    continue
                 spread = np.repeat(sums, n, axis=0) - self.v[terms]
-                for f in range(gv.shape[1]):
-                    gv[:, f] = np.bincount(back, each * spread[:, f], len(place))
-                gv += DECAY * self.v[place]
-                fix = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for value, grad, m, s in ((self.w, g, moments[0], moments[1]), (self.v, gv, moments[2], moments[3])):
-                    m[place] = 0.9 * m[place] + 0.1 * grad
-                    s[place] = 0.999 * s[place] + 0.001 * grad * grad
-                    value[place] -= fix * m[place] / (np.sqrt(s[place]) + 1e-8)
-                g0 = float(error.sum())
-                moments[4], moments[5] = 0.9 * moments[4] + 0.1 * g0, 0.999 * moments[5] + 0.001 * g0 * g0
-                self.w0 -= fix * moments[4] / (moments[5] ** 0.5 + 1e-8)
-
-
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    rows = labels.where(F.col("toxic").isNotNull() & ~F.coalesce(held_out(F.col("doc_id"), EVERY), F.lit(True))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    picked = rows.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # at most `sample` rows
-    terms = stage(texts.select("_id", "toxic", "text").mapInArrow(term_task, "id long, toxic int, terms array<long>"), "toxic-terms")
-    n, toxic = terms.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    share = toxic / n if n else 0.5
-    seen = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
-    far = F.abs(F.col("toxic") - F.col("n") * share) >= SIFT * F.sqrt(F.col("n") * (share * (1 - share)))
-    kept = seen.where((F.col("n") >= MIN_TEXTS) & far).select("term").toArrow()["term"].to_numpy()
-    machine = Machine(np.sort(kept.astype(np.int64).view(np.uint64)))
-    # Only terms of the model come to the driver, for at most `sample` texts, in an order that reruns share.
-    rows = terms.mapInArrow(place_task(docs.sparkSession.sparkContext.broadcast(machine.terms)), "id long, toxic int, places array<int>")
-    t = rows.toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
+                gv = np.stack([np.bincount(back, each * spread[:, f], len(place)) for f in range(spread.shape[1])], axis=1)
+                seen_v[place] += (gv * gv).mean(axis=1)
+                step = FACTOR_RATE / (1 + np.sqrt(seen_v[place]))
+                v = self.v[place] - step[:, None] * gv
+                norm = np.sqrt((v * v).sum(axis=1)) + 1e-12
+                self.v[place] = v * np.maximum(0, 1 - step * GROUP / norm)[:, None]
+
+    def pruned(self) -> "Machine":
+        """The same scores without the terms that learning left at zero."""
+        has = (self.w != 0) | (self.v != 0).any(axis=1)
+        out = Machine(self.terms[has], self.v.shape[1])
+        out.w0, out.w, out.v = self.w0, self.w[has], self.v[has]
+        return out
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_terms: int = SAMPLE_TERMS) -> Machine:
+    rows = labels.where(F.col("toxic").isNotNull() & ~F.coalesce(held_out(F.col("doc_id"), EVERY), F.lit(True))).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    order = [F.xxhash64("id"), F.col("id"), F.col("toxic")]
+    # At most `sample` rows from here on, so one task can number them and a broadcast holds them.
+    picked = rows.orderBy(*order).limit(sample).withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).withColumn("key", F.xxhash64("text"))
+    # However many rows share an id, equal ones teach once and the rest are part of the same bound.
+    texts = texts.select("place", "toxic", "key", "text").dropDuplicates(["place", "key"])
+    terms = stage(texts.mapInArrow(term_task, "place long, toxic int, key long, terms array<long>"), "toxic-terms")
+    sizes = terms.select("place", "key", F.size("terms").cast("long").alias("n")).where(F.col("n") <= sample_terms // 64).orderBy("place", "key").limit(sample)
+    upto = F.sum("n").over(W.orderBy("place", "key").rowsBetween(W.unboundedPreceding, 0))
+    fit = sizes.withColumn("upto", upto).where(F.col("upto") <= sample_terms).select("place", "key")
+    terms = terms.join(F.broadcast(fit), ["place", "key"])
+    seen = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    names = seen.where(F.col("n") >= MIN_TEXTS).select("term").toArrow()["term"].to_numpy()
+    machine = Machine(np.sort(names.astype(np.int64).view(np.uint64)))
+    # Only the places of these terms come to the driver, in an order that reruns share.
+    spots = terms.select("place", "toxic", "key", "terms").mapInArrow(place_task(docs.sparkSession.sparkContext.broadcast(machine.terms)), "place long, toxic int, key long, places array<int>")
+    t = spots.toArrow().sort_by([("place", "ascending"), ("key", "ascending")])
     places = t["places"].combine_chunks()
     places = places.chunk(0) if isinstance(places, pa.ChunkedArray) else places
     at = np.asarray(places.flatten()).astype(np.int64)
     machine.learn(at, np.asarray(pc.list_value_length(places)).astype(np.int64), t["toxic"].to_numpy().astype(float))
-    return machine
+    return machine.pruned()
 
 
 def score_task(shared):
