@@ -73,7 +73,12 @@ def ranked(df: DataFrame, keys: list[Column], rank: str = "rank", name: str = "r
     # At most one row for each partition, so the broadcast has a fixed bound.
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     out = at.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return out.withColumn(rank, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
+    return out.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(rank))
+
+
+def edge_sum(edges: DataFrame) -> tuple:
+    """A count and a sum of hashes that tell whether a step changed the edges, in one pass without a shuffle of them."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame:
@@ -83,7 +88,7 @@ def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame
     written to the shared folder, so neither lineage nor the driver grows with the graph. A hub is
     handled by aggregates with map-side combine and by joins that adaptive execution can split."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = stage(e, f"{name}-edges")
+    e, mark = stage(e, f"{name}-edges"), None
     for _ in range(limit):
         # Large star: each node links its larger neighbours to the least node around it.
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -96,12 +101,10 @@ def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         own = least.select("a", F.col("m").alias("b"))
         new = stage(small.union(own).distinct(), f"{name}-small")
-        settled = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
-        for used in (around, large, least):
+        for used in (around, large, least, e):
             unstage(used)
-        unstage(e)
-        e = new
-        if settled:
+        e, last, mark = new, mark, edge_sum(new)
+        if mark == last:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -8,15 +8,20 @@ their exact similarity, in blocks. From the links found, each weighed by the cha
 had to find a pair so similar, the share of links found is estimated. The matched prefix is shortened by
 one digit and the join repeated until that share meets the target and the last digit brought no new link.
 
-Work stays linear in rows and pairs never become rows. Equal word sequences are one class and only
-its first document takes part. Candidates are joined to one star for each trie node; connected groups
-of stars are cut into blocks of at most about BLOCK texts, and each pair of blocks is one unit of
-work that counts the shared grams of all its pairs by a matrix product and returns a count and a
-star edge for each text. So a group of any size is split over tasks, and no link in it is lost.
+Work stays linear in rows and pairs never become rows. Equal word sequences are one class, whose
+number follows the order of its first document, and only that document's text takes part. Candidates are
+joined to one star for each trie node. A connected group of stars is cut into blocks of at most about
+BLOCK texts and BLOCK_BYTES, and each pair of blocks is one unit of work that counts the shared grams of
+all its pairs by a matrix product and returns a count and a star edge for each text; comparing more pairs
+than the candidates can only add links. A group of more than TREES blocks is verified node by node of its
+tries instead, each node in pairs of blocks, and a pair counts in the first tree where it meets: so a long
+chain of chance matches ships each text at most once for each tree and block of its nodes. No group is
+too large, and no link in it is lost.
 
 Edge cases: texts without words (null, empty) have no grams: they link to nothing and each is its own
-class; a repeated row is a copy of its first; rows that repeat an id with other text count as one
-node; rows without an id have no class and no links; an empty table gives no rows."""
+class; a repeated row is a copy of its first; rows that repeat an id with other text are classes of their
+own; rows without an id have no class and no links; an empty table gives no rows. Ids may be of any type
+that has an order; other columns are carried along whatever their names."""
 
 from __future__ import annotations
 
@@ -25,17 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm import tokens
-from folio.llm.base import components, shuffle_parts, stage
+from folio.llm.base import WORD_RE, components, ranked, shuffle_parts, stage, unstage
 
 WORDS = 5
 SIMILAR = 0.8
 TREES, LEVELS, DIGIT = 24, 6, 10
 TARGET = 0.9995
-BLOCK = 512
+#: Texts of a block, and their bytes.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Columns of the gram matrix that are multiplied at once.
 SLICE = 4096
 _U = np.uint64
@@ -87,12 +92,14 @@ def sign_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high, data, offsets in tokens.pieces(batch.column("text")):
             values, n, k1, k2 = gram_sets(data, offsets)
             keys = tokens.lists(tree_keys(values, n).ravel().view(np.int64), np.where(n > 0, TREES, 0))
-            columns = [batch.column("doc_id").slice(low, high - low), tokens.longs(k1), tokens.longs(k2), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "keys"])
+            own = batch.slice(low, high - low)
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("doc_id", "mark", "bytes")), tokens.longs(k1), tokens.longs(k2), keys], ["doc_id", "mark", "bytes", "k1", "k2", "keys"])
 
 
-def verify_block(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], cross: bool, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of each text (in documents), the least linked id that each reaches inside the block, and link counts by similarity."""
+def verify_block(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], cross: bool, similar: float, prefixes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each text (in documents), the least linked id that each reaches inside the block, and link counts by similarity.
+
+    Pairs that share one of the prefixes (a row for each text, a column for each tree) met in an earlier tree and don't count."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -117,6 +124,9 @@ def verify_block(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: li
     linked &= union > 0
     if cross:
         linked &= side[:, None] != side[None, :]
+    if prefixes is not None:
+        for column in prefixes.T:
+            linked &= column[:, None] != column[None, :]
     links = linked @ copies
     upper = np.triu(linked, 1)
     bins = np.bincount(np.minimum((100 * shared[upper] / union[upper]).astype(int), 100), minlength=101)
@@ -130,7 +140,9 @@ def verify_block(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: li
 
 
 def verify_task(similar: float):
-    """Rows of one block pair come together: (kind, a, b) for links (0), edges (1) and similarities (2)."""
+    """Rows of one unit come together: (kind, a, b) for links (0), edges (1) and similarities (2).
+
+    A unit is a pair of blocks of a group (tree -1) or of a trie node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -142,8 +154,9 @@ def verify_task(similar: float):
             nonlocal bins
             if len(held) > 1:
                 ids = np.array(list(held), np.int64)
-                side, copies, sets = (list(x) for x in zip(*held.values(), strict=True))
-                links, root, found = verify_block(ids, np.array(side), np.array(copies, np.int64), sets, key[1] != key[2], similar)
+                side, copies, earlier, sets = (list(x) for x in zip(*held.values(), strict=True))
+                prefixes = np.array(earlier, np.int64).reshape(len(ids), -1) if key[1] > 0 else None
+                links, root, found = verify_block(ids, np.array(side), np.array(copies, np.int64), sets, key[2] != key[3], similar, prefixes)
                 bins += found
                 has = links > 0
                 out.append(np.stack([np.zeros(has.sum(), np.int64), ids[has], links[has]]))
@@ -155,20 +168,20 @@ def verify_task(similar: float):
             return pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), pa.array(rows[1]), pa.array(rows[2])], ["kind", "a", "b"])
 
         for batch in batches:
-            group = list(zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j")), strict=True))
-            side, rep, copies, k1, k2 = (batch.column(c).to_pylist() for c in ("block", "rep", "n", "k1", "k2"))
+            unit = list(zip(*(batch.column(c).to_pylist() for c in ("unit", "tree", "i", "j")), strict=True))
+            side, node, copies, k1, k2, earlier = (batch.column(c).to_pylist() for c in ("block", "node", "n", "k1", "k2", "earlier"))
             for start, _, data, offsets in tokens.pieces(batch.column("text")):
                 values, n, a, b = gram_sets(data, offsets)
                 a, b = a.view(np.int64), b.view(np.int64)
                 at = np.r_[0, np.cumsum(n)]
                 for d in range(len(n)):
                     r = start + d
-                    if group[r] != key:
+                    if unit[r] != key:
                         flush()
-                        key = group[r]
-                    # A row that repeats the id with another text is not the class's text.
+                        key = unit[r]
+                    # A text of the same id and mark, but of other words, is not the class's.
                     if a[d] == k1[r] and b[d] == k2[r]:
-                        held[rep[r]] = side[r], copies[r], np.unique(values[at[d] : at[d + 1]])
+                        held[node[r]] = side[r], copies[r], earlier[r], np.unique(values[at[d] : at[d + 1]])
             if out:
                 yield batch_of(np.concatenate(out, axis=1))
                 out.clear()
@@ -187,38 +200,63 @@ def chance(similarity: float, depth: int) -> float:
 
 def candidates(classes: DataFrame, depth: int) -> DataFrame:
     """Edges (a, b) from each class to the least class in its trie node at this depth, where it has company."""
-    drop = DIGIT * (LEVELS - depth)
-    keys = classes.select("rep", F.posexplode("keys").alias("tree", "key")).select("rep", "tree", F.shiftright("key", drop).alias("prefix"))
-    nodes = keys.groupBy("tree", "prefix").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keys.join(nodes, ["tree", "prefix"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    keys = classes.select("node", F.posexplode("keys").alias("tree", "key")).select("node", "tree", F.shiftright("key", DIGIT * (LEVELS - depth)).alias("prefix"))
+    nodes = keys.groupBy("tree", "prefix").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keys.join(nodes, ["tree", "prefix"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def verified(docs: DataFrame, classes: DataFrame, depth: int, similar: float) -> DataFrame:
-    """The rows of verify_task for all candidates at this depth."""
+def blocked(members: DataFrame, by: list[str]) -> DataFrame:
+    """members with the number of blocks of their group, where that has company."""
+    needed = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES))
+    return members.join(members.groupBy(*by).agg(needed.cast("int").alias("blocks"), F.count("*").alias("texts")).where("texts > 1").drop("texts"), by)
+
+
+def units(classes: DataFrame, depth: int, most: int) -> DataFrame:
+    """unit, tree, block, blocks and the class for each part that a class has in the work; groups of more than `most` blocks go node by node."""
     group = stage(components(candidates(classes, depth), "forest"), "forest-groups")
-    size = group.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = group.join(size, "root").join(classes.select(F.col("rep").alias("node"), "n", "k1", "k2"), "node")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = stage(members.withColumnRenamed("node", "rep"), "forest-members")
-    # Merge join at every size: the members grow with the documents.
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep")
+    own = classes.select("node", "rep", "mark", "bytes", "n", "k1", "k2")
+    members = stage(blocked(group.join(own, "node"), ["root"]), "forest-members")
+    none = F.array().cast("array<bigint>")
+    small = members.where(F.col("blocks") <= most).select(F.col("root").alias("unit"), F.lit(-1).alias("tree"), "blocks", *own.columns, none.alias("earlier"))
+    large = members.where(F.col("blocks") > most).drop("blocks", "root").join(classes.select("node", "keys"), "node")
+    prefixes = F.transform("keys", lambda k: F.call_function("shiftright", k, F.lit(DIGIT * (LEVELS - depth))))
+    large = large.withColumn("prefixes", prefixes).select(*own.columns, "prefixes", F.posexplode("prefixes").alias("tree", "unit"))
+    large = blocked(large.withColumn("earlier", F.slice("prefixes", F.lit(1), F.col("tree"))).drop("prefixes"), ["unit", "tree"])
+    both = small.unionByName(large.select(*small.columns))
+    return both.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def verified(docs: DataFrame, classes: DataFrame, depth: int, similar: float, most: int = TREES) -> DataFrame:
+    """The rows of verify_task for all candidates at this depth."""
+    parts = stage(units(classes, depth, most), "forest-units")
+    # Merge join at every size: the parts grow with the documents.
+    parts = docs.select(F.col("doc_id").alias("rep"), marked().alias("mark"), "text").join(parts.hint("merge"), ["rep", "mark"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = texts.select("*", other.alias("other")).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "k1", "k2", "text")
+    parts = parts.select("*", other.alias("other")).select("unit", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "k1", "k2", "earlier", "text")
     n = shuffle_parts(docs.sparkSession)
-    units = units.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
-    return stage(units.mapInArrow(verify_task(similar), "kind int, a long, b long"), "forest-links")
+    parts = parts.repartition(n, "unit", "tree", "i", "j").sortWithinPartitions("unit", "tree", "i", "j", "node")
+    return stage(parts.mapInArrow(verify_task(similar), "kind int, a long, b long"), "forest-links")
 
 
-def joined(docs: DataFrame, similar: float = SIMILAR, target: float = TARGET) -> DataFrame:
-    """doc_id, copy_of (first document with the same words), class_id (first of all that links reach) and n_links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(docs.mapInArrow(sign_task, "doc_id long, k1 long, k2 long, keys array<long>"), "forest-signed")
+def marked():
+    """Tells apart the texts of rows that share an id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def linked(docs: DataFrame, similar: float, target: float, most: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """All rows with their class (doc_id, k1, k2), and the classes: k1, k2, rep, mark, n, links, head (first document that links reach) and first (whether it is its own)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", marked().alias("mark"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
+    signed = stage(rows.mapInArrow(sign_task, f"doc_id {kind}, mark long, bytes long, k1 long, k2 long, keys array<long>"), "forest-signed")
     named = signed.where((F.size("keys") > 0) & F.col("doc_id").isNotNull())
-    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
-    classes = stage(classes, "forest-classes")
-    depth, before = LEVELS, None
+    classes = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark", "bytes")).alias("x"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    classes = classes.select("k1", "k2", "n", "keys", F.col("x.doc_id").alias("rep"), "x.mark", "x.bytes")
+    classes = stage(ranked(classes, [F.col("rep"), F.col("k1"), F.col("k2")], "node", "forest-ranks"), "forest-classes")
+    depth, before, found = LEVELS, None, None
     while True:
-        found = verified(docs, classes, depth, similar)
+        if found is not None:
+            unstage(found)
+        found = verified(docs, classes, depth, similar, most)
         links = found.where("kind = 2").groupBy("a").agg(F.sum("b").alias("n")).collect()  # at most 101 rows
         seen = sum(r.n for r in links)
         # By the lower edge of each bin, where the chance is least.
@@ -227,21 +265,30 @@ def joined(docs: DataFrame, similar: float = SIMILAR, target: float = TARGET) ->
         if depth == 1 or (seen == before and seen >= target * due):
             break
         depth, before = depth - 1, seen
-    count = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
-    edges = found.where("kind = 1").select("a", "b")
-    group = components(edges, "links").withColumnRenamed("node", "rep")
-    nodes = stage(classes.select("k1", "k2", "rep", "n").join(count, "rep", "left").join(group, "rep", "left"), "forest-nodes")
-    out = signed.select("doc_id", "k1", "k2").join(nodes, ["k1", "k2"], "left")
-    out = out.withColumns({c: F.when(F.col("doc_id").isNotNull(), F.col(c)) for c in ("rep", "root", "links", "n")})
-    rep = F.coalesce("rep", "doc_id")
-    return out.select("doc_id", rep.alias("copy_of"), F.coalesce("root", rep).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"))
+    count = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
+    group = components(found.where("kind = 1").select("a", "b"), "links")
+    own = classes.select("node", "k1", "k2", "rep", "mark", "n")
+    nodes = own.join(count, "node", "left").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = own.select(F.col("node").alias("root"), F.col("rep").alias("head"))
+    nodes = nodes.join(heads, "root").select("k1", "k2", "rep", "mark", "n", F.coalesce("links", F.lit(0)).alias("links"), "head", (F.col("node") == F.col("root")).alias("first"))
+    return signed.select("doc_id", "k1", "k2"), stage(nodes, "forest-nodes")
+
+
+def joined(docs: DataFrame, similar: float = SIMILAR, target: float = TARGET, most: int = TREES) -> DataFrame:
+    """doc_id, copy_of (first document with the same words), class_id (first of all that links reach) and n_links."""
+    signed, nodes = linked(docs, similar, target, most)
+    out = signed.join(nodes, ["k1", "k2"], "left")
+    out = out.withColumns({c: F.when(F.col("doc_id").isNotNull(), F.col(c)) for c in ("rep", "head", "links", "n")})
+    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("copy_of"), F.coalesce("head", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"))
 
 
 def kept(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The documents without all but the first of each class; columns as before. Rows without an id all stay."""
-    first = joined(docs, similar).where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
-    first = stage(first, "forest-first")
-    rows = docs.join(first.hint("merge"), docs.doc_id.cast("long") == F.col("_first"))
-    place = F.row_number().over(W.partitionBy("_first").orderBy("_first"))
-    one = rows.withColumn("_place", place).where("_place = 1").select(*docs.columns)
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group that links and equal words reach, its first document's; columns as before. Rows without an id or words all stay."""
+    _, nodes = linked(docs, similar, TARGET)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    alone = F.col("row.doc_id").isNull() | F.col("row.text").isNull() | ~F.col("row.text").rlike(WORD_RE)
+    first = nodes.where("first").select("rep", "mark")
+    # Equal rows meet before the shuffle; merge join at every size, since the heads grow with the documents.
+    mark = F.xxhash64("row.text").alias("mark")
+    each = row.where(~alone).groupBy(F.col("row.doc_id").alias("rep"), mark).agg(F.first("row").alias("row"))
+    return each.join(first.hint("merge"), ["rep", "mark"]).select("row.*").unionByName(row.where(alone).select("row.*"))
