@@ -5,8 +5,8 @@ documents, and partial counts meet per hash before the shuffle however common a
 positions come back to the texts, which are cut once, in their own row.
 
 Edge cases: null or empty text is one empty line; lines shorter than the least key length always
-stay; a document id that repeats counts as one document and each of its rows is cut alike; rows
-without an id count for no line and lose none."""
+stay; a document id that repeats counts as one document, and each of its rows loses its own lines; rows
+without an id count for no line and lose none; other columns are not looked at."""
 
 from __future__ import annotations
 
@@ -28,25 +28,30 @@ def _hash(key: Column) -> list[Column]:
     return [F.xxhash64(key), F.xxhash64(F.lit(7), key)]
 
 
+def _mark() -> Column:
+    """Tells apart the texts of rows that share an id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id and the sorted positions of the lines that it loses, for documents that lose any."""
+    """doc_id, mark of the text and the sorted positions of the lines that it loses, for texts that lose any."""
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).select("doc_id", "pos", line_key(F.col("line")).alias("key"))
+    lines = docs.select("doc_id", _mark().alias("mark"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).select("doc_id", "mark", "pos", line_key(F.col("line")).alias("key"))
     lines = lines.where(F.length("key") >= min_chars)
     h, g = _hash(F.col("key"))
-    hashed = stage(lines.select("doc_id", "pos", h.alias("h"), g.alias("g")), "line-hashes")
+    hashed = stage(lines.select("doc_id", "mark", "pos", h.alias("h"), g.alias("g")), "line-hashes")
     once = hashed.groupBy("h", "g", "doc_id").agg(F.lit(1).alias("one"))
     common = once.groupBy("h", "g").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     common = stage(common.drop("n"), "common-lines")
     hit = hashed.join(common, ["h", "g"]).where("doc_id <> keeper")
-    return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    return hit.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
 def deduped(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text after the cut, n_lines and n_dropped."""
     # A merge join at every size: the table of cuts grows with the documents, so it is never broadcast.
     gone = stage(dropped_positions(docs, min_chars, min_docs), "dropped-lines")
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(gone.hint("merge"), "doc_id", "left")
+    d = docs.select("doc_id", _mark().alias("mark"), F.coalesce("text", F.lit("")).alias("text")).join(gone.hint("merge"), ["doc_id", "mark"], "left")
     d = d.withColumn("lines", F.split("text", "\n", -1))
     n = F.size("lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone")), lambda i: F.get("lines", i))
@@ -60,11 +65,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def digest_sql(docs: str = "documents") -> str:
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM {docs}),
-l AS (SELECT doc_id, pos, lines[pos] AS line, translate(regexp_replace(regexp_replace(lines[pos], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '{UPPER}', '{LOWER}') AS k
-      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d), unnest(generate_series(1, len(lines))) AS t(pos)),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM {docs}),
+l AS (SELECT rid, doc_id, pos, lines[pos] AS line, translate(regexp_replace(regexp_replace(lines[pos], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '{UPPER}', '{LOWER}') AS k
+      FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS lines FROM d), unnest(generate_series(1, len(lines))) AS t(pos)),
 c AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= {MIN_CHARS} GROUP BY k HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-m AS (SELECT l.doc_id, pos, line, c.k IS NOT NULL AND l.doc_id <> keeper AS gone FROM l LEFT JOIN c ON l.k = c.k)
+m AS (SELECT rid, l.doc_id, pos, line, coalesce(l.doc_id <> keeper, false) AS gone FROM l LEFT JOIN c ON l.k = c.k)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id"""
+FROM m GROUP BY rid, doc_id"""
