@@ -1,33 +1,29 @@
 """Language-model scores by a probabilistic suffix tree over bytes.
 
-The symbols are the UTF-8 bytes of a text's lower-cased words, each word followed by a space and the
-text by a line feed, which also pads what comes before a text. Grams of DEPTH + 1 bytes are counted
-over all training texts; sums over them give every shorter context. A context stays in the tree if
-its next-symbol counts diverge from those of its suffix by more than their description costs:
-n * KL(child || parent) >= symbols / 2 * ln n. Distributions are smoothed towards the parent state,
-and a text is scored by the longest suffix of its history that is a state.
-
-Entries (context, next) rarer than LEAST of all symbols are left out, the tree's usual bound: at most
-1 / LEAST entries a depth, whatever the corpus, so the tree can be broadcast. Counting, pruning and
-divergence tests run as aggregates and joins over the whole corpus.
-
-As in the base score, a word that training never saw is one symbol, unknown, with the share u of words
-seen once among all tokens. Any other token has (1 - u) * (c / N + P_tree) / 2: its count at the root,
-where whole words are symbols too, and the product of the tree's probabilities over its bytes.
-
-Entries (context, next) rarer than LEAST of all symbols are left out, the tree's usual bound: at most
-1 / LEAST entries a depth, whatever the corpus, so the tree can be broadcast. Counting, pruning and
-divergence tests run as aggregates and joins over the whole corpus.
-
-The tree spells words that it never saw; words seen in training are also symbols of the root: their
-counts, each less a discount D, give P(token) = (max(c - D, 0) + D * V * P_tree(token)) / N, with
-P_tree the product over the token's bytes and D = n1 / (n1 + 2 * n2) from words seen once and twice.
-
-The base score needs the count of each token. Words that make up at least LEAST_WORD of all tokens
-(so at most 1 / LEAST_WORD words) are broadcast; occurrences of rarer ones join the counts by key.
-
-Edge cases: null text is empty and has one token, its end; repeated rows are scored each; with no
-training rows all counts are 0 and the tree is one uniform state."""
+A text is a row of tokens: its lower-cased words and its end. A token is spelled by the UTF-8 bytes of its
+word and a space, the end by a line feed; spaces stand before its first byte. Grams of DEPTH + 1 bytes are
+counted over all distinct training tokens (what the tree prices is a new token, and frequent ones would
+drown the rest), and sums over them give every shorter context. A context is a state of the
+tree if it was seen MIN_SEEN times and its next-symbol counts diverge from those of its suffix by more
+than their description costs: n * KL(child || parent) >= symbols / 2 * ln n. A state's distribution is smoothed
+towards that of its longest suffix that is a state: P(a) = (n_a + w * P_parent(a)) / (n + w), where w is
+PARENT times the number of symbols seen after it, and below the root all bytes are alike. Each
+byte is priced by the longest suffix of what stands before it in the token that is a state.
+
+The root also has whole words as symbols. With u the share of tokens seen once, which is how likely a new
+word comes next, P(token) = (1 - u) * c / N + u * P_tree(token): c of N training tokens, and
+the product of the tree's prices. So every token has a probability of its own, unseen ones by
+their spelling, and all of them sum to one. The base score is no such measure: it gives each of endlessly many
+unseen words the same share, so it may be higher where many words are new.
+
+Contexts end at the token, so the tree is learned from and applied to the table of distinct tokens, whose
+grams meet the counts and states by joins. Nothing is left out for being rare in a larger corpus, and the
+tree is never sent anywhere as a whole. Only tokens that make up at least LEAST_WORD of all (so at most
+1 / LEAST_WORD) are broadcast with their price; occurrences of others join their price by key.
+
+Edge cases: null text is empty and has one token, its end; repeated rows and rows that share an id are scored each;
+rows without an id are training rows; with no training rows all counts are 0 and each byte costs
+1 / 256; an empty table gives no rows; other columns are not looked at."""
 
 from __future__ import annotations
 
@@ -39,10 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import tokens
-from folio.llm.base import stage
+from folio.llm.base import stage, unstage
 
 DEPTH = 5
-LEAST = 5e-7
+#: Times that a state was seen.
+MIN_SEEN = 4
 LEAST_WORD = 1e-6
 #: Weight of the parent's distribution, in observations for each distinct next symbol.
 PARENT = 1.0
@@ -50,253 +47,189 @@ PARENT = 1.0
 END = 0
 #: Rows a task holds before it merges equal codes.
 MERGE = 1_000_000
+#: Contexts of so many bytes are few by their nature (256 ** NEAR), so their counts are broadcast.
+NEAR = 1
 _SPACE, _FEED = 32, 10
+TOKENS = "code long, word binary, n long, train long"
 
 
 def held_out(doc_id: Column, every: int = 10) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(every)) == 0
 
 
-def symbols(w: tokens.Words, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of all texts as integers, newest byte lowest, and where each token begins in them."""
-    n_docs, n_words = len(w.first) - 1, len(w.start)
-    size = w.end - w.start
-    per_doc = np.diff(w.first)
-    doc = np.repeat(np.arange(n_docs), per_doc)
-    before = np.cumsum(size) - size  # word bytes before each word
-    begin = before + np.arange(n_words) + (depth + 1) * doc + depth
-    out = np.full(int(size.sum()) + n_words + (depth + 1) * n_docs, _FEED, np.uint64)
-    index = np.arange(int(size.sum()))
-    inside = index - np.repeat(before, size)
-    out[np.repeat(begin, size) + inside] = w.data[np.repeat(w.start, size) + inside]
-    out[begin + size] = _SPACE
-    length = np.bincount(doc, size + 1, n_docs).astype(np.int64) + 1  # symbols of each text
-    code = out.copy()
-    for k in range(1, depth + 1):
-        code[k:] |= out[: len(out) - k] << np.uint64(8 * k)
-    stop = np.cumsum(length + depth)
-    keep = np.ones(len(out), bool)
-    for k in range(depth):
-        keep[stop - length - depth + k] = False
-    at = np.cumsum(length) - length
-    starts = np.empty(n_words + n_docs, np.int64)  # of each token: a text's words and then its end
-    starts[np.arange(n_words) + doc] = before + np.arange(n_words) + doc
-    starts[np.cumsum(per_doc + 1) - 1] = at + length - 1
-    return code[keep], starts
-
-
-def counted(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order and how often, or how much of n, each has."""
-    if n is None:
-        s = np.sort(codes)
-        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-        return s[at], np.diff(np.r_[at, len(s)])
-    order = np.argsort(codes, kind="stable")
-    s = codes[order]
-    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-    return s[at], np.add.reduceat(n[order], at) if len(s) else n
-
-
-def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, code, n): kind 0 are grams, kind 1 words; merged in the task before they are sent."""
-    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-    rows = [0, 0]
-
-    def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        out = counted(np.concatenate([c for c, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))
-        held[kind], rows[kind] = [out], len(out[0])
-        return out
-
-    def sent(kind: int) -> pa.RecordBatch:
-        codes, n = merged(kind)
-        held[kind], rows[kind] = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), kind, np.int32)), tokens.longs(codes), pa.array(n.astype(np.int64))], ["kind", "code", "n"])
+def distinct_words(w: tokens.Words, train: np.ndarray) -> pa.Table:
+    """code, word, n and train of the distinct words of several texts; train tells which texts count for it."""
+    owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+    code, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+    size = (w.end - w.start)[at]
+    offsets = np.r_[0, np.cumsum(size)]
+    inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)
+    data = w.data[np.repeat(w.start[at], size) + inside]
+    word = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    n, learned = np.bincount(back, minlength=len(at)), np.bincount(back[train[owner]], minlength=len(at))
+    return pa.table([tokens.longs(code), word, pa.array(n.astype(np.int64)), pa.array(learned.astype(np.int64))], ["code", "word", "n", "train"])
 
-    for batch in batches:
-        for _, _, data, offsets in tokens.pieces(batch.column("text")):
-            w = tokens.words(data, offsets)
-            ends = np.array([END], np.uint64), np.array([len(offsets) - 1])
-            for kind, more in ((0, [counted(symbols(w)[0])]), (1, [counted(w.hashes()), ends])):
-                held[kind] += more
-                rows[kind] += sum(len(c) for c, _ in more)
-                if rows[kind] > MERGE:
-                    merged(kind)
-                    if rows[kind] > MERGE // 2:
-                        yield sent(kind)
-    for kind in (0, 1):
-        if held[kind]:
-            yield sent(kind)
-
-
-class Tree:
-    """States as sorted arrays by depth: codes of (context, next) entries and their log10 probability,
-    codes of contexts and the log10 weight that they leave to their parent."""
-
-    def __init__(self, entries: list[np.ndarray], counts: list[np.ndarray], totals: list[np.ndarray], kinds: list[np.ndarray], depth: int = DEPTH) -> None:
-        self.entry: list[np.ndarray] = []
-        self.p: list[np.ndarray] = []
-        self.state: list[np.ndarray] = []
-        self.rest: list[np.ndarray] = []
-        self.depth = depth
-        for d in range(depth + 1):
-            code, n, total, kind = entries[d], counts[d], totals[d], kinds[d]
-            order = np.argsort(code)
-            code, n, total, kind = code[order], n[order].astype(float), total[order].astype(float), kind[order].astype(float)
-            context = code >> np.uint64(8)
-            at = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(code) else np.zeros(0, np.int64)
-            weight = PARENT * kind
-            below = self.probability(code, d - 1) if d else np.full(len(code), 1 / 256)
-            self.entry.append(code)
-            self.p.append((n + weight * below) / (total + weight))
-            self.state.append(context[at])
-            # What the kept entries don't take goes to the parent's other symbols, so that all sum to one.
-            taken, covered = (np.add.reduceat(x, at) if len(at) else np.zeros(0) for x in (self.p[-1], below))
-            self.rest.append(np.maximum(1 - taken, 1e-12) / np.maximum(1 - covered, 1e-12))
-
-    def probability(self, grams: np.ndarray, depth: int | None = None) -> np.ndarray:
-        """P(newest byte | bytes before it) by the longest state up to depth; grams may hold more bytes."""
-        depth = self.depth if depth is None else depth
-        out = np.full(len(grams), 1 / 256)
-        for d in range(min(depth, self.depth) + 1):
-            code = grams & np.uint64((1 << 8 * (d + 1)) - 1)
-            if not len(self.state[d]):
-                continue
-            context = code >> np.uint64(8)
-            at = np.minimum(np.searchsorted(self.state[d], context), len(self.state[d]) - 1)
-            has = self.state[d][at] == context
-            out[has] *= self.rest[d][at[has]]
-            at = np.minimum(np.searchsorted(self.entry[d], code), len(self.entry[d]) - 1)
-            own = self.entry[d][at] == code
-            out[own] = self.p[d][at[own]]
-        return out
-
-
-class Cache:
-    """Log10 probabilities of grams seen lately, in a direct-mapped table."""
-
-    BITS = 20
-
-    def __init__(self, tree: Tree) -> None:
-        self.tree, self.code, self.value = tree, np.full(1 << self.BITS, 2**64 - 1, np.uint64), np.zeros(1 << self.BITS)
-
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            slot = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
-        out = self.value[slot]
-        miss = np.flatnonzero(self.code[slot] != grams)
-        if len(miss):
-            code, back = np.unique(grams[miss], return_inverse=True)
-            found = np.log10(self.tree.probability(code))
-            out[miss] = found[back]
-            with np.errstate(over="ignore"):
-                slot = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
-            self.code[slot], self.value[slot] = code, found
-        return out
 
+def token_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of many texts, merged in the task before they are sent."""
+    held: list[pa.Table] = []
+    rows = 0
 
-def score_task(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, common, count, mix = shared.value
-        cache = Cache(tree)
-        log_count = np.log10(count + 0.1)
-        names = ["doc_id", "n_tokens", "n_head", "base_head", "score_head", "tail", "tail_spelt"]
-        for batch in batches:
-            for low, high, data, offsets in tokens.pieces(batch.column("text")):
-                w = tokens.words(data, offsets)
-                grams, starts = symbols(w)
-                spelt = np.add.reduceat(cache(grams), starts)
-                per_doc = np.diff(w.first)
-                n_docs, doc = len(per_doc), np.repeat(np.arange(len(per_doc)), per_doc + 1)
-                code = np.full(len(starts), END, np.uint64)
-                code[np.arange(len(w.start)) + np.repeat(np.arange(n_docs), per_doc)] = w.hashes()
-                head = np.zeros(len(code), bool)
-                where = np.zeros(len(code), np.int64)
-                if len(common):
-                    where = np.minimum(np.searchsorted(common, code), len(common) - 1)
-                    head = common[where] == code
-                where, tail = where[head], ~head
-                own = np.log10(mix(count[where], spelt[head]))
-                sums = [np.bincount(doc[head], x, n_docs) for x in (None, log_count[where] if len(common) else None, own)]
-                size = np.bincount(doc[tail], minlength=n_docs)
-                columns = [batch.column("doc_id").slice(low, high - low), pa.array(per_doc + 1, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(float))]
-                columns += [tokens.lists(code[tail].view(np.int64), size), tokens.lists(spelt[tail], size)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+    def merged() -> pa.Table:
+        g = pa.concat_tables(held).group_by("code", use_threads=False).aggregate([("word", "first"), ("n", "sum"), ("train", "sum")])
+        return g.rename_columns([c.rsplit("_", 1)[0] for c in g.column_names]).select(["code", "word", "n", "train"])
 
-    return run
+    for batch in batches:
+        learned = batch.column("train").to_numpy(zero_copy_only=False)
+        for low, high, data, offsets in tokens.pieces(batch.column("text")):
+            ends = pa.table([pa.array([END]), pa.array([b""], pa.binary()), pa.array([high - low]), pa.array([int(learned[low:high].sum())])], ["code", "word", "n", "train"])
+            held += [distinct_words(tokens.words(data, offsets), learned[low:high]), ends]
+            rows += len(held[-2]) + 1
+            if rows > MERGE:
+                held = [merged()]
+                rows = len(held[0])
+                if rows > MERGE // 2:
+                    yield from held[0].combine_chunks().to_batches()
+                    held, rows = [], 0
+    if held:
+        yield from merged().combine_chunks().to_batches()
+
+
+def spelling(data: np.ndarray, offsets: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The grams of several words one after another as integers, newest byte lowest; last ends each word."""
+    size = np.diff(offsets) + 1
+    pad = np.arange(1, len(size) + 1) * DEPTH
+    begin = np.cumsum(size) - size + pad
+    out = np.full(int(size.sum()) + DEPTH * len(size), _SPACE, np.uint64)
+    inside = np.arange(len(data)) - np.repeat(offsets[:-1], size - 1)
+    out[np.repeat(begin, size - 1) + inside] = data
+    out[begin + size - 1] = last
+    code = out.copy()
+    for k in range(1, DEPTH + 1):
+        code[k:] |= out[: len(out) - k] << np.uint64(8 * k)
+    return code[np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)]
 
 
-class Mix:
-    """P(token) from its count and its spelling's log10 probability."""
+def spell_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, train, grams) of each token."""
+    for batch in batches:
+        for low, high, data, offsets in tokens.pieces(batch.column("word").cast(pa.large_binary()).view(pa.large_string())):
+            own = batch.slice(low, high - low)
+            code = own.column("code").to_numpy()
+            grams = spelling(data, offsets, np.where(code == END, _FEED, _SPACE).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([own.column("code"), own.column("train"), tokens.lists(grams.view(np.int64), np.diff(offsets) + 1)], ["code", "train", "grams"])
 
-    def __init__(self, total: int, once: int) -> None:
-        self.total = max(total, 1)
-        self.unknown = max(once, 1) / (total + 1)
 
-    def __call__(self, count: np.ndarray, spelt: np.ndarray) -> np.ndarray:
-        return (1 - self.unknown) * (count / self.total + 10.0 ** spelt) / 2
+def shortened(gram: str, depth: int) -> Column:
+    """The gram with a context of depth bytes."""
+    return F.col(gram).bitwiseAND((1 << 8 * (depth + 1)) - 1)
 
-    def column(self, count: Column, spelt: Column) -> Column:
-        return F.when(count > 0, (count / self.total + F.pow(F.lit(10.0), spelt)) * ((1 - self.unknown) / 2)).otherwise(self.unknown)
+
+def at_depths(gram: str, depths: range) -> Column:
+    """A row for each depth: depth, code (context and next) and context."""
+    return F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), shortened(gram, d).alias("code"), F.call_function("shiftright", shortened(gram, d), F.lit(8)).alias("context")) for d in depths)))
 
 
 def levels(grams: DataFrame) -> DataFrame:
-    """depth, code, n: counts of (context, next) for contexts of every length, from the longest grams."""
-    masks = F.array(*(F.struct(F.lit(d).alias("depth"), F.col("code").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("code")) for d in range(DEPTH + 1)))
-    return grams.select("n", F.explode(masks).alias("x")).groupBy("x.depth", "x.code").agg(F.sum("n").alias("n"))
+    """depth, code, context, n: counts for contexts of every length; grams: gram, n."""
+    rows = grams.where("n > 0").select("n", at_depths("gram", range(DEPTH + 1)).alias("x"))
+    return rows.groupBy("x.depth", "x.code", "x.context").agg(F.sum("n").alias("n"))
 
 
-def grown(level: DataFrame, least: float) -> DataFrame:
-    """Entries of the contexts that pass the divergence test: depth, code, n, total, kinds."""
-    level = level.withColumn("context", F.shiftright("code", 8))
+def states(level: DataFrame) -> DataFrame:
+    """depth, context, total, kinds of the contexts that the divergence test keeps, and of the root."""
     sums = level.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    # A context without an entry that is common enough can't be a state; it needs no test.
-    sums = sums.where(F.col("total") >= least)
-    whole = level.join(sums, ["depth", "context"])
-    mask = F.element_at(F.array(*(F.lit((1 << 8 * d) - 1 if d else 0).cast("long") for d in range(DEPTH + 1))), F.col("depth") + 1)
-    child = whole.where("depth > 0").withColumn("up", F.col("code").bitwiseAND(mask))
+    whole = level.join(sums.where((F.col("total") >= MIN_SEEN) | (F.col("depth") == 0)), ["depth", "context"])
+    masks = F.array(*(F.lit((1 << 8 * d) - 1 if d else 0).cast("long") for d in range(DEPTH + 1)))
+    child = whole.where("depth > 0").withColumn("up", F.col("code").bitwiseAND(F.element_at(masks, F.col("depth") + 1)))
+    # A suffix was seen at least as often as the context, so it has its sums.
     parent = whole.select((F.col("depth") + 1).alias("depth"), F.col("code").alias("up"), F.col("n").alias("up_n"), F.col("total").alias("up_total"))
     gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("up_n") / F.col("up_total"))))
-    passed = child.join(parent, ["depth", "up"]).groupBy("depth", "context").agg(gain.alias("gain"), F.max("total").alias("t"), F.max("kinds").alias("k")).where(F.col("gain") >= F.col("k") / 2 * F.log("t"))
-    keep = passed.select("depth", "context").union(sums.where("depth = 0").select("depth", "context"))
-    return whole.join(keep, ["depth", "context"], "left_semi").where(F.col("n") >= least).select("depth", "code", "n", "total", "kinds")
+    tested = child.join(parent, ["depth", "up"]).groupBy("depth", "context").agg(gain.alias("gain"), F.max("total").alias("total"), F.max("kinds").alias("kinds"))
+    kept = tested.where(F.col("gain") >= F.col("kinds") / 2 * F.log("total")).drop("gain")
+    return kept.unionByName(sums.where("depth = 0"))
+
+
+def prices(grams: DataFrame, level: DataFrame, kept: DataFrame) -> DataFrame:
+    """gram and p, its last byte's probability after the bytes before it."""
+    found = []
+    for depths, hint in ((range(NEAR + 1), "broadcast"), (range(NEAR + 1, DEPTH + 1), "merge")):
+        rows = grams.select("gram", at_depths("gram", depths).alias("x")).select("gram", "x.*")
+        part = F.col("depth").between(depths.start, depths.stop - 1)
+        # The near tables have at most 256 ** (NEAR + 1) rows and one more for the root.
+        own, state = level.where(part).drop("context").hint(hint), kept.where(part).hint(hint)
+        found.append(rows.join(state, ["depth", "context"]).join(own, ["depth", "code"], "left").select("gram", "depth", "n", "total", "kinds"))
+    steps = found[0].unionByName(found[1]).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("depth", F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds"))).alias("steps"))
+    weight = lambda x: x["kinds"] * F.lit(PARENT)
+    p = F.aggregate("steps", F.lit(1 / 256), lambda p, x: (x["n"] + weight(x) * p) / (x["total"] + weight(x)))
+    return steps.select("gram", p.alias("p"))
+
+
+def spelt(types: DataFrame) -> DataFrame:
+    """code, n, train and spelt, the log10 probability of its spelling, of each distinct token."""
+    rows = stage(types.mapInArrow(spell_task, "code long, train long, grams array<long>"), "suffix-spelling")
+    grams = stage(rows.select("train", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count_if(F.col("train") > 0).alias("n")), "suffix-grams")
+    level = stage(levels(grams), "suffix-levels")
+    kept = stage(states(level), "suffix-states")
+    price = prices(grams, level, kept)
+    price = stage(grams.join(price.hint("merge"), "gram", "left").select("gram", F.log10(F.coalesce("p", F.lit(1 / 256))).alias("price")), "suffix-prices")
+    each = rows.select("code", F.explode("grams").alias("gram")).join(price.hint("merge"), "gram").groupBy("code").agg(F.sum("price").alias("spelt"))
+    out = stage(types.select("code", "n", "train").join(each, "code"), "suffix-words")
+    for used in (rows, grams, level, kept, price):
+        unstage(used)
+    return out
 
 
-def fitted(grams: DataFrame) -> Tree:
-    """The tree; what the driver takes are its entries, at most 1 / LEAST of each depth."""
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    level = stage(levels(grams), "suffix-levels")
-    t = grown(level, max(1.0, total * LEAST)).toArrow()
-    depth = t["depth"].to_numpy()
-    columns = [t[c].to_numpy() for c in ("code", "n", "total", "kinds")]
-    columns[0] = columns[0].astype(np.int64).view(np.uint64)
-    return Tree(*([c[depth == d] for d in range(DEPTH + 1)] for c in columns))
+def score_task(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, known, base, price = shared.value
+        names = ["doc_id", "n_tokens", "n_head", "base_head", "score_head", "tail"]
+        for batch in batches:
+            for low, high, data, offsets in tokens.pieces(batch.column("text")):
+                w = tokens.words(data, offsets)
+                per_doc = np.diff(w.first)
+                n_docs, doc = len(per_doc), np.repeat(np.arange(len(per_doc)), per_doc + 1)
+                code = np.full(len(w.start) + n_docs, END, np.int64)
+                code[np.arange(len(w.start)) + np.repeat(np.arange(n_docs), per_doc)] = w.hashes().view(np.int64)
+                where = np.minimum(np.searchsorted(common, code), max(len(common) - 1, 0))
+                head = common[where] == code if len(common) else np.zeros(len(code), bool)
+                at, owner, tail = where[head], doc[head], ~head
+                sums = [np.bincount(owner, x[at], n_docs) for x in (known, base, price)] if len(common) else [np.zeros(n_docs)] * 3
+                columns = [batch.column("doc_id").slice(low, high - low), pa.array(per_doc + 1, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+                yield pa.RecordBatch.from_arrays([*columns, tokens.lists(code[tail], np.bincount(doc[tail], minlength=n_docs))], names)
+
+    return run
+
+
+def priced(words: DataFrame, total: int, distinct: int, once: int) -> DataFrame:
+    """code, n, known (whether training has it), base and price: what the token adds to the base score and to the score."""
+    new = min(max(once, 1) / (total + 1), 1.0)
+    c, spelt_ = F.col("train"), F.col("spelt")
+    mixed = F.log10(c * ((1 - new) / max(total, 1)) + F.pow(F.lit(10.0), spelt_) * new)
+    base = F.log10((c + F.lit(0.1)) / F.lit(total + 0.1 * (distinct + 1)))
+    return words.select("code", "n", (c > 0).cast("int").alias("known"), base.alias("base"), F.when(c > 0, mixed).otherwise(spelt_ + float(np.log10(new))).alias("price"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    counts = docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("text").mapInArrow(count_task, "kind int, code long, n long")
-    counts = stage(counts.groupBy("kind", "code").agg(F.sum("n").alias("n")), "suffix-counts")
-    vocabulary = counts.where("kind = 1").select("code", "n")
-    total, distinct, once = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
-    mix = Mix(total, once)
-    tree = fitted(counts.where("kind = 0").select("code", "n"))
-    common = vocabulary.where(F.col("n") >= max(1.0, total * LEAST_WORD))
-    t = common.toArrow()  # at most 1 / LEAST_WORD rows
-    codes = t["code"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(codes)
-    shared = spark.sparkContext.broadcast((tree, codes[order], t["n"].to_numpy()[order].astype(float), mix))
+    out_of = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    found = docs.select("text", (~out_of).alias("train")).mapInArrow(token_task, TOKENS)
+    types = stage(found.groupBy("code").agg(F.first("word").alias("word"), F.sum("n").alias("n"), F.sum("train").alias("train")), "suffix-types")
+    every, total, distinct, once = types.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0), F.count_if(F.col("train") == 1)).first()
+    words = stage(priced(spelt(types), total, distinct, once), "suffix-priced")
+    unstage(types)
+    least = max(1.0, every * LEAST_WORD)
+    t = words.where(F.col("n") >= least).toArrow().sort_by("code")  # at most 1 / LEAST_WORD rows
+    shared = spark.sparkContext.broadcast((t["code"].to_numpy(), *(t[c].to_numpy().astype(float) for c in ("known", "base", "price"))))
     key = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(score_task(shared), f"doc_id {key}, n_tokens long, n_head long, base_head double, score_head double, tail array<long>, tail_spelt array<double>")
+    rows = docs.mapInArrow(score_task(shared), f"doc_id {key}, n_tokens long, n_head long, base_head double, score_head double, tail array<long>")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "suffix-scores")
-    # Words that not all tasks know join their counts by key; each is rare, so no key is hot.
-    tail = rows.select("row", F.explode(F.arrays_zip("tail", "tail_spelt")).alias("x")).select("row", F.col("x.tail").alias("code"), F.col("x.tail_spelt").alias("spelt"))
-    rare = vocabulary.where(F.col("n") < max(1.0, total * LEAST_WORD))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    tail = tail.join(rare, "code", "left").groupBy("row").agg(F.sum(F.when(n > 0, 1).otherwise(0)).alias("known"), F.sum(F.log10(n + F.lit(0.1))).alias("more"), F.sum(F.log10(mix.column(n, F.col("spelt")))).alias("tail_score"))
-    out = rows.drop("tail", "tail_spelt").join(tail, "row", "left")
-    per_token = float(np.log10(total + 0.1 * (distinct + 1)))
+    # Tokens that not all tasks know join their prices by key; each is rare among all rows, so no key is hot.
+    tail = rows.select("row", F.explode("tail").alias("code")).join(words.where(F.col("n") < least).hint("merge"), "code")
+    tail = tail.groupBy("row").agg(F.sum("known").alias("more"), F.sum("base").alias("base"), F.sum("price").alias("price"))
+    out = rows.drop("tail").join(tail, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    known = (F.col("n_head") + F.coalesce("known", F.lit(0))).cast("long")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_head") + zero("more") - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), (F.col("score_head") + zero("tail_score")).alias("score"))
+    known = (F.col("n_head") + F.coalesce("more", F.lit(0))).cast("long")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_head") + zero("base")).alias("base_score"), (F.col("score_head") + zero("price")).alias("score"))

@@ -26,7 +26,7 @@ EDGE = [
 @pytest.fixture(scope="module")
 def edge(spark):
     d = spark.createDataFrame(EDGE, DOCS)
-    clash = {c: F.lit("clash") for c in ("size", "key", "rank", "rep", "root", "n", "words", "lines", "hits", "items", "score", "place", "seed", "pos", "n_words", "kept", "copies", "target", "shard", "toxic", "url", "node", "tail", "row", "code")}
+    clash = {c: F.lit("clash") for c in ("size", "key", "rank", "rep", "root", "n", "words", "lines", "hits", "items", "score", "place", "seed", "pos", "n_words", "kept", "copies", "target", "shard", "toxic", "url", "node", "tail", "row", "code", "_id", "_good", "_first", "_place", "_plan", "_copy", "_lang", "_source", "mark", "bytes", "keys", "k1", "unit", "tree", "head", "first", "gone", "curve", "times")}
     return d.withColumns(clash)
 
 
@@ -172,62 +172,77 @@ def test_suffix_tree_base_score(spark, small, plain):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (brute.held(i, 10), len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(want, rel=1e-9) and r.score <= 0
-    out = [i for i in tok if brute.held(i, 10)]
-    assert sum(got[i].score for i in out) > sum(got[i].base_score for i in out)
-
-
-def plain_tree(texts, least):
-    """Entries of the tree by depth, and a function that gives P(byte | history), without sorted arrays."""
-    grams = Counter()
-    for t in texts:
-        s = b"\n" * suffix_tree.DEPTH + b"".join(w.encode() + b" " for w in brute.words(t)) + b"\n"
-        for i in range(suffix_tree.DEPTH, len(s)):
+    # Seen tokens cost what the base score takes for them, but for the share that is kept for new ones.
+    seen = [r for r in got.values() if r.n_known == r.n_tokens > 1]
+    assert seen and all(r.base_score - 0.2 * r.n_tokens < r.score < 0 for r in seen)
+
+
+def plain_tree(counts):
+    """States of the tree, P(byte | history) and the price of a token, from token -> count, without packed grams."""
+    nexts = defaultdict(Counter)
+    spelled = lambda t: (t + b" ") if t is not None else b"\n"
+    for t, c in counts.items():
+        x = b" " * suffix_tree.DEPTH + spelled(t)
+        for i in range(suffix_tree.DEPTH, len(x)):
             for d in range(suffix_tree.DEPTH + 1):
-                grams[s[i - d : i], s[i]] += 1
-    nexts = defaultdict(dict)
-    for (ctx, a), n in grams.items():
-        nexts[ctx][a] = n
-    states = {}
+                nexts[x[i - d : i]][x[i]] += c
+    kept = {}
     for ctx, row in nexts.items():
         total = sum(row.values())
         if ctx:
             up = nexts[ctx[1:]]
             gain = sum(n * math.log((n / total) / (up[a] / sum(up.values()))) for a, n in row.items())
-            if total < least or gain < len(row) / 2 * math.log(total):
+            if total < suffix_tree.MIN_SEEN or gain < len(row) / 2 * math.log(total):
                 continue
-        if kept := {a: n for a, n in row.items() if n >= least}:
-            states[ctx] = kept, total, len(row)
+        kept[ctx] = row, total, len(row)
 
     def p(ctx, a):
-        if ctx not in states:
-            return p(ctx[1:], a) if ctx else 1 / 256
-        kept, total, kinds = states[ctx]
-        below = lambda x: p(ctx[1:], x) if ctx else 1 / 256
-        mine = lambda x: (kept[x] + kinds * below(x)) / (total + kinds)
-        if a in kept:
-            return mine(a)
-        return below(a) * max(1 - sum(map(mine, kept)), 1e-12) / max(1 - sum(map(below, kept)), 1e-12)
-
-    return states, p
-
-
-def test_suffix_tree_states_and_probabilities(spark, plain):
-    texts = [t for _, t in plain][:25]
-    d = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = d.mapInArrow(suffix_tree.count_task, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
-    tree = suffix_tree.fitted(counts.where("kind = 0").select("code", "n"))
-    states, p = plain_tree(texts, 1.0)
-    sizes = [(len(s), sum(len(c) == d for c in states)) for d, s in enumerate(tree.state)]
-    assert all(abs(a - b) <= 2 for a, b in sizes)  # a gain may lie on the line to the last digit
-    rng = random.Random(2)
-    for _ in range(200):
-        ctx = (rng.choice(list(states)) + bytes(rng.choice(b"etan z") for _ in range(5)))[-suffix_tree.DEPTH :]
-        ctx = ctx.rjust(suffix_tree.DEPTH, b"\n")
-        a = rng.choice(b"etaoinsh xq\n")
-        code = int.from_bytes(ctx + bytes([a]), "big")
-        assert tree.probability(np.array([code], np.uint64))[0] == pytest.approx(p(ctx, a), rel=1e-9)
-    every = np.arange(256, dtype=np.uint64) | np.uint64(int.from_bytes(b"\x00the \x00", "big") >> 8 << 8)
-    assert tree.probability(every).sum() == pytest.approx(1)
+        below = p(ctx[1:], a) if ctx else 1 / 256
+        if ctx not in kept:
+            return below
+        row, total, kinds = kept[ctx]
+        return (row[a] + kinds * below) / (total + kinds)
+
+    def price(t):
+        x = b" " * suffix_tree.DEPTH + spelled(t)
+        return sum(math.log10(p(x[i - suffix_tree.DEPTH : i], x[i])) for i in range(suffix_tree.DEPTH, len(x)))
+
+    return kept, p, price
+
+
+def test_suffix_tree_score_by_brute_force(small, plain):
+    """Every score from its states up; all distributions sum to one."""
+    tok = [(i, [*(w.encode() for w in brute.words(t)), None]) for i, t in plain]
+    c = Counter(w for i, ws in tok if not brute.held(i, 10) for w in ws)
+    n, once = sum(c.values()), sum(x == 1 for x in c.values())
+    kept, p, price = plain_tree(dict.fromkeys(c, 1))
+    new = once / (n + 1)
+    cost = {w: math.log10((1 - new) * c[w] / n + new * 10 ** price(w)) if c[w] else math.log10(new) + price(w) for w in {w for _, ws in tok for w in ws}}
+    assert max(map(len, kept)) == suffix_tree.DEPTH and new * sum(10 ** price(w) for w in c) < new
+    for ctx in (b"     ", b"   th", b"qzqzq"):
+        assert sum(p(ctx, a) for a in range(256)) == pytest.approx(1)
+    got = {r.doc_id: r.score for r in suffix_tree.scored(small).collect()}
+    for i, ws in tok:
+        # A gain may lie on the line to the last digit, so single states can differ.
+        assert got[i] == pytest.approx(sum(cost[w] for w in ws), rel=1e-4)
+    assert sum(abs(got[i] - sum(cost[w] for w in ws)) > 1e-7 * len(ws) for i, ws in tok) <= len(tok) // 10
+
+
+def test_gibberish_scores_below_clean(spark, small):
+    rng = random.Random(12)
+    bad = [(10_000 + i, " ".join("".join(rng.choice("bcdfghjkqvwxz") for _ in range(6)) for _ in range(60))) for i in range(40)]
+    d = small.select("doc_id", "text").unionByName(spark.createDataFrame(bad, "doc_id long, text string"))
+    got = [(r.doc_id >= 10_000, r.score / r.n_tokens) for r in suffix_tree.scored(d).where("held_out AND n_tokens > 20").collect()]
+    assert sum(b for b, _ in got) >= 2 and max(x for b, x in got if b) < min(x for b, x in got if not b)
+
+
+def test_tokens_join_where_few_are_common(small, monkeypatch):
+    """All prices by join, none by broadcast."""
+    want = {r.doc_id: r.score for r in suffix_tree.scored(small).collect()}
+    monkeypatch.setattr(suffix_tree, "LEAST_WORD", 0.9)
+    monkeypatch.setattr(suffix_tree, "MERGE", 50)
+    got = {r.doc_id: r.score for r in suffix_tree.scored(small).collect()}
+    assert got == pytest.approx(want)
 
 
 def test_suffix_tree_edges(edge, empty):
@@ -263,7 +278,7 @@ def test_jaccard_in_a_large_group(spark):
 def test_jaccard_shortens_to_the_target(spark, monkeypatch):
     depths = []
     real = jaccard.verified
-    monkeypatch.setattr(jaccard, "verified", lambda d, c, depth, s: depths.append(depth) or real(d, c, depth, s))
+    monkeypatch.setattr(jaccard, "verified", lambda d, c, depth, *more: depths.append(depth) or real(d, c, depth, *more))
     w = [f"w{i}" for i in range(60)]
     pairs = [(2 * i + k, " ".join(f"p{i}{x}" for x in (w if not k else [*w[:54], *"abcdef"]))) for i in range(20) for k in range(2)]
     jaccard.joined(spark.createDataFrame(pairs, "doc_id long, text string"), 0.8, 0.9999999)
@@ -299,6 +314,34 @@ def test_jaccard_edges(edge, empty):
     assert left.columns == edge.columns and sorted(r.doc_id for r in left.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 14] and left.where("doc_id IS NULL").count() == 1
 
 
+TWINS = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    """Each text of an id is a class of its own, and links of all are found."""
+    a, b = TWINS
+    texts = [(5, a), (5, b), (6, a.replace("a59", "x")), (7, b.replace("b0 ", "y ")), (5, a), (8, "other words " * 9)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").withColumn("_first", F.lit(1))
+    got = sorted(tuple(r) for r in jaccard.joined(d).collect())
+    assert got == [(5, 5, 5, 1), (5, 5, 5, 2), (5, 5, 5, 2), (6, 6, 5, 2), (7, 7, 5, 1), (8, 8, 8, 0)]
+    out = jaccard.kept(d)
+    assert out.columns == d.columns and sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(5, a), (5, b), (8, "other words " * 9)])
+
+
+def test_jaccard_of_named_documents(spark):
+    a, b = TWINS
+    d = spark.createDataFrame([("x/2", a), ("x/1", a), ("x/10", b), (None, a)], "doc_id string, text string")
+    assert rows(jaccard.joined(d)) == sorted([("x/2", "x/1", "x/1", 1), ("x/1", "x/1", "x/1", 1), ("x/10", "x/10", "x/10", 0), (None, None, None, 0)], key=repr)
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_jaccard_node_by_node(spark, small, plain, monkeypatch, block):
+    """Groups that are too large to be compared whole give the same links; each pair counts once."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.joined(small, most=0).collect()}
+    assert got == brute.near_copies(plain)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(2000 + i, 2001 + i) for i in range(60)]
@@ -326,6 +369,14 @@ def test_lines_on_edges(edge, empty):
     assert lines.deduped(edge).where("doc_id = 6").first().text == "and more"
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    shared = "the same long line in many documents"
+    texts = [(1, f"unique A\n{shared}\nmore of the first text, long enough"), (1, f"unique B first line of its own text\nsecond\n{shared}"), (2, shared), (3, f"{shared}\nlast"), (None, shared)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows(lines.digest(d)) == sorted(brute.line_cut(texts), key=repr)
+    assert {r.text for r in lines.deduped(d).where("doc_id = 1").collect()} == {"unique A\nmore of the first text, long enough", "unique B first line of its own text\nsecond"}
+
+
 # 5 sharding
 
 
