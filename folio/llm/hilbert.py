@@ -8,8 +8,11 @@ differ by one at most. Ties go by the text's checksum and then doc_id, so equal
 Strings are quantised by rank weighted with rows: the cell of a value is the share of rows below it,
 so common sources get cells of their own and the order of names is kept.
 
-Edge cases: null text has size 8 and checksum 0; null lang or source come first; repeated rows are
-neighbours in any order; an empty table gives no rows."""
+`placed` carries all columns along, in the order of the curve, so that the rows are ready to be written by
+shard; what it adds has the names of ADDED, and a column of the input with such a name becomes in_<name>.
+
+Edge cases: null text has size 8 and checksum 0; null lang or source come first; repeated rows and copies are
+neighbours, told apart by shard and slot; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -21,6 +24,7 @@ from folio.llm.base import ranked, stage
 
 SHARDS = 24
 DIMS, BITS = 3, 5
+ADDED = ("size", "text_crc32", "curve", "law", "shard", "slot", "grown_shard")
 
 
 def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
@@ -84,20 +88,37 @@ def name_cells(rows: DataFrame, column: str, cell: str, bits: int = BITS) -> Dat
     return parts.select(F.col(column), F.call_function("div", F.col("_before") * (1 << bits), F.lit(total)).cast("int").alias(cell))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, curve, law, shard, slot and grown_shard (null under this law)."""
-    rows = docs.select("doc_id", "lang", "source", text_size().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+def numbered(docs: DataFrame, shards: int, carried: list[str]) -> DataFrame:
+    """row (the carried columns) and ADDED of each document. Carried rows move once, into the order of the curve."""
+    row = F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row")
+    rows = docs.select("doc_id", "lang", "source", text_size().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), row)
     rows = stage(rows, "shard-rows")
     lang = stage(name_cells(rows, "lang", "x"), "lang-cells").withColumnRenamed("lang", "_lang")
     source = stage(name_cells(rows, "source", "y"), "source-cells").withColumnRenamed("source", "_source")
     log_size = F.least(F.length(F.bin("size")), F.lit((1 << BITS) - 1))
-    rows = rows.join(lang, rows.lang.eqNullSafe(lang._lang)).join(source, rows.source.eqNullSafe(source._source))
-    rows = rows.select("doc_id", "size", "text_crc32", hilbert_index([F.col("x"), F.col("y"), log_size.cast("int")]).alias("curve"))
-    rows = stage(ranked(rows, [F.col("curve"), F.col("text_crc32"), F.col("doc_id")], "rank", "curve"), "shard-ranks")
     total = F.lit(max(rows.count(), 1)).cast("long")
+    rows = rows.join(lang, rows.lang.eqNullSafe(lang._lang)).join(source, rows.source.eqNullSafe(source._source))
+    rows = rows.select("doc_id", "size", "text_crc32", hilbert_index([F.col("x"), F.col("y"), log_size.cast("int")]).alias("curve"), "row")
+    rows = ranked(rows, [F.col("curve"), F.col("text_crc32"), F.col("doc_id")], "rank", "curve")
     shard = F.call_function("div", F.col("rank") * shards, total)
     first = F.call_function("div", shard * total + (shards - 1), F.lit(shards))
-    return rows.select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select("row", "size", "text_crc32", "curve", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, curve, law, shard, slot and grown_shard (null under this law)."""
+    return numbered(docs, shards, ["doc_id"]).select("row.doc_id", *ADDED)
+
+
+def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """All columns of the documents, and ADDED."""
+    names = {c: f"in_{c}" if c in ADDED else c for c in docs.columns}
+    return numbered(docs, shards, docs.columns).select(*(F.col("row").getField(c).alias(n) for c, n in names.items()), *ADDED)
+
+
+def written(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """Writes the documents by shard, in the order of the curve: a folder for each shard, whose files span a small box of all dimensions."""
+    placed(docs, shards).write.partitionBy("shard").parquet(path)
 
 
 def sharded_sql(docs: str = "documents") -> str:

@@ -11,7 +11,9 @@ a source then lacks or has too much is made up by one copy more or less of the d
 comes nearest to it. Sums are decimals, so reruns agree to the word. DataFrame functions only.
 
 Edge cases: null text has size 0; documents of size 0 have rate 1; null source comes last; repeated
-rows are rated each; an empty table gives no rows; if there are no words, all targets are 0."""
+rows and rows that share an id are rated each; an empty table gives no rows; if there are no words, all
+targets are 0; other columns are carried along whatever their names. If a source has not settled after
+STEPS steps, the operator fails instead of mixing by a wrong rate."""
 
 from __future__ import annotations
 
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.base import WORD_RE, ranked, stage
+from folio.llm.base import WORD_RE, ranked, stage, unstage
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -67,7 +69,7 @@ def multipliers(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFram
     h = hist.where("size > 0").withColumnRenamed("source", "_source")
     for _ in range(STEPS):
         if x.where("NOT done").isEmpty():
-            break
+            return x
         open_ = x.where("NOT done")
         r = rate(F.col("x"), F.col("size"), F.col("scale"), cap)
         words = (F.col("n") * F.col("size") * r).cast("decimal(38,9)")
@@ -83,13 +85,29 @@ def multipliers(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFram
         settled = F.abs(gap) <= F.col("target") * NEAR
         new = F.when(F.col("done") | settled, F.col("x")).when(inside, newton).otherwise(halved)
         n = n.select("source", "source_size", "target", "scale", "least", new.alias("x"), "low", "high", (F.col("done") | settled | (new == F.col("x"))).alias("done"))
-        x = stage(n, "multipliers")
-    return x
+        x, old = stage(n, "multipliers"), x
+        unstage(old)
+    if x.where("NOT done").isEmpty():
+        return x
+    raise RuntimeError(f"a source has not settled after {STEPS} steps")
+
+
+def weighed(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """rid, doc_id, source, size, a mark of the text, and row with the carried columns, written once so that rids stay."""
+    row = F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row")
+    rows = docs.select("doc_id", "source", text_words().alias("size"), F.xxhash64("text").alias("mark"), row)
+    return stage(rows.withColumn("rid", F.monotonically_increasing_id()), "mix-rows")
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of each document."""
-    rows = stage(docs.select("doc_id", "source", text_words().alias("size")), "mix-rows")
+    out = planned(weighed(docs, ["doc_id"]), weights, cap)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def planned(rows: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """rid, doc_id, source, size, source_size, target and copies of each row of weighed()."""
+    rows = rows.select("rid", "doc_id", "source", "size", "mark")
     hist = stage(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sizes")
     x = multipliers(hist, source_targets(hist, weights, cap), cap).withColumnRenamed("source", "_source")
     h = hist.join(x, hist.source.eqNullSafe(x["_source"])).drop("_source")
@@ -97,17 +115,18 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     # Copies due to larger documents of the source; a source has no more rows here than distinct sizes.
     before = W.partitionBy("source").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
     due = F.coalesce(F.sum((F.col("n") * F.col("rate")).cast("decimal(38,12)")).over(before), F.lit(0).cast("decimal(38,12)"))
-    at = ranked(rows, [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id")], "place", "mix-order")
+    at = ranked(rows, [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id"), F.col("mark")], "place", "mix-order")
     first = at.groupBy("source", "size").agg(F.min("place").alias("first")).withColumnsRenamed({"source": "_s", "size": "_z"})
     h = h.withColumn("due", due).join(first, h.source.eqNullSafe(first["_s"]) & (h["size"] == first["_z"])).drop("_s", "_z")
     h = stage(h.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target", "rate", "due", "first"), "mix-rates")
     out = at.join(h, at.source.eqNullSafe(h["_s"]) & (at["size"] == h["_z"]))
     upto = lambda k: F.floor((F.col("due") + (F.col("place") - F.col("first") + k).cast("decimal(18,0)") * F.col("rate") + F.lit(0.5).cast("decimal(2,1)")).cast("decimal(38,12)"))
     copies = (upto(1) - upto(0)).cast("long")
-    out = stage(out.select("place", "doc_id", "source", "size", "source_size", "target", copies.alias("copies")), "mix-copies")
+    out = stage(out.select("place", "rid", "doc_id", "source", "size", "source_size", "target", copies.alias("copies")), "mix-copies")
     for _ in range(2):
-        out = stage(evened(out, cap), "mix-copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        out, old = stage(evened(out, cap), "mix-copies"), out
+        unstage(old)
+    return out.drop("place")
 
 
 def evened(rows: DataFrame, cap: int) -> DataFrame:
@@ -122,14 +141,12 @@ def evened(rows: DataFrame, cap: int) -> DataFrame:
 
 
 def copied(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Each document as often as the mix takes it; columns as before. Rows that repeat an id and size share a count."""
-    plan = mixed(docs, weights, cap).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("size", "copies")).alias("_plan"))
-    plan = stage(plan, "mix-plan")
-    # Merge join at every size: the plan grows with the documents.
-    rows = docs.join(plan.hint("merge"), docs.doc_id.eqNullSafe(plan["_id"]))
-    copies = F.filter("_plan", lambda x: x["size"] == text_words())
-    times = F.coalesce(F.get(F.array_sort(copies), F.lit(0))["copies"], F.lit(0)).cast("int")
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")
+    """Each row as often as the mix takes it; columns as before."""
+    rows = weighed(docs, docs.columns)
+    plan = planned(rows, weights, cap).where("copies > 0").select("rid", "copies")
+    # Merge join at every size, by a number that no two rows share: the plan grows with the documents.
+    out = rows.select("rid", "row").join(plan.hint("merge"), "rid")
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -402,6 +402,18 @@ def test_sharding_laws(small, edge, empty):
     assert hilbert.sharded(empty).collect() == []
 
 
+def test_shards_prune(spark, small, tmp_path):
+    """Readers of one language, source or size open few shards; columns and clashing names survive."""
+    d = small.withColumns({"shard": F.lit("clash"), "row": F.lit("clash")})
+    hilbert.written(d, str(tmp_path / "shards"))
+    got = spark.read.parquet(str(tmp_path / "shards"))
+    assert got.count() == small.count() and {r.in_shard for r in got.collect()} == {"clash"}
+    spans = got.groupBy("shard").agg(F.min("lang").alias("a"), F.max("lang").alias("b"), F.min("source").alias("c"), F.max("source").alias("e")).collect()
+    opened = lambda lo, hi, col: [sum(r[lo] <= v <= r[hi] for r in spans) for v in {r[col] for r in small.collect()}]
+    # By minima and maxima alone, as a file's statistics tell; in random order every shard would be opened.
+    assert len(spans) == 24 and sum(opened("a", "b", "lang")) < 0.6 * 24 * 4 and sum(opened("c", "e", "source")) < 0.7 * 24 * len({r.source for r in small.collect()})
+
+
 # 6 passages
 
 
@@ -577,8 +589,7 @@ def test_mix_meets_targets(small):
         assert r.target == pytest.approx(want[r.source]) and r.taken == r.copies * r.size <= 3 * r.size and r.source_size == size[r.source]
         taken[r.source] += r.taken
     for s in size:
-        smallest = sorted(r.size for r in m if r.source == s and r.size)
-        assert abs(taken[s] - want[s]) <= max(smallest[0], 0.05 * want[s])
+        assert abs(taken[s] - want[s]) <= max(2, 0.01 * want[s])
     assert rows(mixing.digest(small)) == rows(mixing.digest(small))
 
 
@@ -606,6 +617,26 @@ def test_mix_caps_and_edges(spark, edge, empty):
     assert {(r.target, r.taken) for r in mixing.digest(none).collect()} == {(0.0, 0)}
     out = mixing.copied(edge)
     assert out.columns == edge.columns and Counter(r.doc_id for r in out.where("doc_id <> 8").collect()) == Counter({i: r.copies for (i, _), r in m.items() if i not in (8, None) and r.copies})
+    assert {r["_copy"] for r in out.collect()} == {"clash"}
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """Each row has a rate of its own, and the words of all rows meet the target."""
+    texts = [(7, " ".join(f"w{i}x{k}" for k in range(10 + i % 50)), "en", f"s{i % 3}", 1) for i in range(600)] + [(7, "a b c", "en", "s1", 1)] * 300
+    d = spark.createDataFrame(texts, DOCS)
+    size, taken = Counter(), Counter()
+    for _, t, _, s, _ in texts:
+        size[s] += len(t.split())
+    for r in mixing.copied(d).collect():
+        taken[r.source] += len(r.text.split())
+    want = brute.targets(size)
+    assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] for s in size), (taken, want)
+
+
+def test_mix_fails_when_a_source_does_not_settle(small, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="settled"):
+        mixing.mixed(small)
 
 
 # 10 toxicity
