@@ -2,7 +2,8 @@
 
 Each stage takes all that the one before kept, and what it decides takes effect: rejected documents,
 all but the first of each group of near copies, and documents with benchmark passages go; the mix
-repeats or leaves out documents; the last stage gives every remaining row its shard and slot.
+repeats or leaves out documents; the last stage puts every remaining row with all its columns into a shard and slot,
+which also tell the copies of a document apart.
 
 Edge cases are those of the operators; a stage that keeps nothing passes on an empty table."""
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import decontaminate, hilbert, jaccard, mixing, quality
-from folio.llm.base import stage
+from folio.llm.base import stage, unstage
 from folio.session import table
 
 
@@ -32,7 +33,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def hilbert_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return hilbert.sharded(docs)
+    return hilbert.placed(docs)
 
 
 STAGES = [
@@ -49,6 +50,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
+        if before is not None:
+            unstage(before)  # all of it has been read
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
