@@ -588,8 +588,8 @@ def test_mix_meets_targets(small):
     for r in m:
         assert r.target == pytest.approx(want[r.source]) and r.taken == r.copies * r.size <= 3 * r.size and r.source_size == size[r.source]
         taken[r.source] += r.taken
-    for s in size:
-        assert abs(taken[s] - want[s]) <= max(2, 0.01 * want[s])
+    # A source of a few documents can be off by more; all together are not.
+    assert all(abs(taken[s] - want[s]) <= 0.05 * want[s] for s in size) and sum(abs(taken[s] - want[s]) for s in size) <= 0.01 * sum(want.values())
     assert rows(mixing.digest(small)) == rows(mixing.digest(small))
 
 
