@@ -3,18 +3,22 @@
 Seeds are minimizers: of every WINDOW consecutive k-mers of words the one that hashes lowest, so two
 texts that share K + WINDOW - 1 words in a row share a seed. Each seed is joined to its first
 occurrence, the one of least doc_id, never to all others: matches grow with the text, not with the
-square of a passage's copies. For each document and first document, runs of matches on a diagonal are
+square of a passage's copies. For each text and first text, runs of matches on a diagonal are
 segments; segments are chained in both orders with a cost for gaps, by a Fenwick tree over the first
-document's positions. Chains are aligned word by word and grown at both ends, which also joins what
-other first occurrences took out of a chain. Where the seeds of a run have first occurrences in several
-documents, no chain may show who has the whole run: runs of repeated seeds that no passage covers are
-searched again by their grams of MIN_WORDS words, each joined to the first document that has it. So each
-exact repeat of MIN_WORDS words is found, whatever else holds parts of it. A passage is reported by the document that repeats it
-and the first document that has it, with its place in both.
+text's positions. A chain is aligned segment by segment: words that differ on a segment's diagonal and the
+gaps between segments are compared by themselves, so the work grows with the text and not with the square of
+its length. Chains grow at both ends, which also joins what other first occurrences took out of a chain. Where
+the seeds of a run have first occurrences in several documents, no chain may show who has the whole run: runs
+of repeated seeds that no passage covers are searched again by their grams of MIN_WORDS words, each joined to
+the first document that has it. So each exact repeat of MIN_WORDS words is found, whatever else holds parts of
+it. A passage is reported by the document that repeats it and the first document that has it, with its place in
+both; a passage that a text repeats itself is reported too (first_id is doc_id), from MIN_WORDS words on.
 
 Edge cases: null and empty texts and texts under K words have no seeds; passages under MIN_WORDS words
-are not reported; repeats inside one document are not; a repeated row repeats its passages; an empty
-table gives no rows. Positions count words from 0."""
+are not reported; a repeated row repeats no more than its first; rows that share an id are texts of their own (each
+is told by a hash of its text) and one may repeat the other; rows without an id are left out; ids are whole
+numbers, or strings of their digits, others fail; an empty table gives no rows; other columns are not
+looked at. Positions count words from 0."""
 
 from __future__ import annotations
 
@@ -24,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm import tokens
-from folio.llm.base import shuffle_parts, stage
+from folio.llm.base import shuffle_parts, stage, unstage
 
 K, WINDOW = 6, 8
 MIN_WORDS = 50
@@ -41,7 +45,11 @@ JOIN = 32
 MARGIN, SKIP, SURE = 96, 6, 3
 #: Edits for each word that a passage may have.
 EDITS = 0.4
-CHAIN = "doc_id long, first_id long, start int, stop int, first_start int, first_stop int, score double, parts array<int>"
+#: Where both sides of a gap are longer, all their words count as edits.
+COMPARED = 256
+#: A text is named by its id and the upper half of a spot, a hash of the text; the lower half is a word's position.
+KEYS = ("doc_id", "mark", "first_id", "first_mark")
+CHAIN = "doc_id long, mark long, first_id long, first_mark long, start int, stop int, first_start int, first_stop int, score double, parts array<int>"
 
 
 def minimizers(values: np.ndarray, ok: np.ndarray) -> np.ndarray:
@@ -73,10 +81,23 @@ def minimizers(values: np.ndarray, ok: np.ndarray) -> np.ndarray:
     return marked & ok
 
 
+def mark_of(text: Column) -> Column:
+    """31 bits that tell apart the texts of rows that share an id."""
+    return F.xxhash64(text).bitwiseAND((1 << 31) - 1)
+
+
+def mark(spot: str) -> Column:
+    return F.call_function("shiftright", F.col(spot), F.lit(32))
+
+
+def place(spot: str) -> Column:
+    return F.col(spot).bitwiseAND((1 << 32) - 1).cast("int")
+
+
 def seed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, doc_id, pos, lead): lead marks a seed's first place in its text."""
+    """(seed, doc_id, spot, lead): lead marks a seed's first place in its text."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
+        ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy() << 32
         for start, _, data, offsets in tokens.pieces(batch.column("text")):
             w = tokens.words(data, offsets)
             values, ok = tokens.grams(w.hashes(), w.first, K)
@@ -86,7 +107,7 @@ def seed_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((at, v, owner))
             lead = np.ones(len(at), bool)
             lead[order[1:]] = (v[order][1:] != v[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-            yield pa.RecordBatch.from_arrays([tokens.longs(v), pa.array(ids[start + owner]), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(lead)], ["seed", "doc_id", "pos", "lead"])
+            yield pa.RecordBatch.from_arrays([tokens.longs(v), pa.array(ids[start + owner]), pa.array(marks[start + owner] + at - w.first[owner]), pa.array(lead)], ["seed", "doc_id", "spot", "lead"])
 
 
 class Fenwick:
@@ -150,17 +171,16 @@ def chains(x0: list[int], x1: list[int], y0: list[int], y1: list[int], weight: l
 
 
 def chain_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of each (doc_id, first_id); rows come sorted by both, diagonal and position."""
-    rest: np.ndarray | None = None
+    """Chains of each text and first text; rows come sorted by both, diagonal and position."""
+    open_group: list[np.ndarray] = []  # what has come of the last group, joined when it ends
 
     def of(rows: np.ndarray) -> Iterator[tuple]:
-        doc, first, diagonal, pos = rows
+        keys, diagonal, pos = rows[:4], rows[4], rows[5]
         n = len(pos)
         if not n:
             return
-        new = np.ones(n, bool)
-        other = np.ones(n, bool)
-        other[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])
+        new, other = np.ones(n, bool), np.ones(n, bool)
+        other[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
         new[1:] = other[1:] | (diagonal[1:] != diagonal[:-1]) | (pos[1:] - pos[:-1] > JOIN)
         begin = np.flatnonzero(new)
         stop = np.r_[begin[1:], n]
@@ -175,25 +195,27 @@ def chain_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = [x0[s].tolist(), x1[s].tolist(), (x0[s] - shift[s]).tolist(), (x1[s] - shift[s]).tolist()]
             for path, score in traced(*ends, weight[s].tolist()):
                 span = [ends[k][path[-(k % 2)]] for k in range(4)]
-                yield int(doc[begin[a]]), int(first[begin[a]]), *span, score, [e[i] for i in path for e in ends]
+                yield *keys[:, begin[a]].tolist(), *span, score, [e[i] for i in path for e in ends]
 
     def sent(found: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()))
-        columns = zip(*found, strict=True) if found else [()] * 8
+        kinds = (pa.int64(),) * 4 + (pa.int32(),) * 4 + (pa.float64(), pa.list_(pa.int32()))
+        columns = zip(*found, strict=True) if found else [()] * 10
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in CHAIN.split(", ")])
 
     for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "first_id", "diagonal", "pos")])
-        rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (*KEYS, "diagonal", "pos")])
         if not rows.shape[1]:
             continue
         # The last group may go on in the next batch.
-        earlier = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+        earlier = np.flatnonzero((rows[:4] != rows[:4, -1:]).any(axis=0))
         whole = int(earlier[-1]) + 1 if len(earlier) else 0
-        yield sent(list(of(rows[:, :whole])))
-        rest = rows[:, whole:]
-    if rest is not None:
-        yield sent(list(of(rest)))
+        if whole or (open_group and (open_group[-1][:4, -1] != rows[:4, 0]).any()):
+            # Something ended: what came before, with the rows of this batch that belong to it or follow it whole.
+            yield sent(list(of(np.concatenate([*open_group, rows[:, :whole]], axis=1))))
+            open_group = []
+        open_group.append(rows[:, whole:])
+    if open_group:
+        yield sent(list(of(np.concatenate(open_group, axis=1))))
 
 
 def slice_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +277,31 @@ def grown(a: list[int], b: list[int]) -> tuple[int, int, int]:
     return out
 
 
-def aligned(a: list[int], span: tuple[int, int], b: list[int], first: tuple[int, int]) -> tuple[int, int, int, int, int] | None:
+def gap_edits(a: list[int], b: list[int]) -> int:
+    """Edits between two runs of words that no seed matches; all words if both are long."""
+    if not a or not b or min(len(a), len(b)) > COMPARED:
+        return len(a) + len(b)
+    return edits(a, b, len(a) + len(b))
+
+
+def part_edits(a: list[int], b: list[int], parts: list[tuple[int, int, int, int]]) -> int:
+    """Edits of a chain: of its segments along their diagonals, and of the gaps between them."""
+    wrong = 0
+    for k, (s, e, fs, fe) in enumerate(parts):
+        if k:
+            wrong += gap_edits(a[parts[k - 1][1] : s], b[parts[k - 1][3] : fs])
+        x, y = a[s:e], b[fs:fe]
+        if x != y:
+            turns = np.flatnonzero(np.diff(np.r_[True, np.array(x) == np.array(y), True])).tolist()
+            wrong += sum(gap_edits(x[i:j], y[i:j]) for i, j in zip(turns[::2], turns[1::2], strict=True))
+    return wrong
+
+
+def aligned(a: list[int], b: list[int], parts: list[tuple[int, int, int, int]]) -> tuple[int, int, int, int, int] | None:
     """(start, stop, first_start, first_stop, edits) of the passage around a chain, or None if it differs too much."""
-    (s, e), (fs, fe) = span, first
-    core = edits(a[s:e], b[fs:fe], int(EDITS * (e - s + fe - fs)))
-    if core is None:
+    s, e, fs, fe = parts[0][0], parts[-1][1], parts[0][2], parts[-1][3]
+    core = part_edits(a, b, parts)
+    if core > int(EDITS * (e - s + fe - fs)):
         return None
     left, first_left, left_wrong = grown(a[:s][::-1], b[:fs][::-1])
     right, first_right, right_wrong = grown(a[e:], b[fe:])
@@ -284,7 +326,7 @@ def parted(a: list[int], b: list[int], parts: list[tuple[int, int, int, int]]) -
         s, e, fs, fe = p[0][0], p[-1][1], p[0][2], p[-1][3]
         if any(s >= x[0] and e <= x[1] and fs >= x[2] and fe <= x[3] for x in out):
             continue  # a neighbour has grown over it
-        if found := aligned(a, (s, e), b, (fs, fe)):
+        if found := aligned(a, b, p):
             out.append(found)
         elif len(p) > 1:
             gap = lambda k: (p[k][0] - p[k - 1][1] + p[k][2] - p[k - 1][3], -abs(2 * k - len(p)))  # noqa: B023, E731
@@ -314,24 +356,24 @@ def align_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def reported(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """The passages around matches (doc_id, first_id, diagonal, pos) of K words."""
+    """The passages around matches (KEYS, diagonal, pos) of K words."""
     n = shuffle_parts(docs.sparkSession)
-    matches = matches.repartition(n, "doc_id", "first_id").sortWithinPartitions("doc_id", "first_id", "diagonal", "pos")
+    matches = matches.repartition(n, *KEYS).sortWithinPartitions(*KEYS, "diagonal", "pos")
     found = stage(matches.mapInArrow(chain_task, CHAIN).distinct().withColumn("chain", F.monotonically_increasing_id()), "chains")
-    sides = found.select("chain", F.lit(0).alias("side"), "doc_id", "start", "stop").union(found.select("chain", F.lit(1), "first_id", "first_start", "first_stop"))
-    # Merge join at every size: the chains grow with the documents. Texts leave the join sorted by doc_id.
-    one = docs.select("doc_id", "text").join(sides.hint("merge"), "doc_id").select("chain", "side", "start", "stop", "text")
-    words = stage(one.mapInArrow(slice_task, "chain long, side int, low int, words array<int>"), "chain-words")
+    sides = found.select("chain", F.lit(0).alias("side"), "doc_id", "mark", "start", "stop").union(found.select("chain", F.lit(1), "first_id", "first_mark", "first_start", "first_stop"))
+    # Merge join at every size: the chains grow with the documents. Texts leave the join sorted by their names.
+    one = docs.join(sides.hint("merge"), ["doc_id", "mark"]).select("chain", "side", "start", "stop", "text")
+    words = stage(one.mapInArrow(slice_task, "chain long, side int, low int, words array<int>").dropDuplicates(["chain", "side"]), "chain-words")
     own = words.where("side = 0").select("chain", "low", F.col("words").alias("own_words"))
     other = words.where("side = 1").select("chain", F.col("low").alias("first_low"), F.col("words").alias("other_words"))
     spans = found.select("chain", "parts")
     done = spans.join(own, "chain").join(other, "chain").mapInArrow(align_task, "chain long, start long, words long, first_start long, first_words long, matched long")
-    out = done.join(found.select("chain", "doc_id", "first_id"), "chain")
-    return out.select("doc_id", "start", "words", "first_id", "first_start", "first_words", "matched").distinct()
+    out = done.join(found.select("chain", *KEYS), "chain")
+    return out.select(*KEYS, "start", "words", "first_start", "first_words", "matched").distinct()
 
 
 def long_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, doc_id, pos, open) for each gram of MIN_WORDS words inside the runs; open if passages don't cover it."""
+    """(seed, doc_id, spot, open) for each gram of MIN_WORDS words inside the runs; open if passages don't cover it."""
 
     def inside(spans: list, w: tokens.Words, start: int) -> np.ndarray:
         """How many words before each one lie in the spans of their text."""
@@ -342,7 +384,7 @@ def long_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return np.r_[0, np.cumsum(mask)]
 
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
+        ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy() << 32
         runs, covered = (batch.column(c).to_pylist() for c in ("runs", "covered"))
         for start, _, data, offsets in tokens.pieces(batch.column("text")):
             w = tokens.words(data, offsets)
@@ -351,63 +393,88 @@ def long_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             within, under = inside(runs, w, start), inside(covered, w, start)
             at = at[within[at + MIN_WORDS] - within[at] == MIN_WORDS]
             owner = np.searchsorted(w.first, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([tokens.longs(values[at]), pa.array(ids[start + owner]), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(under[at + MIN_WORDS] - under[at] < MIN_WORDS)], ["seed", "doc_id", "pos", "open"])
+            yield pa.RecordBatch.from_arrays([tokens.longs(values[at]), pa.array(ids[start + owner]), pa.array(marks[start + owner] + at - w.first[owner]), pa.array(under[at + MIN_WORDS] - under[at] < MIN_WORDS)], ["seed", "doc_id", "spot", "open"])
+
+
+MATCH = "doc_id long, mark long, first_id long, first_mark long, diagonal int, pos int"
 
 
 def cover_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the matches of MIN_WORDS words of each (doc_id, first_id), as few as cover the same words; rows come sorted by both and pos.
+    """Of the matches of MIN_WORDS words of each text and first text, as few as cover the same words; rows come sorted by both and pos.
 
     In a text that repeats a few words over and over all matches have one place in the first document."""
-    key, end, later = None, 0, None
+    names = [x.split()[0] for x in MATCH.split(", ")]
+    key, end, later, at = None, 0, None, names.index("pos")
+    schema = None
+
+    def sent(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+
     for batch in batches:
-        out = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first_id", "diagonal", "pos")), strict=True):
-            pos = row[3]
-            if later and (row[:2] != key or pos > end):
+        out, schema = [], batch.schema
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            pos = row[at]
+            if later and (row[:4] != key or pos > end):
                 out.append(later)
-                end, later = later[3] + MIN_WORDS, None
-            if row[:2] != key or pos > end:
+                end, later = later[at] + MIN_WORDS, None
+            if row[:4] != key or pos > end:
                 out.append(row)
-                key, end = row[:2], pos + MIN_WORDS
+                key, end = row[:4], pos + MIN_WORDS
             else:
                 later = row
-        yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "first_id", "diagonal", "pos"), r, strict=True)) for r in out], batch.schema)
+        yield sent(out)
     if later:
-        yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "first_id", "diagonal", "pos"), later, strict=True))], batch.schema)
+        yield sent([later])
+
+
+def first_places(hits: DataFrame) -> DataFrame:
+    """seed, first_id and first_spot of the seeds (seed, doc_id, spot, lead) that stand in several places."""
+    # One lead for each text, so longs are enough to find the first and the aggregate stays a hash table.
+    found = hits.groupBy("seed").agg(F.min("doc_id").alias("first_id"), F.expr("min_by(spot, doc_id) FILTER (WHERE lead)").alias("first_spot"), F.count("*").alias("n"))
+    return found.where("n > 1").drop("n")
+
+
+def matched(hits: DataFrame, least: int) -> DataFrame:
+    """KEYS, diagonal and pos of hits (doc_id, spot, first_id, first_spot) away from their first place; in one text at least so many words."""
+    rows = hits.select("doc_id", mark("spot").alias("mark"), "first_id", mark("first_spot").alias("first_mark"), (place("spot") - place("first_spot")).alias("diagonal"), place("spot").alias("pos"))
+    return rows.where((F.col("doc_id") != F.col("first_id")) | (F.col("mark") != F.col("first_mark")) | (F.col("diagonal") >= least))
 
 
 def long_matches(docs: DataFrame, hits: DataFrame, done: DataFrame) -> DataFrame:
     """Matches of MIN_WORDS words that the passages in done don't cover, with the first document that has all of them.
 
-    hits are the places of all seeds that several documents have. In a repeated run of MIN_WORDS words
+    hits are the places of all seeds that stand in several. In a repeated run of MIN_WORDS words
     they lie at most WINDOW apart, so only such runs are searched."""
-    by = W.partitionBy("doc_id").orderBy("pos")
+    name = ["doc_id", "mark"]
+    hits = hits.select("doc_id", mark("spot").alias("mark"), place("spot").alias("pos"))
+    by = W.partitionBy(*name).orderBy("pos")
     new = F.when(F.col("pos") - F.lag("pos").over(by) <= WINDOW, 0).otherwise(1)
     runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where(F.col("b") - F.col("a") >= MIN_WORDS - K - 2 * (WINDOW - 1))
+    runs = runs.groupBy(*name, "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where(F.col("b") - F.col("a") >= MIN_WORDS - K - 2 * (WINDOW - 1))
     span = F.struct(F.greatest(F.col("a") - (WINDOW - 1), F.lit(0)).cast("long").alias("low"), (F.col("b") + K + WINDOW - 1).cast("long").alias("high"))
-    runs = runs.groupBy("doc_id").agg(F.collect_list(span).alias("runs"))
-    covered = done.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").alias("low"), (F.col("start") + F.col("words")).alias("high"))).alias("covered"))
+    runs = runs.groupBy(*name).agg(F.collect_list(span).alias("runs"))
+    covered = done.groupBy(*name).agg(F.collect_list(F.struct(F.col("start").alias("low"), (F.col("start") + F.col("words")).alias("high"))).alias("covered"))
     # Merge joins at every size, as above.
-    texts = docs.join(runs.join(covered.hint("merge"), "doc_id", "left").hint("merge"), "doc_id").select("doc_id", "text", "runs", "covered")
-    grams = stage(texts.mapInArrow(long_task, "seed long, doc_id long, pos int, open boolean"), "long-grams")
-    first = grams.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("x"), F.max("doc_id").alias("last_id"), F.max("open").alias("any_open"))
-    first = first.where("any_open AND x.doc_id < last_id").select("seed", F.col("x.doc_id").alias("first_id"), F.col("x.pos").alias("first_pos"))
-    found = grams.where("open").join(first.hint("merge"), "seed").where("doc_id <> first_id")
-    found = found.select("doc_id", "first_id", (F.col("pos") - F.col("first_pos")).alias("diagonal"), "pos")
-    found = found.repartition(shuffle_parts(docs.sparkSession), "doc_id", "first_id").sortWithinPartitions("doc_id", "first_id", "pos")
-    found = found.mapInArrow(cover_task, "doc_id long, first_id long, diagonal int, pos int")
+    texts = docs.join(runs.join(covered.hint("merge"), name, "left").hint("merge"), name).select(*name, "text", "runs", "covered")
+    grams = stage(texts.mapInArrow(long_task, "seed long, doc_id long, spot long, open boolean"), "long-grams")
+    wanted = grams.groupBy("seed").agg(F.max("open").alias("any_open"), F.min("doc_id").alias("first_id"), F.min_by("spot", F.struct("doc_id", "spot")).alias("first_spot"), F.count("*").alias("n"))
+    found = grams.where("open").join(wanted.where("any_open AND n > 1").select("seed", "first_id", "first_spot").hint("merge"), "seed")
+    found = matched(found, MIN_WORDS).repartition(shuffle_parts(docs.sparkSession), *KEYS).sortWithinPartitions(*KEYS, "pos")
+    found = found.mapInArrow(cover_task, MATCH)
     # As matches of K words: its first, middle and last.
     each = F.explode(F.array(*(F.lit(x) for x in (0, (MIN_WORDS - K) // 2, MIN_WORDS - K))))
-    return found.select("doc_id", "first_id", "diagonal", "pos", each.alias("on")).withColumn("pos", F.col("pos") + F.col("on")).drop("on").distinct()
+    return found.select(*KEYS, "diagonal", "pos", each.alias("on")).withColumn("pos", F.col("pos") + F.col("on")).drop("on").distinct()
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, start, words, first_id, first_start, first_words, matched of each repeated passage."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    seeds = docs.mapInArrow(seed_task, "seed long, doc_id long, pos int, lead boolean")
-    spread = seeds.groupBy("seed").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.expr("min_by(pos, doc_id) FILTER (WHERE lead)").alias("first_pos"))
-    spread = stage(spread.where("first_id < last_id").drop("last_id"), "seed-firsts")
-    hits = stage(seeds.join(spread, "seed").select("doc_id", "first_id", (F.col("pos") - F.col("first_pos")).alias("diagonal"), "pos"), "seed-hits")
-    done = stage(reported(docs, hits.where("doc_id <> first_id")), "passages")
-    return done.union(reported(docs, long_matches(docs, hits.select("doc_id", "pos"), done))).distinct()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(F.col("text")).alias("mark"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    seeds = stage(docs.mapInArrow(seed_task, "seed long, doc_id long, spot long, lead boolean"), "seeds")
+    hits = stage(seeds.join(first_places(seeds), "seed").select("doc_id", "spot", "first_id", "first_spot"), "seed-hits")
+    unstage(seeds)
+    done = stage(reported(docs, matched(hits, MIN_WORDS)), "passages")
+    every = done.union(reported(docs, long_matches(docs, hits, done))).distinct()
+    own = (F.col("doc_id") == F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    # Grown towards each other, two places of one text may come to overlap; that is one run, not a repeat of MIN_WORDS words.
+    apart = ~own | (F.col("start") - F.col("first_start") >= MIN_WORDS)
+    return every.where(apart).select("doc_id", "start", "words", "first_id", "first_start", "first_words", "matched")
