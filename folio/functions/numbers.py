@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 # English metric units in a millimetre, a centimetre and a point; twentieths in a point.
 EMU_MM, EMU_CM, EMU_PT, TWIP_PT = 36000, 360000, 12700, 20
 
 
-@pandas_udf(DoubleType())
-def py_round(x: pd.Series, digits: pd.Series) -> pd.Series:
-    """Rounds the exact binary value, half to even; for the few figures that a result shows."""
-    return pd.Series([None if v != v or v is None else round(v, int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
+def tenths(x: Column) -> Column:
+    """The exact binary value of x in whole tenths, halves to the even one.
+
+    Twenty times x is 16x + 4x, both exact; what their sum loses is known exactly too, so it decides on which
+    side of a half the value lies, as decimals of its shortest notation can't."""
+    big, small = x * 16, x * 4
+    total = big + small
+    lost = small - (total - big)
+    low = F.floor(total / 2)
+    over = (total - low * 2 - 1) + lost  # beyond the half
+    return low + F.when(over > 0, 1).when(over < 0, 0).otherwise(F.pmod(low, F.lit(2)))
+
+
+def rounded(x: Column) -> Column:
+    """x to one digit, as IEEE values are rounded."""
+    return tenths(x) / 10.0
 
 
 def emu_to_mm(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.functions.numbers import py_round
+from folio.functions.numbers import rounded
 
 ACTIVE = ("pending", "running")
 ENDED = ("completed", "failed")
@@ -201,7 +201,7 @@ def purgeable(files: DataFrame, checks: DataFrame, now: Column, hours: int) -> D
 def statistics(checks: DataFrame, users: DataFrame) -> DataFrame:
     """Completed checks, mean score of complete reviews, users."""
     done = F.col("status") == "completed"
-    c = checks.agg(F.count_if(done).alias("completed"), py_round(F.avg(F.when(done & F.col("ai_available"), F.col("score"))), F.lit(1)).alias("mean_score"))
+    c = checks.agg(F.count_if(done).alias("completed"), rounded(F.avg(F.when(done & F.col("ai_available"), F.col("score")))).alias("mean_score"))
     return c.withColumn("users", F.lit(users.count()).cast("long"))
 
 

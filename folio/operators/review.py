@@ -7,8 +7,13 @@ no later plan calls again. Registered queries never call a provider."""
 from __future__ import annotations
 
 import json
+import os
+import queue
 import re
+import threading
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any, Protocol
@@ -58,6 +63,54 @@ class Still:
         return Answer('{"errors": []}')
 
 
+@dataclass
+class Http:
+    """A chat service behind HTTP with the usual completions call; the key is read where the call is made.
+
+    url: up to and with the version, such as https://host/v1; key_name: the environment variable of the key."""
+
+    url: str
+    model: str
+    key_name: str = "LLM_API_KEY"
+    seconds: float = 60
+    temperature: float = 0.1
+    name: str = "http"
+
+    def complete(self, system: str, user: str, max_tokens: int) -> Answer:
+        body = {"model": self.model, "max_tokens": max_tokens, "temperature": self.temperature, "response_format": {"type": "json_object"}, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.key_name, '')}"}
+        request = urllib.request.Request(f"{self.url.rstrip('/')}/chat/completions", json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=self.seconds) as reply:
+                found = json.load(reply)
+            usage = found.get("usage") or {}
+            return Answer(found["choices"][0]["message"]["content"] or "", usage.get("prompt_tokens"), usage.get("completion_tokens"))
+        except urllib.error.HTTPError as e:
+            raise (QuotaError if e.code in (402, 429) else ProviderError)(f"status {e.code}") from e
+        except (OSError, ValueError, LookupError, TypeError) as e:
+            raise ProviderError(type(e).__name__) from e
+
+
+def within(seconds: float, call: Callable[[], Answer]) -> Answer:
+    """The call's answer; TimeoutError when the time is up, also while it hangs. A hanging call is left behind in its own thread."""
+    done: queue.Queue = queue.Queue()
+
+    def run() -> None:
+        try:
+            done.put((call(), None))
+        except BaseException as e:  # noqa: BLE001 - handed on to the caller
+            done.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        answer, error = done.get(timeout=max(seconds, 0.001))
+    except queue.Empty:
+        raise TimeoutError from None
+    if error is not None:
+        raise error
+    return answer
+
+
 def fenced(text: str) -> str:
     """An answer without the code fence around it."""
     m = re.match(r"^\s*```(?:json)?\s*(.*?)\s*```\s*$", text, re.S)
@@ -127,7 +180,7 @@ def reviewed(chunks: DataFrame, provider: Provider, terms: Terms | None = None,
     turn under one budget and deadline; what does not fit is skipped, smaller ones may still fit."""
     terms = terms or Terms()
 
-    def one(prompt: str, budget: Budget) -> tuple[str, str | None]:
+    def one(prompt: str, budget: Budget, until: float) -> tuple[str, str | None]:
         need = len((terms.system + prompt).encode()) + terms.max_tokens + RESERVE
         outcome = "provider"
         for attempt in range(terms.attempts):
@@ -135,7 +188,7 @@ def reviewed(chunks: DataFrame, provider: Provider, terms: Terms | None = None,
                 return "budget", None
             answer = None
             try:
-                answer = provider.complete(terms.system, prompt, terms.max_tokens)
+                answer = within(until - time.monotonic(), lambda: provider.complete(terms.system, prompt, terms.max_tokens))
                 found = valid(json.loads(fenced(answer.text)))
                 if found is not None:
                     return "ok", json.dumps(found, ensure_ascii=False)
@@ -144,6 +197,8 @@ def reviewed(chunks: DataFrame, provider: Provider, terms: Terms | None = None,
                 outcome = "provider"
             except QuotaError:
                 return "provider", None
+            except TimeoutError:
+                return "timeout", None
             finally:
                 budget.settle(need, answer)
             if attempt + 1 < terms.attempts:
@@ -159,7 +214,7 @@ def reviewed(chunks: DataFrame, provider: Provider, terms: Terms | None = None,
             elif time.monotonic() >= until:
                 outcome, answer = "timeout", None
             else:
-                outcome, answer = one(terms.template.format(text=r.text, section=r.section, topic=topic), budget)
+                outcome, answer = one(terms.template.format(text=r.text, section=r.section, topic=topic), budget, until)
             out.append((r.doc_id, r.section, r.chunk_index, r.word_count, outcome, answer, budget.used - before))
         return pd.DataFrame(out, columns=[c.split()[0] for c in REVIEWED.split(", ")])
 

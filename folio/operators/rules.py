@@ -2,10 +2,13 @@
 
 Documents carry preset_id. Presets are few, their number is checked when they are loaded, and they
 are broadcast. Each family of rules is one aggregate by doc_id whose result is unpacked into rows, in
-the order (rule_ord, sub_ord); the families read the same placed paragraphs."""
+the order (rule_ord, sub_ord); the families read the same placed paragraphs. `stored` writes what they
+read once, as tables bucketed and sorted by doc_id: the files are decoded once and paragraphs are
+shuffled once, and all families after that scan, group and join without an exchange of them."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +31,7 @@ class Corpus:
     paragraphs: DataFrame
     presets: DataFrame
     _placed: DataFrame | None = None
+    tables: tuple[str, ...] = ()
 
     @property
     def placed(self) -> DataFrame:
@@ -35,6 +39,22 @@ class Corpus:
             self._placed = views.placed(self.paragraphs)
         return self._placed
 
+    def stored(self, buckets: int | None = None) -> Corpus:
+        """The same corpus from tables in the warehouse, bucketed by doc_id; dropped() removes them."""
+        spark = self.paragraphs.sparkSession
+        name, n = f"folio_{uuid.uuid4().hex}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def table(df: DataFrame, part: str) -> DataFrame:
+            df.write.format("parquet").bucketBy(n, "doc_id").sortBy("doc_id").saveAsTable(f"{name}_{part}")
+            return spark.table(f"{name}_{part}")
+
+        placed = table(self.placed, "placed")
+        return Corpus(table(self.docs, "docs"), table(self.pages, "pages"), placed, self.presets, placed, tuple(f"{name}_{x}" for x in ("placed", "docs", "pages")))
+
+    def dropped(self) -> None:
+        for name in self.tables:
+            self.paragraphs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
     def with_preset(self, df: DataFrame) -> DataFrame:
         """df with preset_id and the preset's parts; the preset table is small by contract of its loader."""
         assigned = self.docs.select("doc_id", "preset_id").join(F.broadcast(self.presets.withColumnRenamed("id", "preset_id")), "preset_id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.numbers import py_round
+from folio.functions.numbers import rounded
 from folio.functions.text import strip
 from folio.operators.rules import severity_rank
 
@@ -71,7 +71,7 @@ def category_scores(docs: DataFrame, findings: DataFrame, presets: DataFrame, co
     deductions = F.map_from_entries(F.transform(shown, lambda x: F.struct(x["criterion"], F.bround(x["fraction"] * F.col("max_points"), 2))))
     labels = F.map_from_entries(F.transform(F.filter(shown, lambda x: x["label"].isNotNull()), lambda x: F.struct(x["criterion"], x["label"])))
     rows = rows.select("doc_id", "preset_id", "category", "max_points", "coverage", "evaluated", earned.alias("earned"), deductions.alias("deductions"), labels.alias("deduction_labels"))
-    return rows.withColumn("earned_points", py_round("earned", F.lit(1))).drop("earned")
+    return rows.withColumn("earned_points", rounded(F.col("earned"))).drop("earned")
 
 
 def totals(categories: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def totals(categories: DataFrame) -> DataFrame:
     points = F.when(F.col("evaluated"), F.col("earned_points")).otherwise(0.0)
     g = categories.groupBy("doc_id", "preset_id").agg(F.sum(F.round(points * 10).cast("long")).alias("tenths"), F.sum(on).alias("evaluated_max_score"), F.min("coverage").alias("least"))
     raw = F.coalesce(F.try_divide(F.col("tenths") / 10.0, F.col("evaluated_max_score")) * 100, F.lit(0.0))
-    g = g.withColumn("score", py_round(raw, F.lit(1)))
+    g = g.withColumn("score", rounded(raw))
     return g.select("doc_id", "preset_id", "score", F.lit(100.0).alias("max_score"), "evaluated_max_score", (F.col("least") < 1).alias("provisional"), F.lit(VERSION).alias("scoring_version"))
 
 

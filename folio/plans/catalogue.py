@@ -13,7 +13,7 @@ from folio.functions.text import is_blank, lines, sample_list, split_message, st
 from folio.operators import chunks, jobs, report, review, rules, scoring, views
 from folio.plans import harness as H
 from folio.session import table
-from folio.sources import uploads
+from folio.sources import docx, uploads
 from folio.streaming import checks as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,9 +62,9 @@ def q_page_estimate(spark, d):
     return p.groupBy("doc_id").agg(page_estimate(F.sum(F.length("text"))).alias("pages"))
 
 
-@query(f"SELECT doc_id, pages, 'page_limit' AS error_code FROM ({_PAGES}) WHERE pages > 3")
+@query(f"SELECT doc_id, pages, 'too_many_pages' AS error_code FROM ({_PAGES}) WHERE pages > 3")
 def q_page_limit_reject(spark, d):
-    return q_page_estimate(spark, d).where("pages > 3").withColumn("error_code", F.lit("page_limit"))
+    return q_page_estimate(spark, d).withColumn("error_code", docx.page_limit(F.col("pages"), 3)).where("error_code IS NOT NULL")
 
 
 # Fonts; sources stand for font names and languages for documents
@@ -88,10 +88,12 @@ def q_dominant_source(spark, d):
     return _use(spark, d).where("rank = 1").select("lang", "name", "chars")
 
 
-@query(f"SELECT lang, count(*) FILTER (rank > 1) AS others, (1000 - sum(round(share * 10)::BIGINT) FILTER (rank = 1))::BIGINT AS foreign_tenths, 1000 - sum(round(share * 10)::BIGINT) FILTER (rank = 1) > 50 AS is_mixed FROM ({_RANKED}) GROUP BY lang")
+@query(f"""WITH r AS ({_RANKED}), o AS (SELECT lang, round_even(100.0 - coalesce(sum(share) FILTER (name = 'src3'), 0), 1) AS away, max(name) FILTER (rank = 1) AS main FROM r GROUP BY lang)
+SELECT lang AS doc_id, 'font.main' AS rule_id, CASE WHEN main = 'src3' THEN 'pass' ELSE 'error' END AS severity FROM o UNION ALL SELECT lang, 'font.mixed', 'warning' FROM o WHERE away > 94.5""")
 def q_foreign_share_rule(spark, d):
-    own = F.sum(F.when(F.col("rank") == 1, F.round(F.col("share") * 10).cast("long")))
-    return _use(spark, d).groupBy("lang").agg(F.count_if(F.col("rank") > 1).alias("others"), (1000 - own).alias("foreign_tenths"), (1000 - own > 50).alias("is_mixed"))
+    run = F.struct(F.col("text").alias("text"), F.col("source").alias("font_name"), F.lit(14.0).alias("font_size_pt"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("underline"), F.lit(None).cast("string").alias("color_rgb"))
+    p = docs(spark, d).where(~is_blank(F.col("text"))).select(F.col("lang").alias("doc_id"), F.col("doc_id").cast("int").alias("idx"), "text", F.array(run).alias("runs"))
+    return rules.font_rules(H.corpus(spark, p, font={"name": "src3", "max_foreign_font_share_pct": 94.5})).select("doc_id", "rule_id", "severity")
 
 
 # Web pages as documents
@@ -110,12 +112,11 @@ def q_heading_blocks(spark, d):
     return views.headings(views.placed(H.blocks(table(spark, d, "pages")))).select("doc_id", "paragraph_index", "raw_text", "normalized_text", "level")
 
 
-@query(f"SELECT p.page_id AS doc_id, count(b.doc_id) AS n, CASE WHEN count(b.doc_id) = 0 THEN 'critical' ELSE 'pass' END AS severity FROM pages p LEFT JOIN (SELECT * FROM ({_BLOCKS}) WHERE starts_with(raw, '<h1') AND {_TEXT}) b ON p.page_id = b.doc_id GROUP BY p.page_id")
+@query(f"SELECT p.page_id AS doc_id, CASE WHEN count(b.doc_id) = 0 THEN 'headings.none_found' ELSE 'headings.found' END AS rule_id, CASE WHEN count(b.doc_id) = 0 THEN 'critical' ELSE 'pass' END AS severity FROM pages p LEFT JOIN (SELECT * FROM ({_BLOCKS}) WHERE starts_with(raw, '<h1') AND {_TEXT}) b ON p.page_id = b.doc_id GROUP BY p.page_id")
 def q_heading_presence(spark, d):
     pages = table(spark, d, "pages")
-    h = views.headings(views.placed(H.blocks(pages))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return pages.select(F.col("page_id").alias("doc_id")).join(h, "doc_id", "left").select("doc_id", n.alias("n"), F.when(n == 0, "critical").otherwise("pass").alias("severity"))
+    found = rules.heading_rules(H.corpus(spark, H.blocks(pages), pages.select(F.col("page_id").alias("doc_id"))))
+    return found.where("rule_id IN ('headings.found', 'headings.none_found')").select("doc_id", "rule_id", "severity")
 
 
 # Numbers and levels; orders stand for documents, line numbers for heading numbers
@@ -137,11 +138,33 @@ def q_level_jump(spark, d):
     return rules.level_jumps(_numbers(spark, d).withColumnRenamed("number", "level")).select("doc_id", "before", "level")
 
 
-@query(f"SELECT doc_id FROM ({_NUMBERS}) GROUP BY doc_id HAVING min(n) = 1 AND max(n) = count(*)")
+@query(f"""WITH j AS (SELECT doc_id, before, n FROM (SELECT *, lag(n) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM ({_NUMBERS})) WHERE n <> before + 1)
+SELECT doc_id, 'numbering.sequence' AS rule_id, before || ' -> ' || n AS actual FROM j
+UNION ALL SELECT DISTINCT doc_id, 'numbering.ok', NULL FROM ({_NUMBERS}) WHERE doc_id NOT IN (SELECT doc_id FROM j)""")
 def q_numbering_ok(spark, d):
-    n = _numbers(spark, d)
-    bad = rules.number_jumps(n).select("doc_id").union(rules.level_jumps(n.withColumnRenamed("number", "level")).select("doc_id"))
-    return n.select("doc_id").distinct().join(bad, "doc_id", "left_anti")
+    """Lines as top headings with their number before the title."""
+    p = _numbers(spark, d).select("doc_id", F.col("number").alias("idx"), F.concat(F.col("number").cast("string"), F.lit(" Part")).alias("text"), F.lit(0).alias("outline_level"))
+    return rules.numbering_rules(H.corpus(spark, p)).select("doc_id", "rule_id", "actual")
+
+
+# Body formats; order lines stand for paragraphs, their quantities for what is off
+
+_LINE = "SELECT l_orderkey AS doc_id, l_linenumber AS idx, min(l_quantity)::INT AS q, min(l_returnflag) AS f FROM lineitem GROUP BY ALL"
+_FIRST10 = "array_to_string(list_transform(places[1:10], lambda i: (i + 1)::VARCHAR), ', ')"
+_AT = f"CASE WHEN len(places) > 0 THEN 'Paragraphs ' || {_FIRST10} || CASE WHEN len(places) > 10 THEN ' (+' || (len(places) - 10) || ')' ELSE '' END ELSE '' END"
+
+
+def _format_sql(test: str, rule: str, severity: str, only_bad: bool = False) -> str:
+    return f"SELECT doc_id, '{rule}' AS rule_id, CASE WHEN len(places) > 0 THEN '{severity}' ELSE 'pass' END AS severity, {_AT} AS location FROM (SELECT doc_id, coalesce(list(idx ORDER BY idx) FILTER ({test}), []) AS places FROM ({_LINE}) GROUP BY doc_id)" + (" WHERE len(places) > 0" if only_bad else "")
+
+
+@query(" UNION ALL ".join((_format_sql("q % 13 = 0", "font.paragraph_consistency", "warning", True), _format_sql("q % 5 = 0", "paragraph.line_spacing", "error"), _format_sql("q % 7 = 0", "paragraph.first_line_indent", "error"), _format_sql("f = 'R'", "paragraph.alignment", "warning"), _format_sql("q % 11 = 0", "paragraph.side_indent", "warning", True))))
+def q_body_rules(spark, d):
+    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("idx")).agg(F.min("l_quantity").cast("int").alias("q"), F.min("l_returnflag").alias("f"))
+    off = lambda k, bad, good: F.when(F.col("q") % k == 0, bad).otherwise(good)
+    run = F.struct(F.lit("words").alias("text"), off(13, "Arial", "Times New Roman").alias("font_name"), F.lit(14.0).alias("font_size_pt"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("underline"), F.lit(None).cast("string").alias("color_rgb"))
+    p = p.select("doc_id", "idx", F.lit("words").alias("text"), off(5, 1.0, 1.5).alias("line_spacing"), off(7, 0.0, 1.25).alias("first_line_indent_cm"), off(11, 1.0, 0.0).alias("left_indent_cm"), F.when(F.col("f") == "R", "left").otherwise("justify").alias("alignment"), F.array(run).alias("runs"))
+    return rules.body_rules(H.corpus(spark, p)).select("doc_id", "rule_id", "severity", "location")
 
 
 # Style inheritance, with a cycle and explicit zeros
@@ -210,7 +233,10 @@ OUTLINES = [
     (2, 0, "Introduction", 0), (2, 3, "Details", 1), (2, 7, "References", 0),
     (3, 2, "Практическая часть", 0), (3, 4, "Conclusion", 0), (3, 6, "2 После", 0), (4, 1, "Nothing", 1),
 ]
-_DETECTED = [(1, "introduction", 0), (1, "conclusion", 9), (1, "references", 12), (2, "introduction", 0), (2, "references", 7), (3, "practical_part", 2), (3, "conclusion", 4)]
+_DETECTED = f"""o AS (SELECT doc_id, idx, t, lvl, CASE {_KEYS} END AS key, nullif(rtrim(regexp_extract(trim(t), '{_PREFIX}', 1), '.'), '') AS num
+  FROM (SELECT *, trim(regexp_replace(lower(regexp_replace(trim(t), '\\s+', ' ', 'g')), '{_PREFIX}', '')) AS bare FROM {H.sql_values(OUTLINES, "doc_id, idx, t, lvl")})),
+w AS (SELECT *, min(idx) FILTER (key = 'introduction') OVER (PARTITION BY doc_id) AS intro, coalesce(min(idx) FILTER (key = 'conclusion') OVER (PARTITION BY doc_id), min(idx) FILTER (key = 'references') OVER (PARTITION BY doc_id)) AS fin FROM o),
+main AS (SELECT DISTINCT doc_id::INT AS doc_id FROM w WHERE lvl = 0 AND (intro IS NULL OR idx > intro) AND (fin IS NULL OR idx < fin) AND (coalesce(key IN ('theoretical_part', 'practical_part'), false) OR num IS NOT NULL))"""
 
 
 def _outline(spark) -> rules.Corpus:
@@ -220,7 +246,7 @@ def _outline(spark) -> rules.Corpus:
     return rules.Corpus(d, pages, p, H.presets(spark))
 
 
-@query(f"""WITH f AS (SELECT * FROM {H.sql_values(_DETECTED, "doc_id, key, place")}), main AS (SELECT unnest([1, 3]) AS doc_id), d AS (SELECT unnest([1, 2, 3, 4])::INT AS doc_id),
+@query(f"""WITH {_DETECTED}, f AS (SELECT DISTINCT doc_id, key FROM o WHERE key IS NOT NULL), d AS (SELECT DISTINCT doc_id::INT AS doc_id FROM o),
 r AS (SELECT unnest(['introduction', 'main_body', 'conclusion', 'references']) AS key)
 SELECT d.doc_id, 'structure.section.' || r.key AS rule_id, CASE WHEN f.key IS NOT NULL OR (r.key = 'main_body' AND d.doc_id IN (SELECT doc_id FROM main)) THEN 'pass' ELSE 'critical' END AS severity FROM d CROSS JOIN r LEFT JOIN f ON f.doc_id = d.doc_id AND f.key = r.key
 UNION ALL SELECT doc_id, 'structure.optional.appendix', 'info' FROM d""")
@@ -228,7 +254,7 @@ def q_required_sections(spark, d):
     return rules.structure_rules(_outline(spark)).select("doc_id", "rule_id", "severity")
 
 
-@query("SELECT unnest([1, 3])::INT AS doc_id")
+@query(f"WITH {_DETECTED} SELECT doc_id FROM main")
 def q_main_body_inference(spark, d):
     return rules.main_bodies(views.headings(_outline(spark).placed))
 
@@ -255,11 +281,11 @@ def q_container_reasons(spark, d):
 _LINES = r"regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e]')"
 
 
-@query(r"SELECT doc_id, n::INT AS n_words FROM (SELECT doc_id, len(regexp_extract_all(CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END, '\S+')) AS n FROM documents) WHERE n < 50")
+@query(r"SELECT doc_id, 'structure.min_words.introduction' AS rule_id, 'warning' AS severity, '>= 250' AS expected, n::VARCHAR AS actual FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n FROM documents) WHERE n < 250")
 def q_min_words(spark, d):
-    rest = lines(F.col("text"))
-    n = F.aggregate(F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0))), F.lit(0), lambda s, x: s + word_count(x))
-    return docs(spark, d).select("doc_id", n.alias("n_words")).where("n_words < 50")
+    """Documents as introductions."""
+    found = rules.completeness_rules(H.corpus(spark, H.under_heading(H.paragraphs(docs(spark, d)), "Introduction")))
+    return found.where("rule_id LIKE 'structure.%'").select("doc_id", "rule_id", "severity", "expected", "actual")
 
 
 _ENTRIES = r"""SELECT doc_id, list_filter(list_filter(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> trim(string_split(coalesce(text, ''), chr(10))[1], ' ' || chr(9) || chr(13))),
@@ -283,9 +309,27 @@ def q_ref_duplicates(spark, d):
 CITED = [(1, "as shown [1] and [2, 3], also [4-6]"), (2, "none [a] here [] [1"), (3, "[ 12 ][7 , 8]"), (4, "")]
 
 
-@query(rf"SELECT id, len(regexp_extract_all(t, '{S.CITATION}'))::INT AS citations FROM {H.sql_values(CITED, 'id, t')}")
+@query(rf"""WITH c AS (SELECT id AS doc_id, len(regexp_extract_all(t, '{S.CITATION}')) AS n FROM {H.sql_values(CITED, 'id, t')})
+SELECT doc_id, 'references.missing' AS rule_id, 'critical' AS severity, 'No references section' AS message FROM c
+UNION ALL SELECT doc_id, 'references.in_text_citations', CASE WHEN n = 0 THEN 'warning' ELSE 'info' END, CASE WHEN n = 0 THEN 'No citations in the text' ELSE n || ' citations' END FROM c""")
 def q_citation_count(spark, d):
-    return H.values(spark, CITED, "id int, t string").select("id", F.regexp_count("t", F.lit(S.CITATION)).alias("citations"))
+    p = H.values(spark, CITED, "doc_id int, text string").withColumn("idx", F.lit(0))
+    return rules.reference_rules(H.corpus(spark, H.under_heading(p, "Introduction"))).select("doc_id", "rule_id", "severity", "message")
+
+
+_LISTED = r"""SELECT doc_id, list_filter(list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '' AND x <> 'References'), lambda x: x),
+  lambda x: (regexp_matches(x, '^\s*\d+[.\)]\s*') OR length(x) > 15) AND NOT regexp_matches(x, '(?i)^(список|references|bibliography|әдебиеттер)\s')) AS e FROM documents"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, len(e) AS n, len(e) - len(list_distinct(list_transform(e, lambda x: trim(regexp_replace(regexp_replace(lower(x), '^\s*\d+[.\)]\s*', ''), '\s+', ' ', 'g'))))) AS twice, len(list_filter(e, lambda x: length(x) < 15)) AS short FROM ({_LISTED}))
+SELECT doc_id, CASE WHEN n < 15 THEN 'references.min_count' ELSE 'references.count' END AS rule_id, CASE WHEN n < 15 THEN 'error' ELSE 'info' END AS severity, CASE WHEN n < 15 THEN 'Too few sources' ELSE n || ' sources' END AS message FROM l
+UNION ALL SELECT doc_id, 'references.duplicates', 'warning', twice || ' repeated sources' FROM l WHERE twice > 0
+UNION ALL SELECT doc_id, 'references.suspicious_entries', 'warning', short || ' very short sources' FROM l WHERE short > 0
+UNION ALL SELECT doc_id, 'references.in_text_citations', 'warning', 'No citations in the text' FROM l""")
+def q_reference_rules(spark, d):
+    """Documents as lists of references."""
+    found = rules.reference_rules(H.corpus(spark, H.under_heading(H.paragraphs(docs(spark, d)), "References")))
+    return found.select("doc_id", "rule_id", "severity", "message")
 
 
 # Margins; parts stand for pages
@@ -473,11 +517,6 @@ def q_active_quota(spark, d):
     return jobs.counts(H.as_checks(o), H.as_uploads(o), F.lit("1998-08-01 12:00:00").cast("timestamp"))
 
 
-@query("SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
-def q_daily_count(spark, d):
-    return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-
-
 @query()
 def q_admission(spark, d):
     """Folded in event order; held against a brute-force version in the tests."""
@@ -511,18 +550,24 @@ def q_retention(spark, d):
     return jobs.retained(jobs.expired(H.as_checks(table(spark, d, "orders")), now), now).select("id", "status")
 
 
-@query("SELECT user_id AS check_id, arg_max(event_type, (ts, event_id)) AS kind, count(*) AS n FROM events GROUP BY user_id")
-def q_state_machine_last(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy(F.col("user_id").alias("check_id")).agg(F.max(F.struct("ts", "event_id", "event_type"))["event_type"].alias("kind"), F.count("*").alias("n"))
+_KINDS = {"signup": "submit", "view": "claim", "error": "error", "purchase": "complete", "click": "send"}
 
 
-_KINDS = {"signup": "submit", "view": "claim", "error": "error", "purchase": "complete", "click": "send"}
+_STEP = {
+    "status": "CASE WHEN kind = 'submit' AND status = 'new' THEN 'pending' WHEN kind = 'claim' AND status = 'pending' THEN 'running' WHEN kind = 'complete' AND status IN ('running', 'pending') THEN 'completed' WHEN kind = 'error' AND status = 'running' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE status END",
+    "attempts": "CASE WHEN kind = 'submit' AND status = 'new' THEN 0 WHEN kind = 'claim' AND status = 'pending' THEN attempts + 1 ELSE attempts END",
+    "delivery": "CASE WHEN kind = 'complete' AND status IN ('running', 'pending') THEN 'pending' WHEN kind = 'send' AND status = 'completed' AND delivery = 'pending' THEN 'sending' ELSE delivery END",
+    "delivery_attempts": "CASE WHEN kind = 'send' AND status = 'completed' AND delivery = 'pending' THEN delivery_attempts + 1 ELSE delivery_attempts END",
+}
 
 
-@query()
+@query(f"""WITH RECURSIVE k AS (SELECT user_id AS check_id, ts, coalesce(CASE {" ".join(f"WHEN event_type = '{a}' THEN '{b}'" for a, b in _KINDS.items())} END, '') AS kind FROM events),
+e AS (SELECT check_id, kind, row_number() OVER (PARTITION BY check_id ORDER BY ts, kind) AS n FROM k),
+s AS (SELECT DISTINCT check_id, 0::BIGINT AS n, 'new' AS status, 0 AS attempts, 'none' AS delivery, 0 AS delivery_attempts FROM e
+  UNION ALL SELECT s.check_id, e.n, {", ".join(_STEP.values())} FROM s JOIN e ON e.check_id = s.check_id AND e.n = s.n + 1)
+SELECT check_id, {", ".join(f"arg_max({c}, n) AS {c}" for c in _STEP)} FROM s GROUP BY check_id""")
 def q_state_machine(spark, d):
-    """The streaming state machine over a table of events; held against a plain fold in the tests."""
+    """The streaming state machine over a table of events."""
     e = table(spark, d, "events")
     return stream.states_batch(e.select(F.col("user_id").alias("check_id"), scoring.lookup(F.col("event_type"), _KINDS).alias("kind"), "ts"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio import schemas
 from folio.functions.text import word_count
-from folio.operators.rules import COLUMNS
+from folio.operators.rules import COLUMNS, Corpus
 from folio.sources.presets import preset, preset_table
 
 BLOCK = r"<(?:h1|p|li)[^>]*>[^<]*</(?:h1|p|li)>"
@@ -53,6 +53,20 @@ def turns(conversations: DataFrame) -> DataFrame:
     return with_runs(conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("idx"), "text", F.when(F.col("role") == "user", 0).alias("outline_level")))
 
 
+def corpus(spark: SparkSession, p: DataFrame, ids: DataFrame | None = None, **changed) -> Corpus:
+    """Paragraphs under one preset, whose parts may be changed; ids: the documents, where some have no paragraph."""
+    table = preset_table(spark, [preset(PRESET | {k: PRESET.get(k, {}) | v for k, v in changed.items()})])
+    own = (p if ids is None else ids).select("doc_id").distinct().select("doc_id", F.lit("base").alias("preset_id"), F.lit(False).alias("has_header"), F.lit(True).alias("has_footer"))
+    pages = spark.createDataFrame([], f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {schemas.PAGES}")
+    return Corpus(own, pages, with_runs(p), table)
+
+
+def under_heading(p: DataFrame, heading: str) -> DataFrame:
+    """Paragraphs (doc_id, idx, text) after a top heading."""
+    top = p.select("doc_id").distinct().select("doc_id", F.lit(0).alias("idx"), F.lit(heading).alias("text"), F.lit(0).alias("outline_level"))
+    return top.unionByName(p.select("doc_id", (F.col("idx") + 1).alias("idx"), "text", F.lit(None).cast("int").alias("outline_level")))
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

@@ -1,11 +1,14 @@
 """Offline check of a folder of documents: no queue and no reviewer; one JSON line for each document.
 
     python -m folio.preview DOCUMENTS PRESETS PRESET_ID
+
+PRESETS may be `-` for the presets that come with the package.
 """
 
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +19,20 @@ from folio.sources import docx, presets
 
 
 def checked(spark: SparkSession, documents: str, folder: str, preset_id: str) -> DataFrame:
-    """doc_id, error_code and the result of each document; unusable ones have no result."""
-    table = presets.by_id(presets.preset_table(spark, presets.load_presets(folder)), preset_id)
-    decoded = docx.read_docx(spark, documents).persist()  # decoded once; rules and views read it several times
+    """doc_id, filename, error_code and the result of each document; unusable ones have no result.
+
+    Decoded documents, their placed paragraphs and the findings are written to the warehouse, so that a file is
+    decoded once whatever reads it, and a lost executor loses nothing."""
+    presets_ = presets.by_id(presets.preset_table(spark, presets.load_presets(folder)), preset_id)
+    name = f"folio_{uuid.uuid4().hex}"
+    docx.read_docx(spark, documents).write.format("parquet").saveAsTable(f"{name}_decoded")
+    decoded = spark.table(f"{name}_decoded")
     docs = decoded.where("error_code IS NULL").select("doc_id", F.lit(preset_id).alias("preset_id"), "has_header", "has_footer")
-    found = rules.evaluated(rules.Corpus(docs, docx.pages(decoded), docx.paragraphs(decoded), table))
-    results = scoring.results(docs, found, table)
-    return decoded.select("doc_id", "error_code").join(results, "doc_id", "left")
+    corpus = rules.Corpus(docs, docx.pages(decoded), docx.paragraphs(decoded), presets_).stored()
+    rules.evaluated(corpus).write.format("parquet").saveAsTable(f"{name}_findings")
+    corpus.dropped()
+    results = scoring.results(docs, spark.table(f"{name}_findings"), presets_)
+    return decoded.select("doc_id", "filename", "error_code").join(results, "doc_id", "left")
 
 
 def main(documents: str, folder: str, preset_id: str) -> None:

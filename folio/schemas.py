@@ -18,7 +18,7 @@ def array_of(columns: str) -> str:
     return "array<struct<" + ",".join(p.replace(" ", ":", 1) for p in parts) + ">>"
 
 
-DECODED = f"doc_id string, path string, error_code string, reason string, has_header boolean, has_footer boolean, table_count int, image_count int, estimated_page_count int, fonts array<string>, pages {array_of(PAGES)}, paragraphs {array_of(PARAGRAPHS)}, parts {array_of(PARTS)}"
+DECODED = f"doc_id string, path string, filename string, error_code string, reason string, has_header boolean, has_footer boolean, table_count int, image_count int, estimated_page_count int, fonts array<string>, pages {array_of(PAGES)}, paragraphs {array_of(PARAGRAPHS)}, parts {array_of(PARTS)}"
 
 FINDINGS = T.StructType(
     [

@@ -14,6 +14,8 @@ from folio.schemas import SECTION_KEYS
 LOG = logging.getLogger(__name__)
 #: A preset table is broadcast; more presets than this are refused.
 MOST = 10_000
+#: Presets that come with the package.
+SHIPPED = str(Path(__file__).resolve().parent.parent / "resources" / "presets")
 
 # What a preset has where its file is silent.
 DEFAULTS: dict[str, dict[str, Any]] = {
@@ -85,6 +87,7 @@ def load_presets(folder: str) -> list[dict[str, Any]]:
     """Presets of a folder's YAML files by name; bad files are logged and left out, a later id wins."""
     import yaml
 
+    folder = SHIPPED if folder == "-" else folder
     found: dict[str, dict[str, Any]] = {}
     for path in sorted(Path(folder).glob("*.yaml")):
         try:

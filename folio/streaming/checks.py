@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folio.operators.jobs import Limits
@@ -49,7 +50,7 @@ def state_task(limits: Limits, timers: bool):
         if held.hasTimedOut:
             state = advanced(state, "stale", limits)
         else:
-            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            rows = pd.concat(list(batches)).sort_values(["ts", "kind"], kind="stable")
             for kind in rows["kind"]:
                 state = advanced(state, kind, limits)
         held.update(state)
@@ -69,16 +70,33 @@ def states(events: DataFrame, limits: Limits = Limits(), timers: bool = True) ->
     return events.groupBy("check_id").applyInPandasWithState(state_task(limits, timers), OUT, STATE, "update", timeout)
 
 
-def states_batch(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The same for a table of events."""
+def advanced_column(state: Column, kind: Column, limits: Limits = Limits()) -> Column:
+    """advanced() as an expression over a struct of STATE."""
+    status, attempts, delivery, sends = (state[c] for c in ("status", "attempts", "delivery", "delivery_attempts"))
+    new = lambda a=status, b=attempts, c=delivery, d=sends: F.struct(*(x.alias(n) if isinstance(x, Column) else F.lit(x).alias(n) for x, n in zip((a, b, c, d), ("status", "attempts", "delivery", "delivery_attempts"), strict=True)))
+    busy = status.isin("running", "pending")
+    rules = (
+        ((kind == "submit") & (status == "new"), new("pending", 0, "none", 0)),
+        ((kind == "claim") & (status == "pending"), new("running", attempts + 1)),
+        ((kind == "complete") & busy, new("completed", c="pending")),
+        ((kind == "fail") & busy, new("failed")),
+        ((kind == "error") & (status == "running"), new(F.when(attempts >= limits.attempts, "failed").otherwise("pending"))),
+        ((kind == "cancel") & (status == "running"), new("pending")),
+        ((kind == "send") & (status == "completed") & (delivery == "pending"), new(c="sending", d=sends + 1)),
+        ((kind == "sent") & (delivery == "sending"), new(c="sent")),
+        ((kind == "unsent") & (delivery == "sending"), new(c=F.when(sends >= limits.delivery_attempts, "failed").otherwise("pending"))),
+    )
+    out = new()
+    for when, then in reversed(rules):
+        out = F.when(when, then).otherwise(out)
+    return out
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state = FRESH
-        for kind in rows.sort_values("ts", kind="stable")["kind"]:
-            state = advanced(state, kind, limits)
-        return pd.DataFrame([(rows["check_id"].iloc[0], *state)], columns=["check_id", "status", "attempts", "delivery", "delivery_attempts"])
 
-    return events.groupBy("check_id").applyInPandas(run, OUT)
+def states_batch(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The same for a table of events, as a fold inside the JVM; events of one moment go by their kind."""
+    fresh = F.struct(*(F.lit(v).alias(n) for v, n in zip(FRESH, ("status", "attempts", "delivery", "delivery_attempts"), strict=True)))
+    rows = events.groupBy("check_id").agg(F.array_sort(F.collect_list(F.struct("ts", F.coalesce("kind", F.lit("")).alias("kind")))).alias("each"))
+    return rows.select("check_id", F.aggregate("each", fresh, lambda s, e: advanced_column(s, e["kind"], limits)).alias("s")).select("check_id", "s.*")
 
 
 def once(jobs: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -1,11 +1,13 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 from docs import SHAPES, docx, heading, para, section
 from pyspark.sql import functions as F
 
 from folio.operators import rules, scoring
+from folio.settings import Settings
 from folio.sources import docx as D
 from folio.sources import presets as P
 from folio.sources import uploads
@@ -23,7 +25,7 @@ def corpus(spark, tmp_path_factory):
     for name, content in SHAPES.items():
         (folder / name).write_bytes(content)
     (folder / "broken.docx").write_bytes(b"PK\x03\x04 no zip")
-    d = D.read_docx(spark, str(folder)).cache()
+    d = D.read_docx(spark, str(folder)).withColumn("doc_id", F.col("filename")).cache()
     docs = d.where("error_code IS NULL").select("doc_id", F.lit("p").alias("preset_id"), "has_header", "has_footer")
     return d, rules.Corpus(docs, D.pages(d), D.paragraphs(d), P.preset_table(spark, [P.preset(PRESET)]))
 
@@ -169,5 +171,46 @@ def test_preview(spark, tmp_path):
     (tmp_path / "presets" / "p.yaml").write_text(yaml.safe_dump(PRESET))
     (tmp_path / "docs" / "a.docx").write_bytes(SHAPES["correct.docx"])
     (tmp_path / "docs" / "b.docx").write_bytes(b"no")
-    got = {r.doc_id: r for r in checked(spark, str(tmp_path / "docs"), str(tmp_path / "presets"), "p").collect()}
+    got = {r.filename: r for r in checked(spark, str(tmp_path / "docs"), str(tmp_path / "presets"), "p").collect()}
     assert got["a.docx"].score > 80 and got["a.docx"].preset_status == "unverified" and got["b.docx"].error_code == "corrupted_document" and got["b.docx"].score is None
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.docx").write_bytes(SHAPES["correct.docx" if folder == "a" else "wrong_font.docx"])
+    got = D.read_docx(spark, str(tmp_path)).collect()
+    assert len({r.doc_id for r in got}) == 2 and {r.filename for r in got} == {"x.docx"}
+
+
+def test_page_limit(spark, tmp_path):
+    (tmp_path / "x.docx").write_bytes(docx(para("word " * 2000)))
+    got = D.read_docx(spark, str(tmp_path), D.Limits(pages=3)).first()
+    assert (got.error_code, got.reason) == ("too_many_pages", "5 pages") and D.read_docx(spark, str(tmp_path)).first().error_code is None
+    assert D.Limits.of(Settings(max_pages=7, max_archive_parts=9)) == D.Limits(parts=9, pages=7)
+
+
+def test_container_rules_agree(spark):
+    """The decoder's rules and those over a table of parts are the same."""
+    from folio.plans.catalogue import PARTS
+
+    names = ["doc_id", "name", "file_size", "compress_size", "flag_bits"]
+    parts = pd.DataFrame(PARTS, columns=names)
+    want = {r.doc_id: r.reason for r in uploads.container_reasons(spark.createDataFrame(PARTS, names)).collect()}
+    assert {i: D.container_reason(g, D.Limits()) for i, g in parts.groupby("doc_id")} == want
+
+
+def test_document_type_is_seen_by_the_parser():
+    seen = lambda text: D.declares_type(io.BytesIO(text))
+    assert seen(b'<?xml version="1.0"?>\n<!DOCTYPE x []><x/>') and seen('<!DOCTYPE x><x/>'.encode("utf-16"))
+    assert not seen(b"<x>&lt;!DOCTYPE</x>") and not seen(b"<x><![CDATA[<!DOCTYPE]]></x>") and not seen(b"<!-- <!DOCTYPE --><x/>") and not seen(b"no xml")
+
+
+def test_stored_corpus_is_decoded_and_shuffled_once(spark, corpus, found):
+    c = corpus[1].stored(4)
+    again = rules.evaluated(c)
+    plan = again._sc._jvm.PythonSQLUtils.explainString(again._jdf.queryExecution(), "formatted")
+    assert "MapInPandas" not in plan and plan.count("hashpartitioning(doc_id") <= 2
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))
+    c.dropped()
+    assert not spark.catalog.tableExists(c.tables[0])

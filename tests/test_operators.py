@@ -6,8 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from folio.functions import numbers
 from folio.functions import text as X
-from folio.functions.numbers import py_round
 from folio.operators import chunks, jobs, report, review, rules, scoring
 from folio.plans import harness as H
 from folio.settings import Settings
@@ -39,12 +39,6 @@ def test_split_message(spark):
     assert "".join(got) == text and all(len(p.encode("utf-16-le")) // 2 <= 7 for p in got)
 
 
-def test_py_round(spark):
-    rows = [(2.675, 2), (0.15, 1), (0.35, 1), (2.5, 0), (-1.5, 0), (1.005, 2)]
-    got = spark.createDataFrame(rows, "x double, n int").select("x", "n", py_round("x", "n").alias("r")).collect()
-    assert all(r.r == round(r.x, r.n) for r in got)
-
-
 def expected_scores(rows, policy=(0.35, 0.15, 0.05), advisory=("text.long",)):
     worst = {}
     for _, _, _, _, cat, sev, src, rule, _, msg, *_, conf in rows:
@@ -345,3 +339,77 @@ def test_pandas_is_not_needed_for_headings(spark):
     d = spark.createDataFrame(pd.DataFrame({"t": ["i. introduction", "IV. Introduction", "2020 год"]}))
     got = [tuple(r) for r in d.select(S.section_key(S.normalized(F.col("t"))), S.numbering(F.col("t"))).collect()]
     assert got == [(None, None), (None, "IV"), (None, "2020")]
+
+
+def test_rounding_is_that_of_ieee_values(spark):
+    import random
+
+    rng = random.Random(3)
+    xs = [k / 20 for k in range(2001)] + [28.95, 0.05, 0.15, 2.25, 2.35, 1e9 + 0.05, 0.0] + [rng.uniform(0, 100) for _ in range(2000)] + [round(rng.uniform(0, 100), 2) for _ in range(2000)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", numbers.rounded(F.col("x")).alias("r")).collect()
+    assert [(r.x, r.r) for r in got if r.r != round(r.x, 1)] == []
+
+
+def test_state_machine_in_batch_is_the_fold(spark):
+    import random
+
+    rng = random.Random(4)
+    kinds = ["submit", "claim", "complete", "fail", "error", "cancel", "send", "sent", "unsent", None]
+    events = [(i, rng.choice(kinds), k) for i in range(60) for k in range(rng.randrange(1, 40))]
+    want = {}
+    for i, kind, _ in events:
+        want[i] = stream.advanced(want.get(i, stream.FRESH), kind)
+    rows = spark.createDataFrame(events, "check_id long, kind string, n int").withColumn("ts", F.timestamp_seconds("n"))
+    assert {r[0]: tuple(r)[1:] for r in stream.states_batch(rows).collect()} == want
+
+
+def test_shipped_messages_presets_and_prompts(spark, tmp_path):
+    from folio import errors
+    from folio.sources import messages, presets, prompts
+
+    rows = messages.message_rows()
+    assert {f"error.{c}" for c in errors.CODES} <= {r[1] for r in rows} and all(sum(r[1] == k for r in rows) == 3 for k in {r[1] for r in rows})
+    asked = spark.createDataFrame([("too_many_pages", "en"), ("nothing", "kk"), ("daily_limit", None)], "code string, lang string").withColumn("key", errors.message_key(F.col("code")))
+    got = {r.code: r.text for r in report.localised(asked, messages.message_table(spark), "key", F.col("lang"), "text").collect()}
+    assert got == {"too_many_pages": "There are too many pages", "nothing": "Ішкі қате", "daily_limit": "Дневной лимит исчерпан"}
+    assert {p["work_type"] for p in presets.load_presets("-")} == set(presets.WORK_TYPES)
+    filled = prompts.load_prompt().format(section="s", topic="t", text="the text")
+    assert "the text" in filled and '{"errors"' in filled
+    (tmp_path / "bad.txt").write_text("{text} {other}")
+    for name, folder in (("bad", str(tmp_path)), ("none", None), ("../prompts/review", None)):
+        with pytest.raises(ValueError):
+            prompts.load_prompt(name, folder)
+
+
+def test_http_provider_and_hanging_calls():
+    import http.server
+    import json
+    import threading
+    import time
+
+    replies = [(200, {"choices": [{"message": {"content": "hi"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}), (429, {}), (500, {}), (200, {"choices": []})]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert self.path == "/v1/chat/completions" and asked["messages"][1]["content"] == "user"
+            code, body = replies.pop(0)
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    p = review.Http(f"http://127.0.0.1:{server.server_port}/v1", "m")
+    assert p.complete("system", "user", 5) == review.Answer("hi", 3, 2)
+    for error in (review.QuotaError, review.ProviderError, review.ProviderError):
+        with pytest.raises(error):
+            p.complete("system", "user", 5)
+    server.shutdown()
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        review.within(0.1, lambda: time.sleep(30))
+    assert time.monotonic() - began < 5
