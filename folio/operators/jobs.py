@@ -107,6 +107,58 @@ def upserted(users: DataFrame, seen: DataFrame, admins: list[int]) -> DataFrame:
     return both.select("telegram_id", F.when(there, F.col("_u")).otherwise(F.col("username")).alias("username"), F.when(there, F.col("_f")).otherwise(F.col("full_name")).alias("full_name"), F.when(there, role).otherwise(F.col("role")).alias("role"), "language")
 
 
+def created(checks: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """Checks with new pending ones for uploads (id, document_id); an id that is there already stays as it is (M8)."""
+    fresh = asked.join(checks.select(F.col("id")), "id", "left_anti").select("id", "document_id")
+    start = {"status": F.lit("pending"), "created_at": now, "attempts": F.lit(0), "delivery_attempts": F.lit(0)}
+    rows = fresh.select("id", "document_id", *(v.alias(k) for k, v in start.items() if k in checks.columns))
+    return checks.unionByName(rows, allowMissingColumns=True)
+
+
+def looked_up(table: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of a key; the equality reaches the scan (M8)."""
+    return table.where(F.col(key) == F.lit(value))
+
+
+def told(table: DataFrame, news: DataFrame, key: str, column: str, known: tuple[str, ...]) -> DataFrame:
+    """A column set anew for the keys in news, where its value is one of the known (M7: languages of users, states of documents)."""
+    n = news.where(F.col(column).isin(*known)).groupBy(F.col(key).alias("_k")).agg(F.max(column).alias("_v"))
+    both = table.join(n, table[key] == F.col("_k"), "left")
+    return changed(both, F.col("_k").isNotNull(), **{column: F.col("_v")}).drop("_k", "_v")
+
+
+def missing_columns(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Tables that lack columns, with the sorted names of those (X4); both: table_name, column_name."""
+    lost = expected.join(found, ["table_name", "column_name"], "left_anti")
+    return lost.groupBy("table_name").agg(F.array_sort(F.collect_set("column_name")).alias("missing"))
+
+
+def columns_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name and column_name of some tables, as rows."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(name, c) for name, df in tables.items() for c in df.columns], "table_name string, column_name string")
+
+
+# Fixed value: the stages of a check in their order.
+STAGES = ("structure", "formatting", "text", "ai", "report")
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """check_id, the furthest stage reached, its number and the message key of it (ST8); events: check_id, stage."""
+    at = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    g = events.withColumn("_at", at).where("_at > 0").groupBy("check_id").agg(F.max("_at").cast("int").alias("step"))
+    stage = F.element_at(F.array(*map(F.lit, STAGES)), F.col("step"))
+    return g.select("check_id", "step", stage.alias("stage"), F.concat(F.lit("progress."), stage).alias("message_key"))
+
+
+def resendable(checks: DataFrame, files: DataFrame, result: str) -> DataFrame:
+    """Completed checks whose report (report_path) still exists, with the stored result and preset to render again from.
+
+    Nothing is analysed anew; result: a struct DDL; files: path."""
+    there = checks.where((F.col("status") == "completed") & F.col("result_snapshot").isNotNull()).join(files.select(F.col("path").alias("report_path")), "report_path", "left_semi")
+    return there.select("id", "report_path", F.from_json("result_snapshot", result).alias("result"), "preset_snapshot")
+
+
 def claimed(checks: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """Pending checks among ids start running and count an attempt; others are left as they are (M4)."""
     mine = checks.join(ids.select(F.col("check_id").alias("_id")).distinct(), checks["id"] == F.col("_id"), "left")
@@ -205,10 +257,19 @@ def statistics(checks: DataFrame, users: DataFrame) -> DataFrame:
     return c.withColumn("users", F.lit(users.count()).cast("long"))
 
 
-def restored(checks: DataFrame, result: str) -> DataFrame:
-    """Results of checks from their snapshot, or for old ones without from the row's own score and counts (M3); result: a struct DDL."""
-    own = F.struct(F.col("score").alias("score"), F.lit("legacy").alias("scoring_version"))
-    return checks.withColumn("result", F.when(F.col("result_snapshot").isNotNull(), F.from_json("result_snapshot", result)).otherwise(F.from_json(F.to_json(own), result)))
+def restored(checks: DataFrame, result: str, findings: DataFrame | None = None) -> DataFrame:
+    """Results of checks from their snapshot, or for old ones without from the row's score and its findings (M3).
+
+    result: a struct DDL; findings: check_id, seq and what a finding has, taken in the order of seq and not computed anew."""
+    own = {"score": F.col("score"), "scoring_version": F.lit("legacy")}
+    rows = checks
+    if findings is not None:
+        each = F.struct("seq", *(c for c in findings.columns if c not in ("check_id", "seq")))
+        kept = findings.groupBy(F.col("check_id").alias("_c")).agg(F.array_sort(F.collect_list(each)).alias("_f"))
+        rows, own["findings"] = checks.join(kept, checks["id"] == F.col("_c"), "left"), F.coalesce("_f", F.lit(None).cast(kept.schema["_f"].dataType))
+    legacy = F.from_json(F.to_json(F.struct(*(v.alias(k) for k, v in own.items()))), result)
+    out = F.when(F.col("result_snapshot").isNotNull(), F.from_json("result_snapshot", result)).otherwise(legacy)
+    return rows.withColumn("result", out).select(*checks.columns, "result")
 
 
 def check_json(checks: DataFrame, findings: DataFrame) -> DataFrame:

@@ -90,6 +90,11 @@ def score_note(provisional: Column, reviewed: Column, reasons: Column) -> Column
     return F.when(provisional | ~reviewed, F.concat(F.array(F.lit("score.provisional")), why)).otherwise(F.array(F.lit("score.complete")))
 
 
+def category_percentage(earned: Column, most: Column) -> Column:
+    """The share of its points that a category earned, in per cent; all of it where there are none to earn."""
+    return F.when(most == 0, 100.0).otherwise(F.bround(earned / most * 100, 1))
+
+
 def category_value(earned: Column, most: Column, evaluated: Column, coverage: Column) -> Column:
     plain = lambda c: F.regexp_replace(F.round(c, 4).cast("string"), r"\.0$", "")
     part = F.when(coverage < 1, F.concat(F.lit(" · "), F.bround(coverage * 100, 0).cast("int").cast("string"), F.lit("%"))).otherwise("")

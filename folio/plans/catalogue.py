@@ -585,6 +585,109 @@ def q_check_json(spark, d):
     return jobs.check_json(H.as_checks(table(spark, d, "orders")).withColumn("score", F.lit(None).cast("double")), found)
 
 
+# Changes of job tables
+
+_HIT = "o_orderkey % 5 = 0"
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'running' END"
+_SENDING = "CASE o_orderkey % 3 WHEN 0 THEN 'sending' WHEN 1 THEN 'pending' ELSE 'sent' END"
+
+
+def _orders(spark, d) -> DataFrame:
+    return H.as_checks(table(spark, d, "orders"))
+
+
+def _fifth(spark, d, **columns) -> DataFrame:
+    """Every fifth check, as news about it."""
+    o = table(spark, d, "orders").where(_HIT)
+    return o.select(F.col("o_orderkey").alias("check_id"), *(v.alias(k) for k, v in columns.items()))
+
+
+@query(f"SELECT id, CASE WHEN hit AND status = 'pending' THEN 'running' ELSE status END AS status, CASE WHEN hit AND status = 'pending' THEN 1 ELSE 0 END AS attempts FROM (SELECT o_orderkey AS id, {_HIT} AS hit, {_STATUS} AS status FROM orders)")
+def q_claimed(spark, d):
+    return jobs.claimed(_orders(spark, d), _fifth(spark, d), F.lit("1998-08-01 12:00:00").cast("timestamp")).select("id", "status", "attempts")
+
+
+@query(f"SELECT id, CASE WHEN hit AND status <> 'completed' THEN 'completed' ELSE status END AS status, CASE WHEN hit AND status <> 'completed' THEN 77.5 ELSE o_totalprice::DOUBLE END::DOUBLE AS score FROM (SELECT o_orderkey AS id, o_totalprice, {_HIT} AS hit, {_STATUS} AS status FROM orders)")
+def q_completed(spark, d):
+    done = jobs.completed(_orders(spark, d).withColumns({"score": F.col("score").cast("double"), "result_snapshot": F.lit(None).cast("string")}), _fifth(spark, d, score=F.lit(77.5), snapshot=F.lit("{}")), F.lit("1998-08-01 12:00:00").cast("timestamp"))
+    return done.select("id", "status", "score")
+
+
+@query(f"SELECT id, CASE WHEN hit AND status <> 'completed' THEN 'failed' ELSE status END AS status, CASE WHEN hit AND status <> 'completed' THEN repeat('x', 500) END AS error_detail FROM (SELECT o_orderkey AS id, {_HIT} AS hit, {_STATUS} AS status FROM orders)")
+def q_failed(spark, d):
+    return jobs.failed(_orders(spark, d), _fifth(spark, d, detail=F.repeat(F.lit("x"), 700)), F.lit("1998-08-01 12:00:00").cast("timestamp")).select("id", "status", "error_detail")
+
+
+@query(f"SELECT id, CASE WHEN hit AND status = 'running' THEN CASE WHEN id % 2 = 0 THEN 'failed' ELSE 'pending' END ELSE status END AS status FROM (SELECT o_orderkey AS id, {_HIT} AS hit, {_STATUS} AS status FROM orders)")
+def q_retried(spark, d):
+    errors = _fifth(spark, d, detail=F.lit("x"), is_domain=F.col("o_orderkey") % 2 == 0)
+    return jobs.retried(_orders(spark, d), errors, F.lit("1998-08-01 12:00:00").cast("timestamp")).select("id", "status")
+
+
+@query(f"SELECT id, CASE WHEN hit AND status = 'completed' AND sent <> 'sent' THEN CASE WHEN id % 2 = 0 THEN 'sent' ELSE 'pending' END ELSE sent END AS delivery_status, CASE WHEN hit AND status = 'completed' AND sent <> 'sent' THEN 1 ELSE 0 END AS delivery_attempts FROM (SELECT o_orderkey AS id, {_HIT} AS hit, {_STATUS} AS status, {_SENDING} AS sent FROM orders)")
+def q_delivered(spark, d):
+    return jobs.delivered(_orders(spark, d), _fifth(spark, d, ok=F.col("o_orderkey") % 2 == 0)).select("id", "delivery_status", "delivery_attempts")
+
+
+@query(f"SELECT o_orderkey AS id FROM orders WHERE NOT (o_custkey = 7 AND {_STATUS} = 'completed' AND {_SENDING} <> 'sending')")
+def q_without_history(spark, d):
+    return jobs.without_history(_orders(spark, d), H.as_uploads(table(spark, d, "orders")), F.col("user_id") == 7).select("id")
+
+
+@query("""SELECT o_orderkey AS id, 'pending' AS status FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 4 = 3 UNION ALL SELECT o_orderkey, 'running' FROM orders WHERE o_orderkey % 4 <> 3""")
+def q_created(spark, d):
+    """Some checks are there, and all orders ask for one."""
+    there = _orders(spark, d).where("id % 4 <> 3").withColumn("status", F.lit("running"))
+    return jobs.created(there, _orders(spark, d).select("id", "document_id"), F.lit("1998-08-01 12:00:00").cast("timestamp")).select("id", "status")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_orderkey = 7")
+def q_looked_up(spark, d):
+    return jobs.looked_up(_orders(spark, d), "id", 7).select("id", "score")
+
+
+@query("SELECT c_custkey AS user_id, CASE WHEN c_nationkey % 3 = 0 THEN 'kk' WHEN c_nationkey % 3 = 1 THEN 'en' ELSE 'ru' END AS language FROM customer")
+def q_language_set(spark, d):
+    c = table(spark, d, "customer")
+    wish = F.when(F.col("c_nationkey") % 3 == 0, "kk").when(F.col("c_nationkey") % 3 == 1, "en").otherwise("xx")
+    users = c.select(F.col("c_custkey").alias("user_id"), F.lit("ru").alias("language"))
+    return jobs.told(users, c.select(F.col("c_custkey").alias("user_id"), wish.alias("language")), "user_id", "language", report.LANGS)
+
+
+@query("""SELECT c_custkey AS telegram_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'old' END AS username, CASE WHEN c_custkey % 2 = 0 AND c_custkey IN (2, 4) THEN 'admin' ELSE 'user' END AS role, CASE WHEN c_custkey % 3 = 0 THEN 'kk' END AS language
+FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+def q_upserted(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("telegram_id"), "c_name")
+    users = c.where("telegram_id % 3 = 0").select("telegram_id", F.lit("old").alias("username"), F.lit("old").alias("full_name"), F.lit("user").alias("role"), F.lit("kk").alias("language"))
+    seen = c.where("telegram_id % 2 = 0").select("telegram_id", F.col("c_name").alias("username"), F.col("c_name").alias("full_name"))
+    return jobs.upserted(users, seen, [2, 4]).select("telegram_id", "username", "role", "language")
+
+
+_STAGED = {"signup": "structure", "view": "formatting", "click": "text", "purchase": "ai", "error": "none"}
+
+
+@query(f"""SELECT user_id AS check_id, max(step)::INT AS step, ['structure', 'formatting', 'text', 'ai', 'report'][max(step)] AS stage
+FROM (SELECT user_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END AS step FROM events) WHERE step IS NOT NULL GROUP BY user_id""")
+def q_progress(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("check_id"), scoring.lookup(F.col("event_type"), _STAGED).alias("stage"))
+    return jobs.progress(e).select("check_id", "step", "stage")
+
+
+@query("SELECT 'orders' AS table_name, list(c ORDER BY c) AS missing FROM (SELECT unnest(['o_orderkey', 'lost', 'o_totalprice', 'also_lost']) AS c) WHERE c NOT IN (SELECT column_name FROM (DESCRIBE orders))")
+def q_missing_columns(spark, d):
+    wanted = H.values(spark, [("orders", c) for c in ("o_orderkey", "lost", "o_totalprice", "also_lost")] + [("nation", "n_name")], "table_name string, column_name string")
+    return jobs.missing_columns(wanted, jobs.columns_of({t: table(spark, d, t) for t in ("orders", "nation")}))
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 50.5 ELSE o_totalprice::DOUBLE END::DOUBLE AS score, CASE WHEN o_orderkey % 2 = 0 THEN '3' ELSE 'legacy' END AS version, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) END::INT AS findings FROM orders WHERE {_HIT}")
+def q_restored(spark, d):
+    """Even checks have a snapshot, odd ones are rebuilt from their rows."""
+    c = _orders(spark, d).where("id % 5 = 0").withColumns({"score": F.col("score").cast("double"), "result_snapshot": F.when(F.col("id") % 2 == 0, F.lit('{"score": 50.5, "scoring_version": "3", "findings": []}'))})
+    found = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("check_id"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("message"))
+    out = jobs.restored(c, "struct<score:double,scoring_version:string,findings:array<struct<message:string>>>", found)
+    return out.select("id", F.col("result.score").alias("score"), F.col("result.scoring_version").alias("version"), F.coalesce(F.size("result.findings"), F.lit(0)).alias("findings"))
+
+
 # Reports
 
 
@@ -598,6 +701,12 @@ def q_errors_message(spark, d):
     return report.errors_message(H.text_findings(docs(spark, d)))
 
 
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS line, CASE WHEN l_tax = 0 THEN 100.0 ELSE round_even(least(l_discount, l_tax) / l_tax * 100, 1) END::DOUBLE AS pct FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount::DOUBLE AS l_discount, l_tax::DOUBLE AS l_tax FROM lineitem)")
+def q_category_percentage(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").cast("double").alias("e"), F.col("l_tax").cast("double").alias("m"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), report.category_percentage(F.least("e", "m"), F.col("m")).alias("pct"))
+
+
 MESSAGES = [(1, "hello", "ru", "Привет, {name}"), (2, "hello", "en", "Hello, {name}"), (3, "bye", "ru", "Пока"), (4, "only", "kk", "Сәлем"), (5, "twice", "ru", "старое"), (6, "twice", "ru", "новое")]
 ASKED = [(1, "hello", "en", "Ann"), (2, "hello", "kk", "Ann"), (3, "hello", None, None), (4, "bye", "en", None), (5, "only", "en", None), (6, "none", "en", None), (7, "twice", "RU", None)]
 

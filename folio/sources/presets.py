@@ -123,3 +123,13 @@ def institutions(presets: DataFrame) -> DataFrame:
 
 def of_institution(presets: DataFrame, institution: str) -> DataFrame:
     return active(presets).where(F.col("institution") == institution)
+
+
+# Fixed value: the order in which kinds of work are offered.
+WORK_ORDER = ("coursework", "diploma", "essay", "practice_report")
+
+
+def work_types(presets: DataFrame, institution: str) -> DataFrame:
+    """The kinds of work of an institution's active presets in the order they are offered, unknown ones last."""
+    place = F.array_position(F.array(*map(F.lit, WORK_ORDER)), F.col("work_type"))
+    return of_institution(presets, institution).select("work_type").distinct().orderBy(F.when(place == 0, len(WORK_ORDER) + 1).otherwise(place), "work_type")
