@@ -90,13 +90,14 @@ def name_cells(rows: DataFrame, column: str, cell: str, bits: int = BITS) -> Dat
 
 def numbered(docs: DataFrame, shards: int, carried: list[str]) -> DataFrame:
     """row (the carried columns) and ADDED of each document. Carried rows move once, into the order of the curve."""
+    # What the cells need is written without the texts; the rows themselves are written once, in their order.
+    names = stage(docs.select("lang", "source"), "shard-names")
+    lang = stage(name_cells(names, "lang", "x"), "lang-cells").withColumnRenamed("lang", "_lang")
+    source = stage(name_cells(names, "source", "y"), "source-cells").withColumnRenamed("source", "_source")
+    total = F.lit(max(names.count(), 1)).cast("long")
     row = F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row")
     rows = docs.select("doc_id", "lang", "source", text_size().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), row)
-    rows = stage(rows, "shard-rows")
-    lang = stage(name_cells(rows, "lang", "x"), "lang-cells").withColumnRenamed("lang", "_lang")
-    source = stage(name_cells(rows, "source", "y"), "source-cells").withColumnRenamed("source", "_source")
     log_size = F.least(F.length(F.bin("size")), F.lit((1 << BITS) - 1))
-    total = F.lit(max(rows.count(), 1)).cast("long")
     rows = rows.join(lang, rows.lang.eqNullSafe(lang._lang)).join(source, rows.source.eqNullSafe(source._source))
     rows = rows.select("doc_id", "size", "text_crc32", hilbert_index([F.col("x"), F.col("y"), log_size.cast("int")]).alias("curve"), "row")
     rows = ranked(rows, [F.col("curve"), F.col("text_crc32"), F.col("doc_id")], "rank", "curve")
