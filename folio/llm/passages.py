@@ -363,7 +363,7 @@ def reported(docs: DataFrame, matches: DataFrame) -> DataFrame:
     sides = found.select("chain", F.lit(0).alias("side"), "doc_id", "mark", "start", "stop").union(found.select("chain", F.lit(1), "first_id", "first_mark", "first_start", "first_stop"))
     # Merge join at every size: the chains grow with the documents. Texts leave the join sorted by their names.
     one = docs.join(sides.hint("merge"), ["doc_id", "mark"]).select("chain", "side", "start", "stop", "text")
-    words = stage(one.mapInArrow(slice_task, "chain long, side int, low int, words array<int>").dropDuplicates(["chain", "side"]), "chain-words")
+    words = stage(one.mapInArrow(slice_task, "chain long, side int, low int, words array<int>"), "chain-words")
     own = words.where("side = 0").select("chain", "low", F.col("words").alias("own_words"))
     other = words.where("side = 1").select("chain", F.col("low").alias("first_low"), F.col("words").alias("other_words"))
     spans = found.select("chain", "parts")
@@ -469,9 +469,11 @@ def long_matches(docs: DataFrame, hits: DataFrame, done: DataFrame) -> DataFrame
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, start, words, first_id, first_start, first_words, matched of each repeated passage."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark_of(F.col("text")).alias("mark"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    seeds = stage(docs.mapInArrow(seed_task, "seed long, doc_id long, spot long, lead boolean"), "seeds")
-    hits = stage(seeds.join(first_places(seeds), "seed").select("doc_id", "spot", "first_id", "first_spot"), "seed-hits")
-    unstage(seeds)
+    # Seeds are taken twice rather than written: they are more than the texts.
+    seeds = docs.mapInArrow(seed_task, "seed long, doc_id long, spot long, lead boolean")
+    firsts = stage(first_places(seeds), "seed-firsts")
+    hits = stage(seeds.drop("lead").join(firsts, "seed").select("doc_id", "spot", "first_id", "first_spot"), "seed-hits")
+    unstage(firsts)
     done = stage(reported(docs, matched(hits, MIN_WORDS)), "passages")
     every = done.union(reported(docs, long_matches(docs, hits, done))).distinct()
     own = (F.col("doc_id") == F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
