@@ -355,8 +355,8 @@ def align_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], list(names))
 
 
-def reported(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """The passages around matches (KEYS, diagonal, pos) of K words."""
+def reported(docs: DataFrame, matches: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The passages around matches (KEYS, diagonal, pos) of K words, and the staged tables that they are read from."""
     n = shuffle_parts(docs.sparkSession)
     matches = matches.repartition(n, *KEYS).sortWithinPartitions(*KEYS, "diagonal", "pos")
     found = stage(matches.mapInArrow(chain_task, CHAIN).distinct().withColumn("chain", F.monotonically_increasing_id()), "chains")
@@ -369,7 +369,7 @@ def reported(docs: DataFrame, matches: DataFrame) -> DataFrame:
     spans = found.select("chain", "parts")
     done = spans.join(own, "chain").join(other, "chain").mapInArrow(align_task, "chain long, start long, words long, first_start long, first_words long, matched long")
     out = done.join(found.select("chain", *KEYS), "chain")
-    return out.select(*KEYS, "start", "words", "first_start", "first_words", "matched").distinct()
+    return out.select(*KEYS, "start", "words", "first_start", "first_words", "matched").distinct(), [found, words]
 
 
 def long_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,8 +440,8 @@ def matched(hits: DataFrame, least: int) -> DataFrame:
     return rows.where((F.col("doc_id") != F.col("first_id")) | (F.col("mark") != F.col("first_mark")) | (F.col("diagonal") >= least))
 
 
-def long_matches(docs: DataFrame, hits: DataFrame, done: DataFrame) -> DataFrame:
-    """Matches of MIN_WORDS words that the passages in done don't cover, with the first document that has all of them.
+def long_matches(docs: DataFrame, hits: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches of MIN_WORDS words that the passages in done don't cover, with the first document that has all of them, and the staged grams.
 
     hits are the places of all seeds that stand in several. In a repeated run of MIN_WORDS words
     they lie at most WINDOW apart, so only such runs are searched."""
@@ -463,7 +463,7 @@ def long_matches(docs: DataFrame, hits: DataFrame, done: DataFrame) -> DataFrame
     found = found.mapInArrow(cover_task, MATCH)
     # As matches of K words: its first, middle and last.
     each = F.explode(F.array(*(F.lit(x) for x in (0, (MIN_WORDS - K) // 2, MIN_WORDS - K))))
-    return found.select(*KEYS, "diagonal", "pos", each.alias("on")).withColumn("pos", F.col("pos") + F.col("on")).drop("on").distinct()
+    return found.select(*KEYS, "diagonal", "pos", each.alias("on")).withColumn("pos", F.col("pos") + F.col("on")).drop("on").distinct(), grams
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -474,8 +474,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     firsts = stage(first_places(seeds), "seed-firsts")
     hits = stage(seeds.drop("lead").join(firsts, "seed").select("doc_id", "spot", "first_id", "first_spot"), "seed-hits")
     unstage(firsts)
-    done = stage(reported(docs, matched(hits, MIN_WORDS)), "passages")
-    every = done.union(reported(docs, long_matches(docs, hits, done))).distinct()
+    found, used = reported(docs, matched(hits, MIN_WORDS))
+    done = stage(found, "passages")
+    matches, grams = long_matches(docs, hits, done)
+    more, also = reported(docs, matches)
+    every = stage(done.union(more).distinct(), "all-passages")
+    for table in (*used, *also, grams, hits, done):
+        unstage(table)
     own = (F.col("doc_id") == F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
     # Grown towards each other, two places of one text may come to overlap; that is one run, not a repeat of MIN_WORDS words.
     apart = ~own | (F.col("start") - F.col("first_start") >= MIN_WORDS)
