@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, hilbert, jaccard, lines, mixing, passages, quality, suffix_tree, toxicity, urls
+from folio.llm import decontaminate, embedded, hilbert, jaccard, lines, mixing, passages, phrases, quality, suffix_tree, toxicity, urls, whitening
 from folio.session import table
 
 
@@ -54,7 +54,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_tree_score, op3_ngram_jaccard_join, op4_line_dedup, op5_hilbert_sharding, op6_substring_dedup, op7_decontamination, op8_url_filter, op9_source_mixing, op10_toxicity)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedded.scored(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(_docs(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_suffix_tree_score, op3_ngram_jaccard_join, op4_line_dedup, op5_hilbert_sharding, op6_substring_dedup, op7_decontamination, op8_url_filter, op9_source_mixing, op10_toxicity, op11_embedding_whitening, op12_quality_classifier, op13_phrase_mining)}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.judged_sql(),
@@ -62,4 +74,5 @@ ORACLES: dict[str, str] = {
     "op5_hilbert_sharding": hilbert.sharded_sql(),
     "op7_decontamination": decontaminate.digest_sql(),
     "op8_url_filter": urls.judged_sql(),
+    "op13_phrase_mining": phrases.mined_sql(),
 }
