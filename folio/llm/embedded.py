@@ -44,64 +44,43 @@ EPOCHS, RATE = 4, 0.5
 GOOD = 0.3
 #: Holdout remainder: rows whose crc32(doc_id) mod 5 is 0 teach nothing.
 EVERY = 5
+#: Bytes of texts that are taken at once.
+PIECE = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all features of some texts, and the text of each."""
+def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the features of some texts and the text of each, one kind after another, so that few are held at once."""
     n, texts = len(data), len(offsets) - 1
+    yield np.full(texts * ENDS, END), np.repeat(np.arange(texts), ENDS)
     # Texts are set apart by one separator each, so no gram runs over an end.
-    spread = np.full(n + texts + 1, 32, np.uint8)
-    owner = np.repeat(np.arange(texts), np.diff(offsets))
-    spread[np.arange(n) + owner + 1] = data
-    where = np.zeros(len(spread), np.int64)
-    where[np.arange(n) + owner + 1] = owner
+    owner = np.repeat(np.arange(texts, dtype=np.int32), np.diff(offsets))
+    place = np.arange(n) + owner + 1
+    spread, where = np.full(n + texts + 1, 32, np.uint8), np.zeros(n + texts + 1, np.int32)
+    spread[place], where[place] = data, owner
     word = tokens.SPACED[spread]
-    value = np.where(word, spread, 0).astype(np.uint64) + np.uint64(1)
     edges = np.diff(np.r_[False, word, False].astype(np.int8))
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    found, owners = [np.full(texts * ENDS, END)], [np.repeat(np.arange(texts), ENDS)]
-    with np.errstate(over="ignore"):
-        if len(start):
-            weighted = np.cumsum(np.r_[np.uint64(0), tokens.mixed(spread.astype(np.uint64) + np.uint64(7)) * tokens.powers(len(spread))])
-            # A word's hash without its place: its sum over the power at its first byte, whose inverse is a power of the inverse.
-            h = (weighted[end] - weighted[start]) * inverse_powers(len(spread))[start]
-            found.append(bucket(h, 0))
-            owners.append(where[start])
-            again = np.flatnonzero((h[1:] == h[:-1]) & (where[start[1:]] == where[start[:-1]])) + 1
-            found.append(np.full(len(again), DITTO))
-            owners.append(where[start[again]])
-        for k in GRAMS:
-            size = len(spread) - k + 1
-            if size < 1:
-                continue
-            h = np.zeros(size, np.uint64)
-            ok = np.ones(size, bool)
-            for i in range(k):
-                h = (h ^ value[i : i + size]) * _MIX
-                if 0 < i < k - 1:
-                    ok &= word[i : i + size]
-            if k == 2:
-                ok &= word[:size] | word[1:]  # of two marks alone there is no gram
-            at = np.flatnonzero(ok)
-            inner = at + np.where(word[at], 0, 1)
-            found.append(bucket(h[at], k))
-            owners.append(where[inner])
-    return np.concatenate(found), np.concatenate(owners)
-
-
-_INVERSES = np.ones(1, np.uint64)
-
-
-def inverse_powers(n: int) -> np.ndarray:
-    """The first n powers of the inverse of the base of tokens.powers, modulo 2**64."""
-    global _INVERSES
-    if len(_INVERSES) < n:
-        p = np.full(max(n, 2 * len(_INVERSES), 256), pow(int(tokens.powers(2)[1]), -1, 1 << 64), np.uint64)
-        p[0] = 1
+    if not len(start):
+        return
+    h = tokens.Words(spread, start, end, start[:0]).hashes()
+    yield bucket(h, 0), where[start]
+    again = np.flatnonzero((h[1:] == h[:-1]) & (where[start[1:]] == where[start[:-1]])) + 1
+    yield np.full(len(again), DITTO), where[start[again]]
+    value = np.where(word, spread, 0).astype(np.uint64) + np.uint64(1)
+    for k in GRAMS:
+        size = len(spread) - k + 1
+        if size < 1:
+            continue
+        ok = word[:size] | word[1 : size + 1]  # of two marks alone there is no gram
+        for i in range(1, k - 1):
+            ok &= word[i : i + size]
+        at = np.flatnonzero(ok)
+        h = np.zeros(len(at), np.uint64)
         with np.errstate(over="ignore"):
-            _INVERSES = np.cumprod(p)
-    return _INVERSES[:n]
+            for i in range(k):
+                h = (h ^ value[at + i]) * _MIX
+        yield bucket(h, k), where[at + ~word[at]]
 
 
 def bucket(h: np.ndarray, kind: int) -> np.ndarray:
@@ -110,14 +89,15 @@ def bucket(h: np.ndarray, kind: int) -> np.ndarray:
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct buckets of each text, their counts, and how many each text has."""
-    at, owner = features(data, offsets)
-    key, n = np.unique(owner * BUCKETS + at, return_counts=True)
+    each = [np.unique(owner * np.int64(BUCKETS) + at, return_counts=True) for at, owner in features(data, offsets)]
+    key, back = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([n for _, n in each]), len(key))
     return (key % BUCKETS).astype(np.int32), n.astype(np.int32), np.bincount(key // BUCKETS, minlength=len(offsets) - 1)
 
 
 def bag_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, high, data, offsets in tokens.pieces(batch.column("text")):
+        for low, high, data, offsets in tokens.pieces(batch.column("text"), PIECE):
             at, n, sizes = bags(data, offsets)
             own = batch.slice(low, high - low)
             yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("place", "label", "key")), tokens.lists(at, sizes), tokens.lists(n, sizes)], ["place", "label", "key", "at", "n"])
@@ -187,10 +167,13 @@ def score_task(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margins = shared.value
         for batch in batches:
-            for low, high, data, offsets in tokens.pieces(batch.column("text")):
-                at, owner = features(data, offsets)
+            for low, high, data, offsets in tokens.pieces(batch.column("text"), PIECE):
                 n = high - low
-                z = np.bincount(owner, margins[at], n) / np.bincount(owner, minlength=n)
+                z, total = np.zeros(n), np.zeros(n)
+                for at, owner in features(data, offsets):
+                    z += np.bincount(owner, margins[at], n)
+                    total += np.bincount(owner, minlength=n)
+                z /= total
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], ["doc_id", "score"])
 
     return run

@@ -130,16 +130,21 @@ def grams_of(text):
     return +out
 
 
+def found(data, offsets):
+    at, owner = zip(*E.features(np.frombuffer(data, np.uint8), offsets), strict=True)
+    return np.concatenate(at), np.concatenate(owner)
+
+
 def test_features_by_brute_force():
     texts = ["", "a", "ab ab ab abc", "  Überfall\tüber\n\nÜberfall ", "x" * 300 + " y", "\n"]
     data = "".join(texts).encode()
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
-    at, owner = E.features(np.frombuffer(data, np.uint8), offsets)
+    at, owner = found(data, offsets)
     place = {}
     for i, t in enumerate(texts):
         want, got = grams_of(t), Counter(at[owner == i].tolist())
         assert sorted(got.values()) == sorted(want.values())
-        alone, _ = E.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        alone, _ = found(t.encode(), np.array([0, len(t.encode())]))
         assert Counter(alone.tolist()) == got  # what stands around a text is no part of it
         place[t] = got
     assert place["a"].keys() < {*place["a"], *place["ab ab ab abc"]}
@@ -167,7 +172,7 @@ def test_a_step_follows_the_gradient():
 def test_margins_give_the_softmax():
     m = E.Embedding()
     m.layer = np.random.default_rng(1).normal(size=m.layer.shape)
-    at, owner = E.features(np.frombuffer(b"one two two", np.uint8), np.array([0, 11]))
+    at, owner = found(b"one two two", np.array([0, 11]))
     key, n = np.unique(at, return_counts=True)
     p, _ = m.probabilities(key, n / n.sum())
     assert math.isclose(p[1], 1 / (1 + math.exp(-m.margins()[at].mean())), rel_tol=1e-6)
