@@ -23,7 +23,7 @@ from dataclasses import dataclass, fields
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -204,6 +204,29 @@ class WordDataSource(DataSource):
         return WordStreamReader(dict(self.options), schema)
 
 
+#: The code of an upload that its user's quota keeps out.
+REFUSED = "daily_limit"
+
+
+def opened(rows: DataFrame, root: str, limits: Limits = Limits()) -> DataFrame:
+    """Decoded documents for rows with path, user_id and is_admitted; those not admitted are not opened. Also for streams."""
+    extra = rows.select("user_id", "is_admitted").schema
+    schema = StructType([*extra.fields, *StructType.fromDDL(schemas.DECODED).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, form = Folder(root), to_arrow_schema(schema)
+        for batch in batches:
+            asked = batch.to_pylist()
+            for r in asked:
+                if r["is_admitted"]:
+                    found = next(decoded_rows([(r["path"], folder.read(r["path"]))], limits))
+                else:
+                    found = [{"doc_id": r["path"], "path": r["path"], "filename": posixpath.basename(r["path"]), "error_code": REFUSED, "fonts": [], "pages": [], "paragraphs": [], "cells": [], "parts": []}]
+                yield pa.RecordBatch.from_pylist([r | x for x in found], form)
+
+    return rows.select("path", "user_id", "is_admitted").mapInArrow(run, schema)
+
+
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WordDataSource)

@@ -16,6 +16,8 @@ from folio.operators.jobs import Limits
 
 STATE = "status string, attempts int, delivery string, delivery_attempts int"
 OUT = f"check_id long, {STATE}"
+# Fixed value: the columns of whole files.
+FILE = "path string, modificationTime timestamp, length long, content binary"
 #: What a check is before its first event.
 FRESH = ("new", 0, "none", 0)
 
@@ -107,7 +109,7 @@ def once(jobs: DataFrame, late: str = "1 hour") -> DataFrame:
 def inbox(spark, path: str, schema: str | None = None, per_trigger: int = 100) -> DataFrame:
     """New files of a folder as a stream (S15): whole files, or JSON rows where a schema is given."""
     reader = spark.readStream.option("maxFilesPerTrigger", per_trigger)
-    return reader.schema(schema).json(path) if schema else reader.format("binaryFile").load(path)
+    return reader.schema(schema).json(path) if schema else reader.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").load(path)
 
 
 def dispatched(stream: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = 15):
