@@ -11,7 +11,7 @@ from folio.functions import text as X
 from folio.operators import chunks, jobs, report, review, rules, scoring
 from folio.plans import harness as H
 from folio.settings import Settings
-from folio.sources.store import FileStore, published, replace_partitions
+from folio.sources.store import Files, FileStore, replace_partitions
 from folio.streaming import checks as stream
 
 FIELDS = "doc_id int, preset_id string, rule_ord int, sub_ord int, category string, severity string, source string, rule_id string, location string, message string, expected string, actual string, suggestion string, original_text string, confidence double"
@@ -301,17 +301,24 @@ def test_reports(spark):
 
 
 def test_store(spark, tmp_path):
-    store = FileStore(tmp_path, 100)
-    path = store.save(b"PK\x03\x04x", "../../evil.docx")
-    assert path.parent == tmp_path and path.stat().st_mode & 0o777 == 0o600 and path.suffix == ".docx"
+    uri = f"file://{tmp_path}"
+    store = FileStore(spark, uri, 100)
+    name = store.save(b"PK\x03\x04x", "../../evil.docx")
+    path = tmp_path / name
+    assert path.read_bytes() == b"PK\x03\x04x" and path.stat().st_mode & 0o777 == 0o600 and path.suffix == ".docx"
     for bad in (b"", b"no", b"PK\x03\x04" + b"x" * 200):
         with pytest.raises(ValueError):
             store.save(bad, "a.docx")
-    store.delete(path)
-    assert not path.exists()
-    published(b"one", tmp_path / "r.pdf")
-    published(b"two", tmp_path / "r.pdf")
-    assert (tmp_path / "r.pdf").read_bytes() == b"two" and len(list(tmp_path.iterdir())) == 1
+    store.delete(name)
+    files = Files(spark, uri)
+    assert not path.exists() and not files.exists(name)
+    for content in (b"one", b"two"):
+        files.published("r.pdf", content)
+    assert files.read("r.pdf") == b"two" and files.names() == ["r.pdf"] and len(list(tmp_path.iterdir())) == 1
+    assert files.create("once", b"a") and not files.create("once", b"b") and files.read("once") == b"a"
+    for outside in ("../x", "/etc/x", "a/../../x", "", "hdfs://x/y"):
+        with pytest.raises(ValueError):
+            files.path(outside)
     t = spark.createDataFrame([(1, "a"), (2, "b")], "check_id int, v string")
     replace_partitions(t, str(tmp_path / "t"), "check_id")
     replace_partitions(spark.createDataFrame([(1, "c")], "check_id int, v string"), str(tmp_path / "t"), "check_id")
