@@ -3,13 +3,15 @@
 A text is the set of 64-bit hashes of its words (letters and digits, lower-cased) and their beginnings. The model scores
 w0 + sum of w over the terms + sum over pairs of <v_i, v_j>, so that two terms can say together what
 neither says alone. It learns from at most SAMPLE labelled rows, the ones whose ids hash lowest, as far
-as their terms number SAMPLE_TERMS together (a row with more than a 64th of that is not learned from);
+as their terms number SAMPLE_TERMS together (the row that passes this is the last, however long a row is);
 every term of at least MIN_TEXTS of them takes part, whatever its own toxic share.
 
-The weights are learned first, by follow-the-regularised-leader with a penalty that keeps most at
-zero; then weights and factors together, where a group penalty lets only such factors grow as say more
-than the weights do. Terms left at zero are dropped, and the rest is broadcast: at most SAMPLE_TERMS /
-MIN_TEXTS terms whatever the corpus. Scoring covers all texts.
+Learning goes twice over the sample. The first time it selects terms: weights alone, by
+follow-the-regularised-leader with a penalty that keeps most at zero, then weights and factors together under a group
+penalty that kills the factors of all terms but those whose pairs say what weights do not. The second time it
+learns weights and factors of the terms that are left together from the start, under a light penalty, so
+that what terms say together goes to their pairs. Terms left at zero are dropped, and the rest is broadcast:
+at most SAMPLE_TERMS / MIN_TEXTS terms whatever the corpus. Scoring covers all texts.
 
 Edge cases: null and empty texts score the intercept alone; rows without a label, or with a null label,
 teach nothing; a row labelled twice counts twice; with no labels all scores are one half; an empty
@@ -41,8 +43,10 @@ FACTORS = 4
 EPOCHS, ALONE, BATCH = 10, 4, 32
 #: Step sizes of weights and factors, and how far factors start from zero, for texts of one term.
 RATE, FACTOR_RATE, START = 0.2, 0.1, 0.25
-#: Penalties: of a weight, times the root of the rows; of a term's factors at each step.
-SPARSE, GROUP = 0.27, 0.3
+#: Penalties: of a weight, times the root of the rows; of a term's factors at each step, while terms are selected and afterwards.
+SPARSE, GROUP, LIGHT = 0.27, 0.3, 0.02
+#: How far factors start from zero once terms are selected.
+SELECTED_START = 0.5
 #: Holdout remainder: rows whose crc32(doc_id) mod 5 is 0 teach nothing.
 EVERY = 5
 
@@ -118,9 +122,18 @@ class Machine:
             squares[has] = np.add.reduceat(v * v, begin)
         return self.w0 + linear + 0.5 * (sums * sums - squares).sum(axis=1), sums
 
-    def learn(self, at: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> None:
-        """Logistic loss over mini-batches; terms are updated where they occur."""
+    def fit(self, at: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> "Machine":
+        """The machine of the terms that a first learning selects, learned anew on them alone."""
+        self.learn(at, sizes, y)
+        kept = self.used()
+        out, owner = self.pruned(), np.repeat(np.arange(len(sizes)), sizes)[kept[at]]
+        out.learn((np.cumsum(kept) - 1)[at[kept[at]]], np.bincount(owner, minlength=len(sizes)), y, alone=0, group=LIGHT, start=SELECTED_START)
+        return out.pruned()
+
+    def learn(self, at: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 7, alone: int = ALONE, group: float = GROUP, start: float = START) -> None:
+        """Logistic loss over mini-batches; terms are updated where they occur. Factors join after `alone` epochs."""
         rng, begin = np.random.default_rng(seed), np.cumsum(sizes) - sizes
+        self.w, self.v = np.zeros_like(self.w), np.zeros_like(self.v)
         if not len(y):
             return
         rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -128,8 +141,8 @@ class Machine:
         push, seen, seen_v = np.zeros_like(self.w), np.zeros_like(self.w), np.zeros_like(self.w)
         least = SPARSE * np.sqrt(len(y))
         for epoch in range(epochs):
-            if epoch == ALONE:
-                self.v = rng.normal(0, START / np.sqrt(max(sizes.mean(), 1)), self.v.shape)
+            if epoch == alone:
+                self.v = rng.normal(0, start / np.sqrt(max(sizes.mean(), 1)), self.v.shape)
             order = rng.permutation(len(y))
             for low in range(0, len(y), BATCH):
                 docs = order[low : low + BATCH]
@@ -147,7 +160,7 @@ class Machine:
                 far = np.maximum(np.abs(push[place]) - least, 0)
                 self.w[place] = -np.sign(push[place]) * far * RATE / (1 + np.sqrt(more))
                 self.w0 -= 0.01 * float(error.mean())
-                if epoch < ALONE:
+                if epoch < alone:
                     continue
                 spread = np.repeat(sums, n, axis=0) - self.v[terms]
                 gv = np.stack([np.bincount(back, each * spread[:, f], len(place)) for f in range(spread.shape[1])], axis=1)
@@ -155,11 +168,14 @@ class Machine:
                 step = FACTOR_RATE / (1 + np.sqrt(seen_v[place]))
                 v = self.v[place] - step[:, None] * gv
                 norm = np.sqrt((v * v).sum(axis=1)) + 1e-12
-                self.v[place] = v * np.maximum(0, 1 - step * GROUP / norm)[:, None]
+                self.v[place] = v * np.maximum(0, 1 - step * group / norm)[:, None]
+
+    def used(self) -> np.ndarray:
+        return (self.w != 0) | (self.v != 0).any(axis=1)
 
     def pruned(self) -> "Machine":
         """The same scores without the terms that learning left at zero."""
-        has = (self.w != 0) | (self.v != 0).any(axis=1)
+        has = self.used()
         out = Machine(self.terms[has], self.v.shape[1])
         out.w0, out.w, out.v = self.w0, self.w[has], self.v[has]
         return out
@@ -174,9 +190,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_term
     # However many rows share an id, equal ones teach once and the rest are part of the same bound.
     texts = texts.select("place", "toxic", "key", "text").dropDuplicates(["place", "key"])
     terms = stage(texts.mapInArrow(term_task, "place long, toxic int, key long, terms array<long>"), "toxic-terms")
-    sizes = terms.select("place", "key", F.size("terms").cast("long").alias("n")).where(F.col("n") <= sample_terms // 64).orderBy("place", "key").limit(sample)
+    sizes = terms.select("place", "key", F.size("terms").cast("long").alias("n")).orderBy("place", "key").limit(sample)
     upto = F.sum("n").over(W.orderBy("place", "key").rowsBetween(W.unboundedPreceding, 0))
-    fit = sizes.withColumn("upto", upto).where(F.col("upto") <= sample_terms).select("place", "key")
+    fit = sizes.withColumn("upto", upto).where(F.col("upto") - F.col("n") < sample_terms).select("place", "key")
     terms = terms.join(F.broadcast(fit), ["place", "key"])
     seen = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     names = seen.where(F.col("n") >= MIN_TEXTS).select("term").toArrow()["term"].to_numpy()
@@ -187,8 +203,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_term
     places = t["places"].combine_chunks()
     places = places.chunk(0) if isinstance(places, pa.ChunkedArray) else places
     at = np.asarray(places.flatten()).astype(np.int64)
-    machine.learn(at, np.asarray(pc.list_value_length(places)).astype(np.int64), t["toxic"].to_numpy().astype(float))
-    return machine.pruned()
+    return machine.fit(at, np.asarray(pc.list_value_length(places)).astype(np.int64), t["toxic"].to_numpy().astype(float))
 
 
 def score_task(shared):
