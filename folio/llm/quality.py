@@ -2,8 +2,10 @@
 
 Every document gets a few integer measures. A histogram sketch with a fixed relative error holds
 their distribution for each group: language, source and size class (the bit length of the word count,
-since short texts vary more). Sketches merge by adding counts, so a language's sketch of a size class is
-the sum of its sources', and small or constant groups fall back on it, then on their whole language, then on all.
+since short texts vary more). Sketches merge by adding counts: a source's sketch in a language is the
+sum of its size classes', a language's sketch of a size class the sum of its sources'. A group that is small or
+constant takes the wider fence of these two, so that neither a source's habits nor a short text's spread counts
+against a document; where both are small the whole language speaks, then all.
 
 A fence lies REACH tail distances beyond a letter value: the quartile, or where that does not differ
 from the median the eighth, the sixteenth and so on to the last of LETTERS. The distance is the one from
@@ -32,7 +34,7 @@ REACH = 6
 #: Letter values are the 1/2**k tails for these k.
 LETTERS = (2, 3, 4, 5, 6)
 #: A group's own sketch counts from so many documents.
-MIN_DOCS = 50
+MIN_DOCS = 30
 #: Bits that a sketch bin keeps: a relative error of at most 1/32.
 BITS = 6
 PUNCTUATION = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
@@ -80,8 +82,8 @@ def base_failed() -> Column:
 
 
 GROUP = ["lang", "source", "size_class"]
-#: What a group falls back on in turn; the last is taken at any size.
-CHAIN = (GROUP, ["lang", "size_class"], ["lang"], [])
+#: What a group falls back on: the wider of the second and third, then the fourth; the last is taken at any size.
+CHAIN = (GROUP, ["lang", "source"], ["lang", "size_class"], ["lang"], [])
 
 
 def sketches(measures: DataFrame) -> DataFrame:
@@ -116,8 +118,12 @@ def fences(sketch: DataFrame) -> DataFrame:
         for c in by:
             same = same & both[c].eqNullSafe(wider[f"{c}_{k}"])
         both = both.join(wider, same).drop(*(f"{c}_{k}" for c in (*by, "measure")))
-    last = len(CHAIN) - 1
-    pick = lambda side: F.coalesce(*(F.when((F.col(f"n_{k}") >= MIN_DOCS) | F.lit(k == last), F.col(f"{side}_{k}")) for k in range(len(CHAIN)))).alias(side)
+
+    def pick(side: str) -> Column:
+        own = [F.when((F.col(f"n_{k}") >= MIN_DOCS) | F.lit(k == len(CHAIN) - 1), F.col(f"{side}_{k}")) for k in range(len(CHAIN))]
+        wider = (F.least if side == "low" else F.greatest)(own[1], own[2])  # a null gives way
+        return F.coalesce(own[0], wider, *own[3:]).alias(side)
+
     both = both.select(*GROUP, "measure", pick("low"), pick("high"))
     return both.groupBy(*GROUP).agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m, side in FENCES))
 
@@ -162,8 +168,8 @@ def _tails(by: list[str], mark: int) -> str:
 
 
 def _picked(side: str) -> str:
-    last = len(CHAIN) - 1
-    return "coalesce(" + ", ".join(f"CASE WHEN n_{k} >= {MIN_DOCS} THEN {side}_{k} END" if k < last else f"{side}_{k}" for k in range(last + 1)) + f") AS {side}"
+    own = [f"CASE WHEN n_{k} >= {MIN_DOCS} OR {k} = {len(CHAIN) - 1} THEN {side}_{k} END" for k in range(len(CHAIN))]
+    return f"coalesce({own[0]}, {'least' if side == 'low' else 'greatest'}({own[1]}, {own[2]}), {', '.join(own[3:])}) AS {side}"
 
 
 def judged_sql(docs: str = "documents") -> str:

@@ -130,6 +130,17 @@ def test_fences_follow_their_group(spark):
     assert 120 not in kept and len([i for i in kept if i >= 1000]) >= 118
 
 
+def test_small_groups_keep_their_source(spark, monkeypatch):
+    """A source whose size classes are all small is judged with all of it, not by its language alone."""
+    rng = random.Random(4)
+    sizes = (12, 24, 48, 96)
+    plain, loud = [t for n in sizes for t in clean_texts(rng, 100, n)], [t.upper() for n in sizes for t in clean_texts(rng, 10, n)]
+    d = spark.createDataFrame([(i, t, "en", "plain", 1) for i, t in enumerate(plain)] + [(1000 + i, t, "en", "loud", 1) for i, t in enumerate(loud)], DOCS)
+    assert len([r for r in quality.kept(d).collect() if r.doc_id >= 1000]) == len(loud)
+    monkeypatch.setattr(quality, "CHAIN", (quality.GROUP, ["lang", "size_class"], ["lang", "size_class"], ["lang"], []))
+    assert not [r for r in quality.kept(d).collect() if r.doc_id >= 1000]
+
+
 def test_no_width_is_fixed(spark):
     """A fence scales with its group: values of ten times the spread move it ten times as far."""
     def bounds(scale):
