@@ -76,9 +76,9 @@ def finding(order: int, severity: str | Column, category: str, rule_id: str | Co
     return F.struct(F.lit(order).alias("rule_ord"), sub.cast("int").alias("sub_ord"), F.lit(category).alias("category"), _s(severity).alias("severity"), _s(rule_id).alias("rule_id"), _s(location).alias("location"), _s(message).alias("message"), _s(expected).alias("expected"), _s(actual).alias("actual"))
 
 
-def unpacked(df: DataFrame, *each: Column) -> DataFrame:
-    """One row for each finding of the arrays or structs given."""
-    x = F.explode(F.filter(F.array(*each), lambda f: f["severity"].isNotNull()))
+def unpacked(df: DataFrame, *each: Column, lists: tuple[Column, ...] = ()) -> DataFrame:
+    """One row for each finding of the structs, and of the arrays in lists."""
+    x = F.explode(F.filter(F.concat(*([F.array(*each)] if each else []), *lists), lambda f: f["severity"].isNotNull()))
     rows = df.select("doc_id", "preset_id", x.alias("f")).select("doc_id", "preset_id", "f.*")
     none = F.lit(None).cast("string")
     return rows.withColumns({"source": F.lit("rule_engine"), "suggestion": none, "original_text": none, "confidence": F.lit(None).cast("double")}).select(*COLUMNS)
@@ -205,16 +205,21 @@ def level_jumps(levels: DataFrame, by: str = "doc_id", at: str = "paragraph_inde
 
 
 def numbering_rules(c: Corpus) -> DataFrame:
-    """Order of numbers and levels."""
-    h = views.headings(c.placed)
-    tops = h.where((F.col("level") == 1) & F.col("numbering").rlike(r"^\d+$")).select("doc_id", "paragraph_index", F.col("numbering").cast("decimal(38,0)").alias("number"))
-    pair = lambda a, b: F.concat(F.col(a).cast("string"), F.lit(" -> "), F.col(b).cast("string"))
-    jumps = c.with_preset(number_jumps(tops))
-    deeper = c.with_preset(level_jumps(h))
-    out = unpacked(jumps, finding(7, F.lit("warning"), "structure", "numbering.sequence", "Heading numbers do not follow each other", sub=F.col("paragraph_index"), actual=pair("before", "number")))
-    out = out.unionByName(unpacked(deeper, finding(7, F.lit("warning"), "structure", "numbering.level_jump", "A heading skips a level", sub=F.col("paragraph_index") + (1 << 29), actual=pair("before", "level"))))
-    fine = c.with_preset(h.select("doc_id").distinct()).join(jumps.select("doc_id").union(deeper.select("doc_id")), "doc_id", "left_anti")
-    return out.unionByName(unpacked(fine, finding(7, F.lit("pass"), "structure", "numbering.ok", "Numbers and levels are in order", sub=1 << 30)))
+    """Order of numbers and levels (V18 to V20): one row of headings for each document, each held against the one before it."""
+    number = F.when((F.col("level") == 1) & F.col("numbering").rlike(r"^\d+$"), F.col("numbering").cast("decimal(38,0)"))
+    each = F.array_sort(F.collect_list(F.struct(F.col("paragraph_index").alias("at"), "level", number.alias("number"))))
+    d = c.with_preset(views.headings(c.placed).groupBy("doc_id").agg(each.alias("all")))
+    d = d.withColumn("tops", F.filter("all", lambda x: x["number"].isNotNull()))
+    d = d.withColumn("jumps", F.filter(F.transform("tops", lambda x, i: F.struct(x["at"].alias("at"), F.get("tops", i - 1)["number"].alias("before"), x["number"].alias("now"))), lambda x: x["now"] != x["before"] + 1))
+    d = d.withColumn("deeper", F.filter(F.transform("all", lambda x, i: F.struct(x["at"].alias("at"), F.coalesce(F.get("all", i - 1)["level"], F.lit(0)).alias("before"), x["level"].alias("now"))), lambda x: x["now"] - x["before"] > 1))
+    pair = lambda x: F.concat(x["before"].cast("string"), F.lit(" -> "), x["now"].cast("string"))
+    told = lambda rows, rule, message, after: F.transform(rows, lambda x: finding(7, F.lit("warning"), "structure", rule, message, sub=x["at"] + after, actual=pair(x)))
+    fine = (F.size("jumps") == 0) & (F.size("deeper") == 0)
+    return unpacked(
+        d,
+        finding(7, F.when(fine, "pass"), "structure", "numbering.ok", "Numbers and levels are in order", sub=1 << 30),
+        lists=(told("jumps", "numbering.sequence", "Heading numbers do not follow each other", 0), told("deeper", "numbering.level_jump", "A heading skips a level", 1 << 29)),
+    )
 
 
 def detected(h: DataFrame) -> DataFrame:
@@ -282,10 +287,12 @@ def duplicate_entries(entries: Column) -> Column:
 
 def reference_rules(c: Corpus) -> DataFrame:
     """References and citations."""
-    texts = views.section_texts(c.placed)
-    refs = texts.where("section = 'references'").select("doc_id", "text").join(detected(views.headings(c.placed)).where("section_key = 'references'").select("doc_id", "raw_text"), "doc_id")
-    cited = texts.where(~F.col("section").isin("references", "content_table")).groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(u(S.CITATION)))).alias("citations"))
-    d = c.per_doc(refs.withColumn("entries", reference_entries(F.col("text"), F.col("raw_text"))).select("doc_id", "entries")).join(cited, "doc_id", "left")
+    opens = F.min(F.when(F.col("section_key") == "references", F.struct("idx", "raw")))["raw"]  # the section's own heading
+    texts = c.placed.where(~F.col("is_empty")).groupBy("doc_id", "section").agg(views.joined_text(F.col("idx"), F.col("text")).alias("text"), opens.alias("raw"))
+    refs = F.max(F.when(F.col("section") == "references", F.struct("text", "raw")))
+    cited = F.sum(F.when(~F.col("section").isin("references", "content_table"), F.regexp_count("text", F.lit(u(S.CITATION)))))
+    own = texts.groupBy("doc_id").agg(refs.alias("refs"), cited.alias("citations"))
+    d = c.per_doc(own.select("doc_id", "citations", F.when(F.col("refs").isNotNull(), reference_entries(F.col("refs.text"), F.col("refs.raw"))).alias("entries")))
     there, n = F.col("entries").isNotNull(), F.size("entries")
     twice, short = duplicate_entries(F.col("entries")), F.size(F.filter("entries", lambda x: F.length(x) < 15))
     few, k = n < F.col("references.min_sources"), F.coalesce("citations", F.lit(0))
