@@ -6,6 +6,7 @@ after their size is checked. Rendering to a page format is left to whoever reads
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -163,17 +164,27 @@ def results_message(categories: DataFrame, totals: DataFrame) -> DataFrame:
     return each.join(totals, "doc_id").select("doc_id", F.concat_ws("\n", "lines", total).alias("text"))
 
 
-@pandas_udf(StringType())
-def print_text(s: pd.Series) -> pd.Series:
-    """Composed characters, line ends as spaces, controls and variation selectors dropped, markup escaped (P20)."""
+def print_text(c: Column | str, glyphs: list[tuple[int, int]] | None = None) -> Column:
+    """Composed characters, line ends as spaces, controls and variation selectors dropped, markup escaped (P20).
+
+    glyphs: the intervals of code points that the fonts show (fonts.shown_by); others become [U+XXXX]."""
+    lows, highs = ([x[k] for x in glyphs or []] for k in (0, 1))
+
+    def shown(c: str) -> str:
+        at = bisect_right(lows, ord(c)) - 1
+        return c if glyphs is None or at >= 0 and ord(c) <= highs[at] else f"[U+{ord(c):04X}]"
 
     def one(t: str | None) -> str | None:
         if t is None:
             return None
-        kept = (" " if c in "\n\r\t" else "" if unicodedata.category(c) in ("Cc", "Cf") or c in "︎️" else c for c in unicodedata.normalize("NFC", t))
+        kept = (" " if c in "\n\r\t" else "" if unicodedata.category(c) in ("Cc", "Cf") or c in "\ufe0e\ufe0f" else shown(c) for c in unicodedata.normalize("NFC", t))
         return "".join(kept).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
-    return s.map(one)
+    @pandas_udf(StringType())
+    def each(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return each(c)
 
 
 @pandas_udf(StringType())

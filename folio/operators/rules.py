@@ -204,14 +204,32 @@ def level_jumps(levels: DataFrame, by: str = "doc_id", at: str = "paragraph_inde
     return levels.withColumn("before", before).where(F.col(value) - F.col("before") > 1).select(by, at, "before", value)
 
 
-def numbering_rules(c: Corpus) -> DataFrame:
-    """Order of numbers and levels (V18 to V20): one row of headings for each document, each held against the one before it."""
+def outlined(c: Corpus) -> DataFrame:
+    """One row for each document with headings: all of them in order, and where numbers (jumps) and levels (deeper) break off."""
     number = F.when((F.col("level") == 1) & F.col("numbering").rlike(r"^\d+$"), F.col("numbering").cast("decimal(38,0)"))
-    each = F.array_sort(F.collect_list(F.struct(F.col("paragraph_index").alias("at"), "level", number.alias("number"))))
-    d = c.with_preset(views.headings(c.placed).groupBy("doc_id").agg(each.alias("all")))
-    d = d.withColumn("tops", F.filter("all", lambda x: x["number"].isNotNull()))
-    d = d.withColumn("jumps", F.filter(F.transform("tops", lambda x, i: F.struct(x["at"].alias("at"), F.get("tops", i - 1)["number"].alias("before"), x["number"].alias("now"))), lambda x: x["now"] != x["before"] + 1))
-    d = d.withColumn("deeper", F.filter(F.transform("all", lambda x, i: F.struct(x["at"].alias("at"), F.coalesce(F.get("all", i - 1)["level"], F.lit(0)).alias("before"), x["level"].alias("now"))), lambda x: x["now"] - x["before"] > 1))
+    each = F.array_sort(F.collect_list(F.struct(F.col("paragraph_index").alias("at"), "raw_text", "level", "section_key", "numbering", number.alias("number"))))
+    d = views.headings(c.placed).groupBy("doc_id").agg(each.alias("headings")).withColumn("tops", F.filter("headings", lambda x: x["number"].isNotNull()))
+    pairs = lambda rows, before, now: F.transform(rows, lambda x, i: F.struct(x["at"].alias("at"), before(F.get(rows, i - 1)).alias("before"), now(x).alias("now")))
+    jumps = F.filter(pairs("tops", lambda y: y["number"], lambda x: x["number"]), lambda x: x["now"] != x["before"] + 1)
+    deeper = F.filter(pairs("headings", lambda y: F.coalesce(y["level"], F.lit(0)), lambda x: x["level"]), lambda x: x["now"] - x["before"] > 1)
+    return d.select("doc_id", "headings", jumps.alias("jumps"), deeper.alias("deeper"))
+
+
+def structure_report(c: Corpus) -> DataFrame:
+    """doc_id, headings, sections (the first heading of each key), jumps and deeper of each document (P25); empty lists where it has no heading."""
+    earlier = lambda x, i: F.exists(F.slice("headings", F.lit(1), i), lambda y: y["section_key"] == x["section_key"])
+    first = F.filter("headings", lambda x, i: x["section_key"].isNotNull() & ~F.coalesce(earlier(x, i), F.lit(False)))
+    d = outlined(c)
+    d = d.withColumn("headings", F.transform("headings", lambda x: x.dropFields("number")))
+    d = d.withColumn("sections", F.transform(first, lambda x: F.struct(x["section_key"].alias("section_key"), x["at"].alias("at"), x["raw_text"].alias("raw_text"))))
+    both = c.docs.select("doc_id").join(d, "doc_id", "left")
+    lists = ("headings", "sections", "jumps", "deeper")
+    return both.select("doc_id", *(F.coalesce(k, F.array().cast(d.schema[k].dataType)).alias(k) for k in lists))
+
+
+def numbering_rules(c: Corpus) -> DataFrame:
+    """Order of numbers and levels."""
+    d = c.with_preset(outlined(c))
     pair = lambda x: F.concat(x["before"].cast("string"), F.lit(" -> "), x["now"].cast("string"))
     told = lambda rows, rule, message, after: F.transform(rows, lambda x: finding(7, F.lit("warning"), "structure", rule, message, sub=x["at"] + after, actual=pair(x)))
     fine = (F.size("jumps") == 0) & (F.size("deeper") == 0)

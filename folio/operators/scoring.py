@@ -29,6 +29,14 @@ def lookup(c: Column, values: dict[str, str]) -> Column:
     return out
 
 
+def chosen(at: Column, values: list[Column]) -> Column:
+    """The value at a place from 0; null beyond."""
+    out = F.lit(None).cast("string")
+    for k, v in enumerate(values):
+        out = F.when(at == k, v).otherwise(out)
+    return out
+
+
 def criterion(rule_id: Column, message: Column) -> Column:
     """What is charged once: the rule's group, the rule, or else the message without case."""
     return F.coalesce(lookup(rule_id, RULE_GROUPS), F.nullif(rule_id, F.lit("")), F.lower(strip(message)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from folio.functions.text import is_blank, lines, sample_list, split_message, st
 from folio.operators import chunks, jobs, report, review, rules, scoring, views
 from folio.plans import harness as H
 from folio.session import table
-from folio.sources import docx, uploads
+from folio.sources import docx, relational, uploads
 from folio.streaming import checks as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,28 +170,35 @@ def q_body_rules(spark, d):
 
 # Style inheritance, with a cycle and explicit zeros
 
-STYLES = [(1, "Normal", None, 12.0), (1, "Body", "Normal", None), (1, "Quote", "Body", 0.0), (1, "Deep", "Quote", None), (2, "A", "B", None), (2, "B", "A", 9.5), (2, "C", "Lost", None), (2, "D", "D", None)]
+_STYLED = "s AS (SELECT p_partkey // 10 AS doc_id, p_partkey::VARCHAR AS style_id, CASE WHEN p_partkey % 10 = 0 THEN CASE WHEN p_size % 2 = 0 THEN p_partkey + 9 END ELSE p_partkey - 1 END::VARCHAR AS based_on, CASE WHEN p_size % 4 = 0 THEN p_size - 4 END::DOUBLE AS size FROM part)"
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT * FROM {H.sql_values(STYLES, "doc_id, style_id, based_on, size")}),
+@query(f"""WITH RECURSIVE {_STYLED},
 c AS (SELECT doc_id, style_id, 0 AS depth, style_id AS ancestor, based_on, [style_id] AS seen FROM s
   UNION ALL SELECT c.doc_id, c.style_id, depth + 1, s.style_id, s.based_on, list_append(seen, s.style_id) FROM c JOIN s ON c.doc_id = s.doc_id AND c.based_on = s.style_id WHERE NOT list_contains(seen, s.style_id))
 SELECT c.doc_id, c.style_id, count(*) AS ancestors, arg_min(s.size, depth) FILTER (s.size IS NOT NULL)::DOUBLE AS size FROM c JOIN s ON c.doc_id = s.doc_id AND c.ancestor = s.style_id GROUP BY c.doc_id, c.style_id""")
 def q_style_chain(spark, d):
-    s = H.values(spark, STYLES, "doc_id int, style_id string, based_on string, size double")
+    """Parts as styles, ten to a document, each based on the one before; half of the chains close to a ring, some lead out of the table."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    based = F.when(k % 10 == 0, F.when(F.col("p_size") % 2 == 0, k + 9)).otherwise(k - 1)
+    s = p.select(F.call_function("div", k, F.lit(10)).alias("doc_id"), k.cast("string").alias("style_id"), based.cast("string").alias("based_on"), F.when(F.col("p_size") % 4 == 0, F.col("p_size") - 4).cast("double").alias("size"))
     chain = views.style_chain(s)
     n = chain.groupBy("doc_id", "style_id").agg(F.count("*").alias("ancestors"))
     return n.join(views.inherited(chain, s, "size"), ["doc_id", "style_id"])
 
 
-LEVELS = [("Heading1", "x"), ("heading 2", "x"), ("Custom", "Заголовок 3"), ("Custom", "Тақырып 04"), ("Custom", "такырып 5"), ("Custom", "Heading 10"), ("Title", "Title"), (None, "heading 9")]
+_STYLE_IDS = ("'Heading' || p_size", "'heading 0' || p_size", "'Custom'", "NULL", "'Title'")
+_STYLE_NAMES = ("'x'", "'Заголовок ' || p_size", "'Тақырып 0' || p_size", "'такырып' || p_size", "'Heading ' || p_size || 'a'", "' HEADING ' || p_size || ' '")
+_NAMED = f"SELECT p_partkey, CASE p_partkey % 5 {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(_STYLE_IDS))} END AS style_id, CASE p_partkey % 6 {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(_STYLE_NAMES))} END AS style_name FROM (SELECT p_partkey, (p_size % 12)::VARCHAR AS p_size FROM part)"
 
 
-@query(f"""SELECT style_id, style_name, coalesce(nullif(regexp_extract(replace(style_id, ' ', ''), '(?i)^heading0*([1-9])$', 1), ''),
-  nullif(regexp_extract(lower(trim(style_name)), '^(?:heading|заголовок|тақырып|такырып)\\s*0*([1-9])$', 1), ''))::INT - 1 AS level FROM {H.sql_values(LEVELS, "style_id, style_name")}""")
+@query(f"""SELECT p_partkey, coalesce(nullif(regexp_extract(replace(style_id, ' ', ''), '(?i)^heading0*([1-9])$', 1), ''),
+  nullif(regexp_extract(lower(trim(style_name)), '^(?:heading|заголовок|тақырып|такырып)\\s*0*([1-9])$', 1), ''))::INT - 1 AS level FROM ({_NAMED})""")
 def q_style_level(spark, d):
-    s = H.values(spark, LEVELS, "style_id string, style_name string")
-    return s.withColumn("level", S.style_level(F.col("style_id"), F.col("style_name")))
+    """Styles named after parts."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 12).cast("string").alias("p_size"))
+    pick = lambda each: scoring.chosen(F.col("p_partkey") % len(each), [F.expr(x) for x in each])
+    return p.select("p_partkey", S.style_level(pick(_STYLE_IDS), pick(_STYLE_NAMES)).alias("level"))
 
 
 # Sections; a user's turn opens one
@@ -209,7 +217,8 @@ def q_section_text(spark, d):
     return views.section_texts(views.placed(H.turns(table(spark, d, "conversations")))).select("doc_id", "section", "at", F.md5("text").alias("text_md5"))
 
 
-HEADINGS = [(i, t) for i, t in enumerate(("Введение", "1 Теоретическая часть", "Глава 1 Обзор", "Глава 1а", "2. Практическая  часть", "Кіріспе", "Қорытынды", "Выводы", "Список использованных источников", "References", "Пайдаланылған әдебиеттер", "I. Introduction", "Introduction", "Содержание", "Приложение А", "Реферат", "Рефераты", "2020 год", "Основная часть", "Conclusions", "Chapter 2", "Body", "Random heading"))]
+HEADINGS = ("Введение", "1 Теоретическая часть", "Глава 1 Обзор", "Глава 1а", "2. Практическая  часть", "Кіріспе", "Қорытынды", "Выводы", "Список использованных источников", "References", "Пайдаланылған әдебиеттер", "I. Introduction", "Introduction", "Содержание", "Приложение А", "Реферат", "Рефераты", "2020 год", "Основная часть", "Conclusions", "Chapter 2", "Body", "Random heading")
+_TITLED = f"SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_size || '. ' ELSE '' END || [{', '.join(f"'{t}'" for t in HEADINGS)}][p_partkey % {len(HEADINGS)} + 1] AS t FROM part"
 
 
 def _sql_pattern(p: str) -> str:
@@ -222,48 +231,17 @@ _PREFIX = S.NUMBER_PREFIX
 
 
 @query(f"""SELECT id, CASE {_KEYS} END AS section_key, nullif(rtrim(regexp_extract(t, '{_PREFIX}', 1), '.'), '') AS numbering
-FROM (SELECT id, t, trim(regexp_replace(lower(regexp_replace(trim(t), '\\s+', ' ', 'g')), '{_PREFIX}', '')) AS bare FROM {H.sql_values(HEADINGS, "id, t")})""")
+FROM (SELECT id, t, trim(regexp_replace(lower(regexp_replace(trim(t), '\\s+', ' ', 'g')), '{_PREFIX}', '')) AS bare FROM ({_TITLED}))""")
 def q_section_key_match(spark, d):
-    h = H.values(spark, HEADINGS, "id int, t string")
+    """Parts as headings, some numbered."""
+    size, title = F.col("p_size"), F.element_at(F.array(*map(F.lit, HEADINGS)), (F.col("p_partkey") % len(HEADINGS) + 1).cast("int"))
+    h = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.when(size % 3 == 0, F.concat(size.cast("string"), F.lit(". "))).otherwise(""), title).alias("t"))
     return h.select("id", S.section_key(S.normalized(F.col("t"))).alias("section_key"), S.numbering(strip(F.col("t"))).alias("numbering"))
 
 
-OUTLINES = [
-    (1, 0, "Введение", 0), (1, 5, "1 Глава первая", 0), (1, 9, "Заключение", 0), (1, 12, "Список литературы", 0),
-    (2, 0, "Introduction", 0), (2, 3, "Details", 1), (2, 7, "References", 0),
-    (3, 2, "Практическая часть", 0), (3, 4, "Conclusion", 0), (3, 6, "2 После", 0), (4, 1, "Nothing", 1),
-]
-_DETECTED = f"""o AS (SELECT doc_id, idx, t, lvl, CASE {_KEYS} END AS key, nullif(rtrim(regexp_extract(trim(t), '{_PREFIX}', 1), '.'), '') AS num
-  FROM (SELECT *, trim(regexp_replace(lower(regexp_replace(trim(t), '\\s+', ' ', 'g')), '{_PREFIX}', '')) AS bare FROM {H.sql_values(OUTLINES, "doc_id, idx, t, lvl")})),
-w AS (SELECT *, min(idx) FILTER (key = 'introduction') OVER (PARTITION BY doc_id) AS intro, coalesce(min(idx) FILTER (key = 'conclusion') OVER (PARTITION BY doc_id), min(idx) FILTER (key = 'references') OVER (PARTITION BY doc_id)) AS fin FROM o),
-main AS (SELECT DISTINCT doc_id::INT AS doc_id FROM w WHERE lvl = 0 AND (intro IS NULL OR idx > intro) AND (fin IS NULL OR idx < fin) AND (coalesce(key IN ('theoretical_part', 'practical_part'), false) OR num IS NOT NULL))"""
-
-
-def _outline(spark) -> rules.Corpus:
-    p = H.with_runs(H.values(spark, OUTLINES, "doc_id int, idx int, text string, outline_level int"))
-    d = H.values(spark, [(i, "base", False, True) for i in (1, 2, 3, 4)], "doc_id int, preset_id string, has_header boolean, has_footer boolean")
-    pages = H.values(spark, [], "doc_id int, section_no int, page_width_mm double, page_height_mm double, orientation string, margin_top_mm double, margin_bottom_mm double, margin_left_mm double, margin_right_mm double")
-    return rules.Corpus(d, pages, p, H.presets(spark))
-
-
-@query(f"""WITH {_DETECTED}, f AS (SELECT DISTINCT doc_id, key FROM o WHERE key IS NOT NULL), d AS (SELECT DISTINCT doc_id::INT AS doc_id FROM o),
-r AS (SELECT unnest(['introduction', 'main_body', 'conclusion', 'references']) AS key)
-SELECT d.doc_id, 'structure.section.' || r.key AS rule_id, CASE WHEN f.key IS NOT NULL OR (r.key = 'main_body' AND d.doc_id IN (SELECT doc_id FROM main)) THEN 'pass' ELSE 'critical' END AS severity FROM d CROSS JOIN r LEFT JOIN f ON f.doc_id = d.doc_id AND f.key = r.key
-UNION ALL SELECT doc_id, 'structure.optional.appendix', 'info' FROM d""")
-def q_required_sections(spark, d):
-    return rules.structure_rules(_outline(spark)).select("doc_id", "rule_id", "severity")
-
-
-@query(f"WITH {_DETECTED} SELECT doc_id FROM main")
-def q_main_body_inference(spark, d):
-    return rules.main_bodies(views.headings(_outline(spark).placed))
-
-
-PARTS = (
-    [(1, "[Content_Types].xml", 100, 50, 0), (1, "word/document.xml", 9000, 1000, 0), (2, "[Content_Types].xml", 100, 50, 0), (3, "../evil", 10, 10, 0), (3, "word/document.xml", 10, 10, 0)]
-    + [(4, "word/document.xml", 5_000_000, 100, 0), (4, "[Content_Types].xml", 1, 1, 0), (5, "[Content_Types].xml", 1, 1, 1), (5, "word/document.xml", 1, 1, 0), (6, "word/document.xml", 1, 1, 0), (6, "word/document.xml", 1, 1, 0)]
-    + [(7, "big", 40 << 20, 30 << 20, 0), (8, "a", 60 << 20, 50 << 20, 0), (8, "b", 60 << 20, 50 << 20, 0)]
-)
+_NAMES = ("[Content_Types].xml", "word/document.xml", "word/styles.xml", "word/media/a.png", "word/../x", "c:/x", "/etc/x")
+_ARCHIVES = f"""SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber <= 2 AND l_partkey % 8 > 0 THEN [{", ".join(f"'{n}'" for n in _NAMES[:2])}][l_linenumber] WHEN l_partkey % 11 < 5 THEN [{", ".join(f"'{n}'" for n in _NAMES[2:])}][l_partkey % 11 + 1] ELSE 'word/' || l_linenumber || '.xml' END AS name,
+  l_suppkey::BIGINT * CASE WHEN l_partkey % 7 = 0 THEN 5000000 ELSE 100 END AS size, l_suppkey::BIGINT * CASE WHEN l_partkey % 13 = 0 THEN 0 WHEN l_partkey % 7 = 0 THEN 4000000 ELSE 40 END AS packed, CASE WHEN l_partkey % 29 = 0 THEN 1 ELSE 8 END AS flags FROM lineitem"""
 
 
 @query(f"""SELECT doc_id, CASE WHEN count(*) > 2000 THEN 'too many parts' WHEN sum(size) > 100 * 1048576 THEN 'archive too large'
@@ -271,9 +249,17 @@ PARTS = (
   WHEN bool_or(size > 32 * 1048576) THEN 'part too large' WHEN bool_or(size > greatest(1, packed)::BIGINT * 200) THEN 'compressed too much' WHEN count(DISTINCT name) <> count(*) THEN 'part twice'
   WHEN NOT bool_or(name = '[Content_Types].xml') AND NOT bool_or(name = 'word/document.xml') THEN 'missing parts: [Content_Types].xml, word/document.xml'
   WHEN NOT bool_or(name = '[Content_Types].xml') THEN 'missing parts: [Content_Types].xml' WHEN NOT bool_or(name = 'word/document.xml') THEN 'missing parts: word/document.xml' END AS reason
-FROM {H.sql_values(PARTS, "doc_id, name, size, packed, flags")} GROUP BY doc_id""")
+FROM ({_ARCHIVES}) GROUP BY doc_id""")
 def q_container_reasons(spark, d):
-    return uploads.container_reasons(H.values(spark, PARTS, "doc_id int, name string, file_size long, compress_size long, flag_bits int"))
+    """Orders as archives, their lines as parts."""
+    n, k, size = F.col("l_linenumber").cast("int"), F.col("l_partkey"), F.col("l_suppkey").cast("long")
+    names = lambda each, at: F.element_at(F.array(*map(F.lit, each)), at.cast("int"))
+    name = F.when((n <= 2) & (k % 8 > 0), F.try_element_at(F.array(*map(F.lit, _NAMES[:2])), n)).when(k % 11 < 5, names(_NAMES[2:], F.least(k % 11, F.lit(4)) + 1)).otherwise(F.concat(F.lit("word/"), n.cast("string"), F.lit(".xml")))
+    parts = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), name.alias("name"), (size * F.when(k % 7 == 0, 5_000_000).otherwise(100)).alias("file_size"),
+        (size * F.when(k % 13 == 0, 0).when(k % 7 == 0, 4_000_000).otherwise(40)).alias("compress_size"), F.when(k % 29 == 0, 1).otherwise(8).alias("flag_bits"),
+    )
+    return uploads.container_reasons(parts)
 
 
 # Words, references, citations
@@ -306,14 +292,13 @@ def q_ref_duplicates(spark, d):
     return _entries(spark, d).select("doc_id", rules.duplicate_entries(F.col("e")).alias("n")).where("n > 0")
 
 
-CITED = [(1, "as shown [1] and [2, 3], also [4-6]"), (2, "none [a] here [] [1"), (3, "[ 12 ][7 , 8]"), (4, "")]
-
-
-@query(rf"""WITH c AS (SELECT id AS doc_id, len(regexp_extract_all(t, '{S.CITATION}')) AS n FROM {H.sql_values(CITED, 'id, t')})
+@query(rf"""WITH c AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, '') || repeat(' as shown [' || doc_id || '], [2, 3] or [4-6], not [a]', (doc_id % 3)::INT), '{S.CITATION}')) AS n FROM documents)
 SELECT doc_id, 'references.missing' AS rule_id, 'critical' AS severity, 'No references section' AS message FROM c
 UNION ALL SELECT doc_id, 'references.in_text_citations', CASE WHEN n = 0 THEN 'warning' ELSE 'info' END, CASE WHEN n = 0 THEN 'No citations in the text' ELSE n || ' citations' END FROM c""")
 def q_citation_count(spark, d):
-    p = H.values(spark, CITED, "doc_id int, text string").withColumn("idx", F.lit(0))
+    """Documents that cite by their id, under one heading."""
+    cited = F.concat(F.lit(" as shown ["), F.col("doc_id").cast("string"), F.lit("], [2, 3] or [4-6], not [a]"))
+    p = docs(spark, d).select("doc_id", F.lit(0).alias("idx"), F.concat(F.coalesce("text", F.lit("")), F.repeat(cited, (F.col("doc_id") % 3).cast("int"))).alias("text"))
     return rules.reference_rules(H.corpus(spark, H.under_heading(p, "Introduction"))).select("doc_id", "rule_id", "severity", "message")
 
 
@@ -464,7 +449,7 @@ ANSWERS = [
 ]
 
 
-@query(f"""WITH a AS (SELECT id, CASE WHEN starts_with(t, '```') THEN trim(replace(replace(t, '```json', ''), '```', ''), chr(10)) ELSE t END AS j FROM {H.sql_values(ANSWERS, "id, t")}),
+@query(f"""WITH a AS (SELECT id, CASE WHEN starts_with(t, '```') THEN trim(replace(replace(t, '```json', ''), '```', ''), chr(10)) ELSE t END AS j FROM (SELECT event_id AS id, replace(t, 'explanation": "', 'explanation": "' || event_type) AS t FROM events JOIN {H.sql_values(ANSWERS, "k, t")} ON k = event_id % 8 + 1)),
 v AS (SELECT id, j FROM a WHERE json_valid(j)),
 k AS (SELECT id, j, list_sort(json_keys(j)) AS keys, json_extract_string(j, '$.evaluated_categories[*]') AS done, json_extract(j, '$.errors[*]') AS errors FROM v),
 ok AS (SELECT * FROM k WHERE keys = ['errors', 'evaluated_categories'] AND len(done) > 0 AND len(list_distinct(done)) = len(done) AND len(list_filter(errors, lambda e: coalesce(json_extract_string(e, '$.confidence')::DOUBLE, 0.5) NOT BETWEEN 0 AND 1)) = 0)
@@ -472,7 +457,10 @@ SELECT a.id, ok.id IS NOT NULL AS is_valid, len(ok.errors)::INT AS n_errors,
   CASE WHEN lower(trim(json_extract_string(ok.errors[1], '$.category'))) IN ('language', 'style', 'content', 'structure') THEN lower(trim(json_extract_string(ok.errors[1], '$.category'))) WHEN len(ok.errors) > 0 THEN 'content' END AS category,
   CASE WHEN len(ok.errors) > 0 THEN coalesce(json_extract_string(ok.errors[1], '$.confidence')::DOUBLE, 0.5) END AS confidence FROM a LEFT JOIN ok USING (id)""")
 def q_ai_response_parse(spark, d):
-    p = review.parsed(H.values(spark, ANSWERS, "id int, answer string"))
+    """One answer to each event, of eight kinds."""
+    answer = F.element_at(F.array(*(F.lit(t) for _, t in ANSWERS)), (F.col("event_id") % 8 + 1).cast("int"))
+    told = F.replace(answer, F.lit('explanation": "'), F.concat(F.lit('explanation": "'), F.col("event_type")))
+    p = review.parsed(table(spark, d, "events").select(F.col("event_id").alias("id"), told.alias("answer")))
     e = F.get("errors", F.lit(0))
     return p.select("id", "is_valid", F.when(F.col("is_valid"), F.size("errors")).alias("n_errors"), e["category"].alias("category"), e["confidence"].alias("confidence"))
 
@@ -533,6 +521,18 @@ def q_admission(spark, d):
     return jobs.admitted(e, jobs.Limits(per_day=3, active=2)).select("request_id", "user_id", "is_admitted")
 
 
+@query("SELECT o_custkey % 10 AS bucket, count(*) AS n, max(o_orderkey) AS last FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 GROUP BY ALL")
+def q_relational(spark, d):
+    """Checks written to a database that the session carries, and read again by ranges of the key; conditions reach the database."""
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    db = relational.Database(f"jdbc:derby:memory:{uuid.uuid4().hex};create=true")
+    rows = H.as_checks(table(spark, d, "orders")).join(H.as_uploads(table(spark, d, "orders")).select("id", "user_id"), "id").select("id", "user_id", "status", F.col("score").cast("double").alias("score"))
+    relational.created(rows, db, "checks", "id", compared=("status",))
+    relational.save(rows, db, "checks")
+    kept = relational.load(spark, db, "checks", "id", rows=2000).where((F.col("status") == "completed") & (F.col("score") > 1000))
+    return kept.groupBy((F.col("user_id") % 10).alias("bucket")).agg(F.count("*").alias("n"), F.max("id").alias("last"))
+
+
 @query("SELECT count(*) FILTER (o_orderstatus = 'F') AS completed, round(avg(o_totalprice) FILTER (o_orderstatus = 'F' AND o_orderkey % 2 = 0), 1) AS mean_score, (SELECT count(*) FROM customer) AS users FROM orders")
 def q_admin_stats(spark, d):
     return jobs.statistics(H.as_checks(table(spark, d, "orders")), table(spark, d, "customer"))
@@ -594,6 +594,111 @@ def q_check_json(spark, d):
     return jobs.check_json(H.as_checks(table(spark, d, "orders")).withColumn("score", F.lit(None).cast("double")), found)
 
 
+# Papers: order lines as headings with a paragraph each
+
+_TITLES = ("Introduction", "1 Part", "2 Part", "Conclusion", "References")
+_PAPER = f"""l AS (SELECT l_orderkey AS doc_id, l_linenumber::INT AS n, min(l_partkey) % 5 AS k, (min(l_suppkey) % 3)::INT + 1 AS lvl, min(l_quantity)::INT AS q, min(l_returnflag) AS f FROM lineitem GROUP BY ALL),
+p AS (SELECT doc_id, 2 * n AS idx, true AS head, lvl, q, f, [{", ".join(f"'{t}'" for t in _TITLES)}][k + 1] AS text, CASE k WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 1 END AS words FROM l
+  UNION ALL SELECT doc_id, 2 * n + 1, false, NULL, q, f, NULL, q + 1 FROM l),
+h AS (SELECT *, CASE text WHEN 'Introduction' THEN 'introduction' WHEN 'Conclusion' THEN 'conclusion' WHEN 'References' THEN 'references' END AS key, CASE WHEN text LIKE '% Part' THEN text[1]::INT END AS num FROM p)"""
+
+
+def _papers(spark, d, **changed) -> rules.Corpus:
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("n"))
+    li = li.agg((F.min("l_partkey") % 5).alias("k"), (F.min("l_suppkey") % 3).cast("int").alias("level"), F.min("l_quantity").cast("int").alias("q"), F.min("l_returnflag").alias("f"))
+    body = F.concat(F.repeat(F.lit("word "), F.col("q")), (2 * F.col("n") + 1).cast("string"))
+    run = lambda text, bold: F.array(F.struct(text.alias("text"), F.lit("Times New Roman").alias("font_name"), F.lit(14.0).alias("font_size_pt"), bold.alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("underline"), F.lit(None).cast("string").alias("color_rgb")))
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("k") + 1).cast("int"))
+    none = F.lit(None)
+    each = F.explode(
+        F.array(
+            F.struct((2 * F.col("n")).alias("idx"), title.alias("text"), F.col("level").alias("outline_level"), F.lit(1.5).alias("line_spacing"), (F.col("q") % 4 == 0).alias("page_break_before"), run(title, F.col("f") == "R").alias("runs")),
+            F.struct((2 * F.col("n") + 1).alias("idx"), body.alias("text"), none.cast("int").alias("outline_level"), F.when(F.col("q") % 5 == 0, 1.0).otherwise(1.5).alias("line_spacing"), F.lit(False).alias("page_break_before"), run(body, F.lit(False)).alias("runs")),
+        )
+    ).alias("p")
+    return H.corpus(spark, li.select("doc_id", each).select("doc_id", "p.*"), **changed)
+
+
+@query(f"""WITH {_PAPER}, o AS (SELECT *, lag(lvl, 1, 0) OVER w AS above, row_number() OVER (PARTITION BY doc_id, key ORDER BY idx) AS nth FROM h WHERE head WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+j AS (SELECT doc_id, idx, num, lag(num) OVER (PARTITION BY doc_id ORDER BY idx) AS last FROM h WHERE head AND lvl = 1 AND num IS NOT NULL)
+SELECT doc_id, count(*)::INT AS n_headings, coalesce(string_agg(key || '@' || idx, ' ' ORDER BY idx) FILTER (key IS NOT NULL AND nth = 1), '') AS sections,
+  coalesce(string_agg(above || '->' || lvl || '@' || idx, ' ' ORDER BY idx) FILTER (lvl - above > 1), '') AS deeper,
+  coalesce((SELECT string_agg(last || '->' || num || '@' || idx, ' ' ORDER BY idx) FROM j WHERE j.doc_id = o.doc_id AND num <> last + 1), '') AS jumps FROM o GROUP BY doc_id""")
+def q_structure_report(spark, d):
+    r = rules.structure_report(_papers(spark, d))
+    shown = lambda rows: F.array_join(F.transform(rows, lambda x: F.concat(x["before"].cast("string"), F.lit("->"), x["now"].cast("string"), F.lit("@"), x["at"].cast("string"))), " ")
+    sections = F.array_join(F.transform("sections", lambda x: F.concat(x["section_key"], F.lit("@"), x["at"].cast("string"))), " ")
+    return r.select("doc_id", F.size("headings").alias("n_headings"), sections.alias("sections"), shown("deeper").alias("deeper"), shown("jumps").alias("jumps"))
+
+
+@query(f"""WITH {_PAPER} SELECT doc_id, 'headings.top_level_format' AS rule_id, text AS location FROM h WHERE head AND lvl = 1
+UNION ALL SELECT doc_id, 'headings.max_level', array_to_string(list('«' || text || '»' ORDER BY idx)[1:5], ', ') FROM h WHERE head AND lvl > 2 GROUP BY doc_id
+UNION ALL SELECT doc_id, 'headings.found', '' FROM h WHERE head GROUP BY doc_id""")
+def q_heading_rules(spark, d):
+    """No title is in capitals, and two levels are allowed."""
+    found = rules.heading_rules(_papers(spark, d, headings={"require_top_level_heading_format": True, "max_level": 2}))
+    return found.select("doc_id", "rule_id", "location")
+
+
+@query(f"""WITH {_PAPER} SELECT doc_id, 'headings.page_break' AS rule_id, text AS location, idx + 10 AS at FROM h WHERE head AND lvl = 1 AND q % 4 <> 0 UNION ALL SELECT doc_id, 'headings.bold', text, idx + 536870912 FROM h WHERE head AND f = 'R'""")
+def q_heading_breaks(spark, d):
+    c = _papers(spark, d, headings={"require_page_break_before_top_level": True}, font={"allow_headings_bold": False, "name": "Times New Roman", "size_pt": 14})
+    return rules.completeness_rules(c).where("rule_id LIKE 'headings.%'").select("doc_id", "rule_id", "location", F.col("sub_ord").alias("at"))
+
+
+@query(f"""WITH {_PAPER}, a AS (SELECT *, min(idx) FILTER (key = 'introduction') OVER d AS intro, min(idx) FILTER (key = 'conclusion') OVER d AS concl, min(idx) FILTER (key = 'references') OVER d AS refs,
+    last_value(CASE WHEN head AND (key IS NOT NULL OR lvl = 1) THEN coalesce(key, 'unnamed') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS section FROM h WINDOW d AS (PARTITION BY doc_id)),
+w AS (SELECT doc_id, section, sum(words) - arg_min(words, idx) AS n FROM a WHERE section IN ('introduction', 'conclusion') GROUP BY ALL),
+jumps AS (SELECT doc_id FROM (SELECT doc_id, num, lag(num) OVER (PARTITION BY doc_id ORDER BY idx) AS last FROM h WHERE head AND lvl = 1 AND num IS NOT NULL) WHERE num <> last + 1),
+deeper AS (SELECT doc_id FROM (SELECT doc_id, lvl, lag(lvl, 1, 0) OVER (PARTITION BY doc_id ORDER BY idx) AS above FROM h WHERE head) WHERE lvl - above > 1),
+s AS (SELECT doc_id, (max(intro) IS NULL)::INT + (max(concl) IS NULL)::INT + (max(refs) IS NULL)::INT + (NOT bool_or(head AND lvl = 1 AND num IS NOT NULL AND (intro IS NULL OR idx > intro) AND (coalesce(concl, refs) IS NULL OR idx < coalesce(concl, refs))))::INT AS missing, max(refs) IS NOT NULL AS listed,
+    bool_or(NOT head AND (refs IS NULL OR idx < refs)) AS has_body, coalesce(bool_or(NOT head AND (refs IS NULL OR idx < refs) AND q % 5 = 0), false) AS spaced FROM a GROUP BY doc_id),
+t AS (SELECT s.doc_id, missing + (NOT listed)::INT AS critical, 30 * (10000 - CASE WHEN spaced THEN 1500 ELSE 0 END - CASE WHEN has_body THEN 0 ELSE 500 END) AS formatting,
+    20 * greatest(0, 10000 - 3500 * missing - CASE WHEN listed THEN 1500 ELSE 0 END - 500 - 500 * (s.doc_id IN (SELECT doc_id FROM jumps))::INT - 500 * (s.doc_id IN (SELECT doc_id FROM deeper))::INT
+      - 500 * (SELECT count(*) FROM w WHERE w.doc_id = s.doc_id AND n < CASE section WHEN 'introduction' THEN 250 ELSE 200 END)) AS structure FROM s)
+SELECT doc_id, critical, round((formatting + structure) / 10000.0 / 50 * 100, 1)::DOUBLE AS score FROM t""")
+def q_compliance(spark, d):
+    """All families of rules over stored papers, and what they cost."""
+    c = _papers(spark, d)
+    kept = c.stored()
+    found = rules.evaluated(kept)
+    scores = scoring.totals(scoring.category_scores(kept.docs, found, kept.presets)).select("doc_id", "score")
+    return scoring.summary(found, "doc_id").select("doc_id", "critical").join(scores, "doc_id")
+
+
+@query("""SELECT doc_id, rule_id, severity, actual FROM (SELECT p_partkey AS doc_id, 200 + p_size AS w, CASE WHEN p_size % 2 = 0 THEN 297 ELSE 301 END AS h, p_size % 7 = 0 AS wide FROM part), LATERAL (
+  SELECT 'page.size' AS rule_id, CASE WHEN abs(least(w, h) - 210) <= 3 AND abs(greatest(w, h) - 297) <= 3 THEN 'pass' ELSE 'error' END AS severity, w || 'x' || h AS actual
+  UNION ALL SELECT 'page.orientation', CASE WHEN wide THEN 'error' ELSE 'pass' END, CASE WHEN wide THEN 'landscape' ELSE 'portrait' END)""")
+def q_page_rules(spark, d):
+    p, size = table(spark, d, "part"), F.col("p_size")
+    mm = F.lit(20.0)
+    pages = p.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("section_no"), (size + 200.0).alias("page_width_mm"), F.when(size % 2 == 0, 297.0).otherwise(301.0).alias("page_height_mm"), F.when(size % 7 == 0, "landscape").otherwise("portrait").alias("orientation"), *(mm.alias(f"margin_{s}_mm") for s in ("left", "right", "top", "bottom")))
+    own = p.select(F.col("p_partkey").alias("doc_id"), F.lit("base").alias("preset_id"))
+    return rules.page_rules(rules.Corpus(own, pages, pages, H.presets(spark))).where("rule_id LIKE 'page.%'").select("doc_id", "rule_id", "severity", "actual")
+
+
+@query("SELECT p_partkey AS doc_id, 'info' AS severity, CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN 'Header or footer present' ELSE 'No header or footer' END AS message FROM part")
+def q_header_rules(spark, d):
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("base").alias("preset_id"), (F.col("p_size") % 2 == 0).alias("has_header"), (F.col("p_size") % 3 == 0).alias("has_footer"))
+    return rules.header_rules(rules.Corpus(own, own, own, H.presets(spark))).select("doc_id", "severity", "message")
+
+
+_MAIN = "head AND lvl = 1 AND num IS NOT NULL AND (intro IS NULL OR idx > intro) AND (coalesce(concl, refs) IS NULL OR idx < coalesce(concl, refs))"
+_PLACED = f"""{_PAPER}, a AS (SELECT *, min(idx) FILTER (key = 'introduction') OVER d AS intro, min(idx) FILTER (key = 'conclusion') OVER d AS concl, min(idx) FILTER (key = 'references') OVER d AS refs FROM h WINDOW d AS (PARTITION BY doc_id))"""
+
+
+@query(f"""WITH {_PLACED}, s AS (SELECT doc_id, max(intro) IS NOT NULL AS introduction, bool_or({_MAIN}) AS main_body, max(concl) IS NOT NULL AS conclusion, max(refs) IS NOT NULL AS "references" FROM a GROUP BY doc_id)
+SELECT doc_id, 'structure.section.' || key AS rule_id, CASE WHEN there THEN 'pass' ELSE 'critical' END AS severity FROM s UNPIVOT (there FOR key IN (introduction, main_body, conclusion, "references"))
+UNION ALL SELECT doc_id, 'structure.optional.appendix', 'info' FROM s""")
+def q_required_sections(spark, d):
+    return rules.structure_rules(_papers(spark, d)).select("doc_id", "rule_id", "severity")
+
+
+@query(f"WITH {_PLACED} SELECT DISTINCT doc_id FROM a WHERE {_MAIN}")
+def q_main_body_inference(spark, d):
+    return rules.main_bodies(views.headings(_papers(spark, d).placed))
+
+
 # Changes of job tables
 
 _HIT = "o_orderkey % 5 = 0"
@@ -717,27 +822,32 @@ def q_category_percentage(spark, d):
 
 
 MESSAGES = [(1, "hello", "ru", "Привет, {name}"), (2, "hello", "en", "Hello, {name}"), (3, "bye", "ru", "Пока"), (4, "only", "kk", "Сәлем"), (5, "twice", "ru", "старое"), (6, "twice", "ru", "новое")]
-ASKED = [(1, "hello", "en", "Ann"), (2, "hello", "kk", "Ann"), (3, "hello", None, None), (4, "bye", "en", None), (5, "only", "en", None), (6, "none", "en", None), (7, "twice", "RU", None)]
+_ASKED = "SELECT c_custkey AS id, ['hello', 'bye', 'only', 'none', 'twice'][c_nationkey % 5 + 1] AS key, CASE c_custkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'kk' WHEN 2 THEN 'RU' END AS lang, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS name FROM customer"
 
 
-@query(f"""WITH m AS (SELECT * FROM {H.sql_values(MESSAGES, "seq, key, lang, t")}), a AS (SELECT * FROM {H.sql_values(ASKED, "id, key, lang, name")}),
+@query(f"""WITH m AS (SELECT * FROM {H.sql_values(MESSAGES, "seq, key, lang, t")}), a AS ({_ASKED}),
 l AS (SELECT key, lang, arg_max(t, seq) AS t FROM m GROUP BY key, lang), f AS (SELECT key, arg_min(t, seq) AS t FROM m GROUP BY key)
 SELECT id, CASE WHEN name IS NULL THEN x ELSE replace(x, '{{name}}', name) END AS text FROM (SELECT a.id, a.name, coalesce(l1.t, l2.t, f.t, a.key) AS x FROM a
   LEFT JOIN l l1 ON l1.key = a.key AND l1.lang = lower(coalesce(a.lang, 'ru')) LEFT JOIN l l2 ON l2.key = a.key AND l2.lang = 'ru' LEFT JOIN f ON f.key = a.key)""")
 def q_i18n_lookup(spark, d):
     m = H.values(spark, MESSAGES, "seq int, key string, lang string, template string")
-    a = H.values(spark, ASKED, "id int, key string, lang string, name string")
+    k = F.col("c_custkey")
+    key = F.element_at(F.array(*map(F.lit, ("hello", "bye", "only", "none", "twice"))), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    a = table(spark, d, "customer").select(k.alias("id"), key.alias("key"), F.when(k % 4 == 0, "en").when(k % 4 == 1, "kk").when(k % 4 == 2, "RU").alias("lang"), F.when(k % 3 > 0, F.col("c_name")).alias("name"))
     args = F.when(F.col("name").isNotNull(), F.create_map(F.lit("name"), "name")).otherwise(F.create_map().cast("map<string,string>"))
     return report.localised(a.withColumn("args", args), m, "key", F.col("lang"), "text", "args").select("id", "text")
 
 
-PLACES = [(1, "unnamed:63"), (2, "Section 2: left margin"), (3, "body"), (4, "unnamed 5, introduction"), (5, "main_body and conclusion"), (6, "plain")]
+_PLACE = ("'unnamed:' || l_suppkey", "'Section ' || l_suppkey || ': left margin'", "'body'", "'unnamed ' || l_suppkey || ', introduction'", "'main_body and conclusion'", "'plain ' || l_suppkey")
+_SHOWN = ("'Paragraph ' || (l_suppkey + 1)", "'Section ' || l_suppkey || ': left margin'", "'Main body'", "'Paragraph ' || (l_suppkey + 1) || ', Introduction'", "'Main body and Conclusion'", "'plain ' || l_suppkey")
 
 
-@query("SELECT * FROM (VALUES (1, 'Paragraph 64'), (2, 'Section 2: left margin'), (3, 'Main body'), (4, 'Paragraph 6, Introduction'), (5, 'Main body and Conclusion'), (6, 'plain')) AS v(id, place)")
+@query(f"SELECT l_orderkey AS id, l_linenumber AS line, CASE l_partkey % 6 {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(_SHOWN))} END AS place FROM lineitem")
 def q_display_location(spark, d):
+    """Order lines as findings at six kinds of places."""
     names = {"main_body": "Main body", "introduction": "Introduction", "conclusion": "Conclusion"}
-    return H.values(spark, PLACES, "id int, place string").select("id", report.display_location(F.col("place"), names).alias("place"))
+    place = scoring.chosen(F.col("l_partkey") % 6, [F.expr(x) for x in _PLACE])
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), report.display_location(place, names).alias("place"))
 
 
 @query("SELECT doc_id, len(parts)::INT AS n, length(parts[1])::INT AS first, length(parts[-1])::INT AS last FROM (SELECT doc_id, list_transform(generate_series(0, (length(text) + 3499) // 3500 - 1), lambda i: substr(text, i * 3500 + 1, 3500)) AS parts FROM documents WHERE text <> '')")
