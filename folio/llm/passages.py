@@ -6,8 +6,8 @@ occurrence, the one of least doc_id, never to all others: matches grow with the
 square of a passage's copies. For each text and first text, runs of matches on a diagonal are
 segments; segments are chained in both orders with a cost for gaps, by a Fenwick tree over the first
 text's positions. A chain is aligned segment by segment: words that differ on a segment's diagonal and the
-gaps between segments are compared by themselves, so the work grows with the text and not with the square of
-its length. Chains grow at both ends, which also joins what other first occurrences took out of a chain. Where
+gaps between segments are compared by themselves, by pairs of equal words or by whole integers of bits, so a gap of some
+words costs as much as its longer side. Chains grow at both ends, which also joins what other first occurrences took out of a chain. Where
 the seeds of a run have first occurrences in several documents, no chain may show who has the whole run: runs
 of repeated seeds that no passage covers are searched again by their grams of MIN_WORDS words, each joined to
 the first document that has it. So each exact repeat of MIN_WORDS words is found, whatever else holds parts of
@@ -45,8 +45,8 @@ JOIN = 32
 MARGIN, SKIP, SURE = 96, 6, 3
 #: Edits for each word that a passage may have.
 EDITS = 0.4
-#: Where both sides of a gap are longer, all their words count as edits.
-COMPARED = 256
+#: Pairs of equal words for each word of two runs, up to which they are compared pair by pair; the result is the same beyond.
+PAIRS = 64
 #: A text is named by its id and the upper half of a spot, a hash of the text; the lower half is a word's position.
 KEYS = ("doc_id", "mark", "first_id", "first_mark")
 CHAIN = "doc_id long, mark long, first_id long, first_mark long, start int, stop int, first_start int, first_stop int, score double, parts array<int>"
@@ -238,23 +238,37 @@ def slice_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("chain"), batch.column("side"), pa.array(low, pa.int32()), words], ["chain", "side", "low", "words"])
 
 
-def edits(a: list[int], b: list[int], most: int) -> int | None:
-    """Words to drop from a or b until they are equal (the greedy walk over diagonals); None if more than most."""
-    n, m = len(a), len(b)
-    # No alignment can keep more words than both have.
-    if n + m - 2 * (Counter(a) & Counter(b)).total() > most:
-        return None
-    reach = {1: 0}
-    for d in range(most + 1):
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            reach[k] = x
-            if x >= n and y >= m:
-                return d
-    return None
+def in_common(a: list[int], b: list[int]) -> int:
+    """Words of the longest common subsequence.
+
+    Where few pairs of places agree, the longest rising row of them is taken pair by pair. Where words are frequent, whole
+    columns go at once: bit k of an integer stands for place k of b, one addition for a word of a."""
+    places: dict[int, list[int]] = {}
+    for k, x in enumerate(b):
+        places.setdefault(x, []).append(k)
+    counts = Counter(x for x in a if x in places)
+    if sum(n * len(places[x]) for x, n in counts.items()) <= PAIRS * (len(a) + len(b)):
+        ends: list[int] = []  # the least last place of a common row of each length
+        for x in a:
+            for k in reversed(places.get(x, ())):
+                at = bisect_left(ends, k)
+                ends[at : at + 1] = [k]
+        return len(ends)
+    masks = {x: sum(1 << k for k in places[x]) for x in counts}
+    whole = row = (1 << len(b)) - 1
+    for x in a:
+        if same := row & masks.get(x, 0):
+            row = ((row + same) | (row - same)) & whole
+    return len(b) - row.bit_count()
+
+
+def edits(a: list[int], b: list[int]) -> int:
+    """Words to drop from a or b until they are equal."""
+    n = min(len(a), len(b))
+    head = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    return len(a) + len(b) - 2 * (in_common(a, b) if a and b else 0)
 
 
 def grown(a: list[int], b: list[int]) -> tuple[int, int, int]:
@@ -277,23 +291,16 @@ def grown(a: list[int], b: list[int]) -> tuple[int, int, int]:
     return out
 
 
-def gap_edits(a: list[int], b: list[int]) -> int:
-    """Edits between two runs of words that no seed matches; all words if both are long."""
-    if not a or not b or min(len(a), len(b)) > COMPARED:
-        return len(a) + len(b)
-    return edits(a, b, len(a) + len(b))
-
-
 def part_edits(a: list[int], b: list[int], parts: list[tuple[int, int, int, int]]) -> int:
     """Edits of a chain: of its segments along their diagonals, and of the gaps between them."""
     wrong = 0
     for k, (s, e, fs, fe) in enumerate(parts):
         if k:
-            wrong += gap_edits(a[parts[k - 1][1] : s], b[parts[k - 1][3] : fs])
+            wrong += edits(a[parts[k - 1][1] : s], b[parts[k - 1][3] : fs])
         x, y = a[s:e], b[fs:fe]
         if x != y:
             turns = np.flatnonzero(np.diff(np.r_[True, np.array(x) == np.array(y), True])).tolist()
-            wrong += sum(gap_edits(x[i:j], y[i:j]) for i, j in zip(turns[::2], turns[1::2], strict=True))
+            wrong += sum(edits(x[i:j], y[i:j]) for i, j in zip(turns[::2], turns[1::2], strict=True))
     return wrong
 
 

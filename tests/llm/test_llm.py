@@ -506,6 +506,41 @@ def test_long_near_copies_are_aligned_in_parts():
     assert passages.part_edits([1, 2, 3, 9, 4, 5], [1, 2, 3, 8, 7, 4, 5], [(0, 3, 0, 3), (4, 6, 5, 7)]) == 3
 
 
+@pytest.mark.parametrize("pairs", [0, 1, 64])
+def test_gaps_are_compared_at_any_length(monkeypatch, pairs):
+    """Both ways of comparing give the same, and neither takes the square of a gap's length."""
+    monkeypatch.setattr(passages, "PAIRS", pairs)
+    rng = random.Random(15)
+    began = time.perf_counter()
+    for n, m, kinds in ((1, 200_000, 50_000), (20_000, 20_000, 50), (3000, 60_000, 1000)):
+        a, b = ([rng.randrange(kinds) for _ in range(k)] for k in (n, m))
+        kept = set(rng.sample(range(m), min(n, m) // 2))
+        a = [x for k, x in enumerate(b) if k in kept] or a  # a row of b's words, so all of them are common
+        assert passages.edits(a, b) == len(b) - len(a) if kept else passages.edits(a, b) >= m - 1
+    assert time.perf_counter() - began < 20
+
+
+def test_recall_of_scattered_passages(spark):
+    """Passages of 100 words with eight edits each, half of them with phrases that stand in other earlier documents, too."""
+    rng = random.Random(16)
+    word = lambda: f"w{rng.randrange(40_000)}"
+    filler = lambda n: [word() for _ in range(n)]
+    planted, texts = [filler(100) for _ in range(80)], []
+    for p in planted[:40]:  # phrases of ten words, each in an earlier document of its own
+        texts += [(filler(30) + p[at : at + 10] + filler(30)) for at in range(0, 100, 10)]
+    texts += [filler(60) + p + filler(60) for p in planted]
+    low = len(texts)
+    for p in planted:
+        q = list(p)
+        for at in rng.sample(range(100), 8):
+            q[at] = word()
+        texts.append(filler(50) + q + filler(50))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    inside = lambda r: min(r.start + r.words, 150) - max(r.start, 50)
+    found = {r.doc_id for r in passages.repeated(df).collect() if r.doc_id >= low and r.first_id == r.doc_id - len(planted) and inside(r) >= 70}
+    assert len(found) >= 0.98 * len(planted)
+
+
 def test_chains_and_alignment():
     got = passages.chains([0, 20, 60], [15, 40, 90], [100, 122, 165], [115, 142, 195], [15, 20, 30])
     assert [c[:4] for c in got] == [(0, 90, 100, 195)]
@@ -518,7 +553,7 @@ def test_chains_and_alignment():
         for i in range(len(a)):
             for j in range(len(b)):
                 table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        assert passages.edits(a, b, 99) == len(a) + len(b) - 2 * table[-1][-1]
+        assert passages.edits(a, b) == len(a) + len(b) - 2 * table[-1][-1]
     tree = passages.Fenwick(8)
     best = [-1e300] * 8
     for _ in range(60):
