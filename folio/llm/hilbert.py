@@ -113,7 +113,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """All columns of the documents, and ADDED."""
-    names = {c: f"in_{c}" if c in ADDED else c for c in docs.columns}
+    names: dict[str, str] = {}
+    for c in docs.columns:  # a clashing name gets in_ before it, as often as that clashes again
+        name = c
+        while name in ADDED or (name != c and (name in docs.columns or name in names.values())):
+            name = f"in_{name}"
+        names[c] = name
     return numbered(docs, shards, docs.columns).select(*(F.col("row").getField(c).alias(n) for c, n in names.items()), *ADDED)
 
 

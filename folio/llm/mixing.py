@@ -84,7 +84,7 @@ def multipliers(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFram
         halved = F.when(F.col("low") == -math.inf, F.col("x") * 2 - 1).otherwise((F.col("low") + F.col("high")) / 2)
         settled = F.abs(gap) <= F.col("target") * NEAR
         new = F.when(F.col("done") | settled, F.col("x")).when(inside, newton).otherwise(halved)
-        n = n.select("source", "source_size", "target", "scale", "least", new.alias("x"), "low", "high", (F.col("done") | settled | (new == F.col("x"))).alias("done"))
+        n = n.select("source", "source_size", "target", "scale", "least", new.alias("x"), "low", "high", (F.col("done") | settled).alias("done"))
         x, old = stage(n, "multipliers"), x
         unstage(old)
     if x.where("NOT done").isEmpty():

@@ -414,6 +414,15 @@ def test_sharding_laws(small, edge, empty):
     assert hilbert.sharded(empty).collect() == []
 
 
+def test_clashing_names_stay_apart(spark, small):
+    d = small.limit(30).withColumns({c: F.lit(c) for c in ("size", "in_size", "in_in_size", "shard", "in_slot")})
+    once = hilbert.placed(d)
+    twice = hilbert.placed(once)
+    for out, before in ((once, d), (twice, once)):
+        assert len(set(out.columns)) == len(out.columns) == len(before.columns) + len(hilbert.ADDED) and out.count() == 30
+    assert {r.in_size for r in once.select("in_size").collect()} == {"in_size"} and len(twice.collect()) == 30
+
+
 def test_shards_prune(spark, small, tmp_path):
     """Readers of one language, source or size open few shards; columns and clashing names survive."""
     d = small.withColumns({"shard": F.lit("clash"), "row": F.lit("clash")})
