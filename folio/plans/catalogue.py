@@ -653,7 +653,7 @@ jumps AS (SELECT doc_id FROM (SELECT doc_id, num, lag(num) OVER (PARTITION BY do
 deeper AS (SELECT doc_id FROM (SELECT doc_id, lvl, lag(lvl, 1, 0) OVER (PARTITION BY doc_id ORDER BY idx) AS above FROM h WHERE head) WHERE lvl - above > 1),
 s AS (SELECT doc_id, (max(intro) IS NULL)::INT + (max(concl) IS NULL)::INT + (max(refs) IS NULL)::INT + (NOT bool_or(head AND lvl = 1 AND num IS NOT NULL AND (intro IS NULL OR idx > intro) AND (coalesce(concl, refs) IS NULL OR idx < coalesce(concl, refs))))::INT AS missing, max(refs) IS NOT NULL AS listed,
     bool_or(NOT head AND (refs IS NULL OR idx < refs)) AS has_body, coalesce(bool_or(NOT head AND (refs IS NULL OR idx < refs) AND q % 5 = 0), false) AS spaced FROM a GROUP BY doc_id),
-t AS (SELECT s.doc_id, missing + (NOT listed)::INT AS critical, 30 * (10000 - CASE WHEN spaced THEN 1500 ELSE 0 END - CASE WHEN has_body THEN 0 ELSE 500 END) AS formatting,
+t AS (SELECT s.doc_id, (missing + (NOT listed)::INT)::BIGINT AS critical, 30 * (10000 - CASE WHEN spaced THEN 1500 ELSE 0 END - CASE WHEN has_body THEN 0 ELSE 500 END) AS formatting,
     20 * greatest(0, 10000 - 3500 * missing - CASE WHEN listed THEN 1500 ELSE 0 END - 500 - 500 * (s.doc_id IN (SELECT doc_id FROM jumps))::INT - 500 * (s.doc_id IN (SELECT doc_id FROM deeper))::INT
       - 500 * (SELECT count(*) FROM w WHERE w.doc_id = s.doc_id AND n < CASE section WHEN 'introduction' THEN 250 ELSE 200 END)) AS structure FROM s)
 SELECT doc_id, critical, round((formatting + structure) / 10000.0 / 50 * 100, 1)::DOUBLE AS score FROM t""")
