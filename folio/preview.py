@@ -23,7 +23,7 @@ def checked(spark: SparkSession, documents: str, folder: str, preset_id: str) ->
 
     Decoded documents, their placed paragraphs and the findings are written to the warehouse, so that a file is
     decoded once whatever reads it, and a lost executor loses nothing."""
-    presets_ = presets.by_id(presets.preset_table(spark, presets.load_presets(folder)), preset_id)
+    presets_ = presets.by_id(presets.preset_table(spark, presets.load_presets(folder) if folder == "-" else presets.read_presets(spark, folder)), preset_id)
     name = f"folio_{uuid.uuid4().hex}"
     docx.read_docx(spark, documents).write.format("parquet").saveAsTable(f"{name}_decoded")
     decoded = spark.table(f"{name}_decoded")

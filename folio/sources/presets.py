@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
@@ -83,22 +84,36 @@ def preset(raw: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
-def load_presets(folder: str) -> list[dict[str, Any]]:
-    """Presets of a folder's YAML files by name; bad files are logged and left out, a later id wins."""
+def taken(files: Iterable[tuple[str, str]]) -> list[dict[str, Any]]:
+    """Presets of named YAML texts, in the order of names; bad ones are logged and left out, a later id wins."""
     import yaml
 
-    folder = SHIPPED if folder == "-" else folder
     found: dict[str, dict[str, Any]] = {}
-    for path in sorted(Path(folder).glob("*.yaml")):
+    for name, text in sorted(files):
         try:
-            p = preset(yaml.safe_load(path.read_text(encoding="utf-8")))
+            p = preset(yaml.safe_load(text))
         except (ValueError, TypeError, KeyError, yaml.YAMLError) as e:
-            LOG.warning("preset %s left out: %s", path.name, e)
+            LOG.warning("preset %s left out: %s", name, e)
             continue
         found[p["id"]] = p
     return list(found.values())
 
 
+def load_presets(folder: str) -> list[dict[str, Any]]:
+    """Presets of a folder on this machine, `-` for those of the package."""
+    folder = SHIPPED if folder == "-" else folder
+    return taken((path.name, path.read_text(encoding="utf-8")) for path in Path(folder).glob("*.yaml"))
+
+
+def read_presets(spark: SparkSession, folder: str) -> list[dict[str, Any]]:
+    """Presets of a folder in any store that Spark reads (S10); more files than can be presets are refused before they are fetched."""
+    files = spark.read.option("pathGlobFilter", "*.yaml").text(folder, wholetext=True)
+    rows = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), "value").limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"at most {MOST} presets can be broadcast")
+    return taken((r["name"], r["value"]) for r in rows)
+
+
 def preset_table(spark: SparkSession, presets: list[dict[str, Any]]) -> DataFrame:
     if len(presets) > MOST:
         raise ValueError(f"at most {MOST} presets can be broadcast")

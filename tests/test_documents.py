@@ -139,7 +139,7 @@ def test_duplicate_parts_and_admission(spark):
     assert got == {"a": None, "b": "unsupported_format", "c": "unsupported_format", "d": "corrupted_document"}
 
 
-def test_presets(tmp_path):
+def test_presets(spark, tmp_path):
     import yaml
 
     (tmp_path / "a.yaml").write_text(yaml.safe_dump(PRESET))
@@ -147,7 +147,7 @@ def test_presets(tmp_path):
     (tmp_path / "c.yaml").write_text(": : :")
     (tmp_path / "d.yaml").write_text(yaml.safe_dump(PRESET | {"name": "later"}))
     got = P.load_presets(str(tmp_path))
-    assert [p["name"] for p in got] == ["later"]
+    assert [p["name"] for p in got] == ["later"] and P.read_presets(spark, f"file://{tmp_path}") == got
     for bad in ({"margins": {"top_mm": -1}}, {"structure": {"required_sections": ["x"]}}, {"headings": {"max_level": 10}}, {"scoring_policy": {"warning": 0.5}}, {"provenance": {"status": "department_verified"}}, {"work_type": "novel"}):
         with pytest.raises((ValueError, TypeError)):
             P.preset(PRESET | bad)
