@@ -265,6 +265,9 @@ def in_common(a: list[int], b: list[int]) -> int:
 def edits(a: list[int], b: list[int]) -> int:
     """Words to drop from a or b until they are equal."""
     n = min(len(a), len(b))
+    if n < 2:  # most gaps
+        both = n and (b[0] in a if len(b) == 1 else a[0] in b)
+        return len(a) + len(b) - 2 * both
     head = next((k for k in range(n) if a[k] != b[k]), n)
     tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
