@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from folio.functions import sections as S
 from folio.functions.text import collapse, is_blank, is_upper, lines, sample_list, strip, u, word_count
 from folio.operators import views
+from folio.session import kept_until_exit
 
 COLUMNS = ("doc_id", "preset_id", "rule_ord", "sub_ord", "category", "severity", "source", "rule_id", "location", "message", "expected", "actual", "suggestion", "original_text", "confidence")
 
@@ -40,12 +41,13 @@ class Corpus:
         return self._placed
 
     def stored(self, buckets: int | None = None) -> Corpus:
-        """The same corpus from tables in the warehouse, bucketed by doc_id; dropped() removes them."""
+        """The same corpus from tables in the warehouse, bucketed by doc_id; dropped() removes them, or else the end of the application."""
         spark = self.paragraphs.sparkSession
         name, n = f"folio_{uuid.uuid4().hex}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
         def table(df: DataFrame, part: str) -> DataFrame:
             df.write.format("parquet").bucketBy(n, "doc_id").sortBy("doc_id").saveAsTable(f"{name}_{part}")
+            kept_until_exit(spark, f"{name}_{part}")
             return spark.table(f"{name}_{part}")
 
         placed = table(self.placed, "placed")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators import rules, scoring
-from folio.session import local_session
+from folio.session import kept_until_exit, local_session
 from folio.sources import docx, presets
 
 
@@ -26,10 +26,12 @@ def checked(spark: SparkSession, documents: str, folder: str, preset_id: str) ->
     presets_ = presets.by_id(presets.preset_table(spark, presets.load_presets(folder) if folder == "-" else presets.read_presets(spark, folder)), preset_id)
     name = f"folio_{uuid.uuid4().hex}"
     docx.read_docx(spark, documents).write.format("parquet").saveAsTable(f"{name}_decoded")
+    kept_until_exit(spark, f"{name}_decoded")
     decoded = spark.table(f"{name}_decoded")
     docs = decoded.where("error_code IS NULL").select("doc_id", F.lit(preset_id).alias("preset_id"), "has_header", "has_footer")
     corpus = rules.Corpus(docs, docx.pages(decoded), docx.paragraphs(decoded), presets_).stored()
     rules.evaluated(corpus).write.format("parquet").saveAsTable(f"{name}_findings")
+    kept_until_exit(spark, f"{name}_findings")
     corpus.dropped()
     results = scoring.results(docs, spark.table(f"{name}_findings"), presets_)
     return decoded.select("doc_id", "filename", "error_code").join(results, "doc_id", "left")

@@ -27,3 +27,9 @@ def local_session(cores: int | str = 8, app: str = "folio", **extra: str) -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table by name; the folder may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept_until_exit(spark: SparkSession, name: str) -> None:
+    """Has the folder of a table in the warehouse deleted when the application ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
