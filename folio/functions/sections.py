@@ -19,6 +19,7 @@ SECTION_PATTERNS: dict[str, tuple[str, ...]] = {
     "abstract": (r"^аннотаци", r"^реферат\b", r"^аңдатпа", r"^түйін\b", r"^abstract$"),
     "content_table": (r"^содержание$", r"^оглавление$", r"^мазмұны$", r"^contents$", r"^table\s+of\s+contents$"),
 }
+# Forms of numbers, citations and entries, sections that go without a number, and names of heading styles.
 NUMBER_PREFIX = r"^\s*(\d+(\.\d+)*\.?|[IVXLC]+\.)\s*"
 CITATION = r"\[\s*\d+(\s*[,\-]\s*\d+)*\s*\]"
 ENTRY_PREFIX = r"^\s*\d+[.\)]\s*"

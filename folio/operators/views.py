@@ -85,12 +85,6 @@ def font_use(runs: DataFrame, by: str = "doc_id") -> DataFrame:
     return use.select(by, "name", "size", "chars", share.alias("share"), rank.alias("rank"))
 
 
-def page_breaks(paragraphs: DataFrame, has_break: str) -> DataFrame:
-    """page_break_before also where the paragraph before holds a page break."""
-    earlier = F.lag(has_break).over(W.partitionBy("doc_id").orderBy("idx"))
-    return paragraphs.withColumn("page_break_before", F.col("page_break_before") | F.coalesce(earlier, F.lit(False)))
-
-
 def style_chain(styles: DataFrame, most: int = 16) -> DataFrame:
     """Ancestors of each style: (style_id, depth, ancestor), itself at depth 0; cycles end where they return.
 

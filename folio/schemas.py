@@ -44,6 +44,4 @@ FINDINGS = T.StructType(
 # Closed domains.
 SEVERITIES = ("critical", "error", "warning", "info", "pass")
 CATEGORIES = ("formatting", "structure", "language", "style", "content", "references", "system")
-CHECK_STATES = ("pending", "running", "completed", "failed")
-DELIVERY_STATES = ("pending", "sending", "sent", "failed")
 SECTION_KEYS = ("introduction", "theoretical_part", "practical_part", "main_body", "conclusion", "references", "appendix", "abstract", "content_table")
