@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -39,6 +40,29 @@ def test_split_message(spark):
     assert "".join(got) == text and all(len(p.encode("utf-16-le")) // 2 <= 7 for p in got)
 
 
+def test_split_message_fills_each_piece_and_is_linear(spark):
+    """The pieces of a fold over characters, at a cost that a text of millions of characters shows."""
+
+    def fold(text, limit):
+        out, now = [], ""
+        for ch in text:
+            if len((now + ch).encode("utf-16-le")) // 2 > limit:
+                out, now = [*out, now], ""
+            now += ch
+        return [*out, now] if now else out
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(a) for _ in range(rng.randint(0, 60))) for a in ("ab", "a\U0001f600", "\U0001f600", "\ud7ff\ue000\U0010ffff", "a\n\u0436") for _ in range(20)]
+    for limit in (2, 3, 7, 8):
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.split_message(F.col("t"), limit).alias("p"))
+        assert {r.i: r.p for r in df.collect()} == {i: fold(t, limit) for i, t in enumerate(texts)}
+    assert spark.createDataFrame([(None,)], "t string").select(X.split_message(F.col("t"))).first()[0] is None
+    long = spark.range(2).select(F.repeat(F.when(F.col("id") == 0, "abcdefghij").otherwise("abcde\U0001f600fghi"), 400_000).alias("t"))
+    began = time.monotonic()
+    assert long.select(F.size(X.split_message(F.col("t"))).alias("n")).agg(F.sum("n")).first()[0] == 1143 + 1258
+    assert time.monotonic() - began < 30
+
+
 def expected_scores(rows, policy=(0.35, 0.15, 0.05), advisory=("text.long",)):
     worst = {}
     for _, _, _, _, cat, sev, src, rule, _, msg, *_, conf in rows:
