@@ -14,7 +14,7 @@ from folio.functions.text import is_blank, lines, sample_list, split_message, st
 from folio.operators import chunks, jobs, report, review, rules, scoring, views
 from folio.plans import harness as H
 from folio.session import table
-from folio.sources import docx, relational, uploads
+from folio.sources import docx, relational, shared, uploads
 from folio.streaming import checks as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -521,16 +521,27 @@ def q_admission(spark, d):
     return jobs.admitted(e, jobs.Limits(per_day=3, active=2)).select("request_id", "user_id", "is_admitted")
 
 
+def _last_of_users(checks: DataFrame) -> DataFrame:
+    return checks.groupBy((F.col("user_id") % 10).alias("bucket")).agg(F.count("*").alias("n"), F.max("id").alias("last"))
+
+
 @query("SELECT o_custkey % 10 AS bucket, count(*) AS n, max(o_orderkey) AS last FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 GROUP BY ALL")
 def q_relational(spark, d):
-    """Checks written to a database that the session carries, and read again by ranges of the key; conditions reach the database."""
+    """Checks written to a database that the session carries, and read again by ranges of the key; conditions reach the database.
+
+    In one JVM it is a Derby in memory, through JDBC; executors can't reach that one, so on a cluster it is a file that all share."""
+    rows = H.as_checks(table(spark, d, "orders")).join(H.as_uploads(table(spark, d, "orders")).select("id", "user_id"), "id").select("id", "user_id", "status", F.col("score").cast("double").alias("score"))
+    if not shared.one_jvm(spark):
+        file = shared.database(spark)
+        shared.created(rows, file, "checks", "id")
+        shared.save(rows, file, "checks")
+        return _last_of_users(shared.load(spark, file, "checks", "id", "id bigint, user_id bigint", "status = 'completed' AND score > 1000", rows=2000))
     spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
     db = relational.Database(f"jdbc:derby:memory:{uuid.uuid4().hex};create=true")
-    rows = H.as_checks(table(spark, d, "orders")).join(H.as_uploads(table(spark, d, "orders")).select("id", "user_id"), "id").select("id", "user_id", "status", F.col("score").cast("double").alias("score"))
     relational.created(rows, db, "checks", "id", compared=("status",))
     relational.save(rows, db, "checks")
     kept = relational.load(spark, db, "checks", "id", rows=2000).where((F.col("status") == "completed") & (F.col("score") > 1000))
-    return kept.groupBy((F.col("user_id") % 10).alias("bucket")).agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    return _last_of_users(kept)
 
 
 @query("SELECT count(*) FILTER (o_orderstatus = 'F') AS completed, round(avg(o_totalprice) FILTER (o_orderstatus = 'F' AND o_orderkey % 2 = 0), 1) AS mean_score, (SELECT count(*) FROM customer) AS users FROM orders")
