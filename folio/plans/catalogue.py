@@ -672,7 +672,7 @@ def q_compliance(spark, d):
     """All families of rules over stored papers, and what they cost."""
     c = _papers(spark, d)
     kept = c.stored()
-    found = rules.evaluated(kept)
+    found = rules.stored_findings(kept)
     scores = scoring.totals(scoring.category_scores(kept.docs, found, kept.presets)).select("doc_id", "score")
     return scoring.summary(found, "doc_id").select("doc_id", "critical").join(scores, "doc_id")
 

@@ -217,3 +217,14 @@ def test_stored_corpus_is_decoded_and_shuffled_once(spark, corpus, found):
     assert sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))
     c.dropped()
     assert not spark.catalog.tableExists(c.tables[0])
+
+
+def test_rules_run_once_for_counts_and_scores(spark, sf_dir, corpus, found):
+    """What is counted and scored is read from written findings; nothing after them goes back to the paragraphs."""
+    from folio.plans import catalogue
+
+    rows = lambda df: sorted(map(tuple, df.select(*rules.JUDGED).collect()), key=repr)
+    assert rows(rules.stored_findings(corpus[1])) == rows(found)
+    df = catalogue.q_compliance(spark, sf_dir)
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "_findings" in text and "_placed" not in text
