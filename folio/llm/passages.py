@@ -59,19 +59,17 @@ def minimizers(values: np.ndarray, ok: np.ndarray) -> np.ndarray:
     marked = np.zeros(n, bool)
     if not n:
         return marked
-    best, at = key.copy(), np.arange(n)
-    for j in range(1, WINDOW):
-        later = np.full(n, 2**64 - 1, np.uint64)
-        later[: max(n - j, 0)] = key[j:]
-        # A window ends with its text: what follows an invalid k-mer is not part of it.
-        gap = np.ones(n, bool)
-        gap[: max(n - j, 0)] = ~ok[j:]
-        if j == 1:
-            ended = gap
-        else:
-            ended = ended | gap
-        take = ~ended & (later <= best)
-        best[take], at[take] = later[take], np.arange(n)[take] + j
+    # A window ends with its text: what follows an invalid k-mer is not part of it.
+    end = np.minimum.accumulate(np.where(ok, n, np.arange(n))[::-1])[::-1]
+    best, at = key, np.arange(n)
+    size = 1
+    while size < WINDOW:
+        # A window of size + step is two of size, the later one taken where it has the least or an equal; short texts have shorter ones.
+        step = min(size, WINDOW - size)
+        take = (end[: max(n - step, 0)] > np.arange(step, max(n, step))) & (best[step:] <= best[: max(n - step, 0)])
+        best = np.r_[np.where(take, best[step:], best[: max(n - step, 0)]), best[max(n - step, 0) :]]
+        at = np.r_[np.where(take, at[step:], at[: max(n - step, 0)]), at[max(n - step, 0) :]]
+        size += step
     marked[at[ok]] = True
     # The first and last k-mer of each text too, so that repeats at its ends have seeds however short.
     marked[1:] |= ok[1:] & ~ok[:-1]
@@ -352,11 +350,14 @@ def align_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         c = {x: batch.column(x) for x in batch.schema.names}
-        spans = {x: c[x].to_pylist() for x in ("chain", "parts", "low", "first_low")}
+        spans = {x: c[x].to_numpy().tolist() for x in ("chain", "low", "first_low")}
+        # Words go through NumPy: Arrow makes an object of each on the way to a list.
+        ends = {x: c[x].offsets.to_numpy() for x in ("own_words", "other_words", "parts")}
+        flat = {x: c[x].values.to_numpy() for x in ends}
         for r in range(len(batch)):
-            a, b = c["own_words"][r].values.to_pylist(), c["other_words"][r].values.to_pylist()
+            a, b = (flat[x][ends[x][r] : ends[x][r + 1]].tolist() for x in ("own_words", "other_words"))
             low, first_low = spans["low"][r], spans["first_low"][r]
-            p = spans["parts"][r]
+            p = flat["parts"][ends["parts"][r] : ends["parts"][r + 1]].tolist()
             parts = [(p[k] - low, p[k + 1] - low, p[k + 2] - first_low, p[k + 3] - first_low) for k in range(0, len(p), 4)]
             for s, e, fs, fe, wrong in parted(a, b, parts):
                 if min(e - s, fe - fs) >= MIN_WORDS:

@@ -44,6 +44,20 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
+_INVERSE = np.ones(1, np.uint64)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """What the first n powers of the base multiply to 1 with, modulo 2**64."""
+    global _INVERSE
+    if len(_INVERSE) < n:
+        with np.errstate(over="ignore"):
+            p = np.full(max(n, 2 * len(_INVERSE), 256), pow(_BASE, -1, 1 << 64), np.uint64)
+            p[0] = 1
+            _INVERSE = np.cumprod(p)
+    return _INVERSE[:n]
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of words: all but space and x09 to x0D.
@@ -68,6 +82,11 @@ class Words:
         """A 64-bit hash of each word."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
+        if len(self.data) <= 4 * PIECE:
+            # Sums from the beginning of the piece; their differences are divided by the power of the word's place, which the odd base allows.
+            with np.errstate(over="ignore"):
+                sums = np.r_[_U(0), np.cumsum(_BYTE[self.data] * powers(len(self.data))[: len(self.data)])]
+                return _mixed((sums[self.end] - sums[self.start]) * inverse_powers(len(self.data))[self.start])
         size = self.end - self.start
         at = np.cumsum(size) - size
         index = np.arange(int(size.sum()))
