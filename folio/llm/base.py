@@ -55,6 +55,15 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables, and lets Spark delete the shuffle files of what is done.
+
+    Spark keeps those until the driver's JVM has collected what named them, which a heap with room puts off."""
+    for table in tables:
+        unstage(table)
+    SparkSession.active()._jvm.System.gc()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

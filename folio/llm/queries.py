@@ -19,7 +19,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.scored(_docs(spark, sf_dir))
+    return suffix_tree.scored(_docs(spark, sf_dir), suffix_tree.WORDS)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,6 +257,93 @@ def test_tokens_join_where_few_are_common(small, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def plain_contexts(texts, root, begin, words):
+    """P(token | tokens before it) by dictionaries of contexts, and their states; root has each token's probability without."""
+    nexts = defaultdict(Counter)
+    for t in texts:
+        x = [begin, *t]
+        for i in range(1, len(x)):
+            for d in range(1, min(words, i) + 1):
+                nexts[tuple(x[i - d : i])][x[i]] += 1
+    states = {}
+
+    def p(ctx, a):
+        if not ctx:
+            return root(a)
+        below = p(ctx[1:], a)
+        if ctx not in states:
+            return below
+        row, n, given = states[ctx]
+        return (row.get(a, 0) + given * below) / (n + len(row) * suffix_tree.PARENT)
+
+    for ctx in sorted(nexts, key=len):
+        n = sum(nexts[ctx].values())
+        row = {a: k for a, k in nexts[ctx].items() if k >= suffix_tree.ENTRY}
+        if n < suffix_tree.MIN_SEEN or not row:
+            continue
+        up = {a: p(ctx[1:], a) for a in row}
+        left = n - sum(row.values())
+        gain = sum(k * math.log(k / n / up[a]) for a, k in row.items()) + (left * math.log(left / n / (1 - sum(up.values()))) if left else 0)
+        if gain >= len(row) / 2 * math.log(n):
+            states[ctx] = row, n, left + len(row) * suffix_tree.PARENT
+    return states, p
+
+
+def test_tokens_are_priced_in_their_contexts(spark, sf_dir, plain):
+    """The query's scores from contexts of two tokens up; known tokens too depend on what stands before them."""
+    tok = [(i, [*(w.encode() for w in brute.words(t)), None]) for i, t in plain]
+    train = [ws for i, ws in tok if not brute.held(i, 10)]
+    c = Counter(w for ws in train for w in ws)
+    n, once = sum(c.values()), sum(x == 1 for x in c.values())
+    _, _, price = plain_tree(dict.fromkeys(c, 1))
+    new = once / (n + 1)
+    root = {w: (1 - new) * c[w] / n + new * 10 ** price(w) for w in {w for _, ws in tok for w in ws}}
+    states, p = plain_contexts(train, root.__getitem__, "begin", 2)
+    assert {len(ctx) for ctx in states} == {1, 2} and any(ctx[0] == "begin" for ctx in states)
+    for ctx in list(states)[:: len(states) // 20]:
+        assert sum(p(ctx, a) for a in c) + p(ctx, next(w for w in root if not c[w])) / root[next(w for w in root if not c[w])] * (1 - sum(root[a] for a in c)) == pytest.approx(1)
+    got = {r.doc_id: r for r in queries.op2_suffix_tree_score(spark, sf_dir).collect()}
+    far = 0
+    for i, ws in tok:
+        x = ["begin", *ws]
+        want = sum(math.log10(p(tuple(x[max(0, k - 2) : k]), x[k])) for k in range(1, len(x)))
+        assert got[i].score == pytest.approx(want, rel=1e-3)
+        far += abs(got[i].score - want) > 1e-7 * len(ws)
+    # A gain may lie on the line to the last digit, so single states can differ.
+    assert far <= len(tok) // 10
+    flat = {i: sum(math.log10(root[w]) for w in ws) for i, ws in tok}
+    known = [r for r in got.values() if r.n_known == r.n_tokens > 20]
+    assert sum(r.score for r in known) > 0.95 * sum(flat[r.doc_id] for r in known)
+    held = [r for r in got.values() if r.held_out]
+    assert held and sum(r.score for r in held) > sum(flat[r.doc_id] for r in held)
+
+
+def test_order_of_words_counts(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "bdgklmnp" for b in ("ar", "el", "is", "on", "ut")]
+    after = {w: rng.sample(words, 2) for w in words}
+    rows = []
+    for i in range(300):
+        t = [rng.choice(words)]
+        while len(t) < 40:
+            t.append(rng.choice(after[t[-1]]))
+        rows.append((i, " ".join(t)))
+        rows.append((i + 1000, " ".join(rng.sample(t, len(t)))) if brute.held(i + 1000, 10) else (i + 2000, rows[-1][1]))
+    got = suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), suffix_tree.WORDS).where("held_out").collect()
+    right, mixed = ([r.score / r.n_tokens for r in got if (1000 <= r.doc_id < 2000) == m] for m in (False, True))
+    assert len(right) > 10 and len(mixed) > 10 and min(right) > max(mixed) + 0.5
+
+
+def test_contexts_by_parts(small, edge, empty, monkeypatch):
+    """All prices in dealt parts, none by broadcast; rows without an id and with one id are scored each."""
+    want = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for d in (small, edge) for r in suffix_tree.scored(d, 2).collect()))
+    assert suffix_tree.scored(empty, 2).collect() == []
+    monkeypatch.setattr(suffix_tree, "LEAST_WORD", 0.9)
+    monkeypatch.setattr(suffix_tree, "PART", 50)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for d in (small, edge) for r in suffix_tree.scored(d, 2).collect()))
+    assert len(got) == small.count() + len(EDGE) and np.allclose(np.array(got, float), np.array(want, float), rtol=1e-9)
+
+
 def test_suffix_tree_edges(edge, empty):
     got = {r.doc_id: r for r in suffix_tree.scored(edge).collect()}
     assert got[1].n_tokens == got[2].n_tokens == got[3].n_tokens == 1 and got[5].n_tokens == 40_001 and not got[None].held_out
