@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm import tokens
-from folio.llm.base import shuffle_parts, stage, unstage
+from folio.llm.base import release, shuffle_parts, stage
 
 K, WINDOW = 6, 8
 MIN_WORDS = 50
@@ -371,10 +371,12 @@ def reported(docs: DataFrame, matches: DataFrame) -> tuple[DataFrame, list[DataF
     n = shuffle_parts(docs.sparkSession)
     matches = matches.repartition(n, *KEYS).sortWithinPartitions(*KEYS, "diagonal", "pos")
     found = stage(matches.mapInArrow(chain_task, CHAIN).distinct().withColumn("chain", F.monotonically_increasing_id()), "chains")
+    release()
     sides = found.select("chain", F.lit(0).alias("side"), "doc_id", "mark", "start", "stop").union(found.select("chain", F.lit(1), "first_id", "first_mark", "first_start", "first_stop"))
     # Merge join at every size: the chains grow with the documents. Texts leave the join sorted by their names.
     one = docs.join(sides.hint("merge"), ["doc_id", "mark"]).select("chain", "side", "start", "stop", "text")
     words = stage(one.mapInArrow(slice_task, "chain long, side int, low int, words array<int>"), "chain-words")
+    release()
     own = words.where("side = 0").select("chain", "low", F.col("words").alias("own_words"))
     other = words.where("side = 1").select("chain", F.col("low").alias("first_low"), F.col("words").alias("other_words"))
     spans = found.select("chain", "parts")
@@ -483,15 +485,18 @@ def repeated(docs: DataFrame) -> DataFrame:
     # Seeds are taken twice rather than written: they are more than the texts.
     seeds = docs.mapInArrow(seed_task, "seed long, doc_id long, spot long, lead boolean")
     firsts = stage(first_places(seeds), "seed-firsts")
+    release()
     hits = stage(seeds.drop("lead").join(firsts, "seed").select("doc_id", "spot", "first_id", "first_spot"), "seed-hits")
-    unstage(firsts)
+    # Each step's tables and shuffle files go before the next writes its own.
+    release(firsts)
     found, used = reported(docs, matched(hits, MIN_WORDS))
     done = stage(found, "passages")
+    release(*used)
     matches, grams = long_matches(docs, hits, done)
+    release(hits)
     more, also = reported(docs, matches)
     every = stage(done.union(more).distinct(), "all-passages")
-    for table in (*used, *also, grams, hits, done):
-        unstage(table)
+    release(*also, grams, done)
     own = (F.col("doc_id") == F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
     # Grown towards each other, two places of one text may come to overlap; that is one run, not a repeat of MIN_WORDS words.
     apart = ~own | (F.col("start") - F.col("first_start") >= MIN_WORDS)

@@ -350,6 +350,28 @@ def test_suffix_tree_edges(edge, empty):
     assert suffix_tree.scored(empty).collect() == []
 
 
+def test_shuffle_files_go_when_their_step_is_done(spark):
+    """release() leaves Spark none of the shuffle files of written tables."""
+    import gc
+    from pathlib import Path
+
+    jvm = spark.sparkContext._jvm
+    root = Path(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    size = lambda: sum(f.stat().st_size for f in root.rglob("shuffle_*.data") if f.exists())
+    gc.collect()
+    base.release()
+    time.sleep(2)
+    before = size()
+    table = base.stage(spark.range(1_000_000).repartition(8, F.xxhash64("id")), "released")
+    written = size()
+    base.release(table)
+    for _ in range(50):
+        if size() <= before + (written - before) // 10:
+            break
+        time.sleep(0.2)
+    assert written > before + 1_000_000 and size() <= before + (written - before) // 10
+
+
 # 3 near copies
 
 
