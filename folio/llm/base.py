@@ -58,7 +58,8 @@ def unstage(df: DataFrame) -> None:
 def release(*tables: DataFrame) -> None:
     """Deletes staged tables, and lets Spark delete the shuffle files of what is done.
 
-    Spark keeps those until the driver's JVM has collected what named them, which a heap with room puts off."""
+    Spark keeps those until the driver's JVM has collected what named them, which a heap with room puts off. Listeners may
+    still hold the last query, whose files then go with a later call."""
     for table in tables:
         unstage(table)
     SparkSession.active()._jvm.System.gc()

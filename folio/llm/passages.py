@@ -456,20 +456,22 @@ def matched(hits: DataFrame, least: int) -> DataFrame:
 def long_matches(docs: DataFrame, hits: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matches of MIN_WORDS words that the passages in done don't cover, with the first document that has all of them, and the staged grams.
 
-    hits are the places of all seeds that stand in several. In a repeated run of MIN_WORDS words
+    hits are the staged places of all seeds that stand in several, deleted here. In a repeated run of MIN_WORDS words
     they lie at most WINDOW apart, so only such runs are searched."""
     name = ["doc_id", "mark"]
-    hits = hits.select("doc_id", mark("spot").alias("mark"), place("spot").alias("pos"))
+    seeds = hits.select("doc_id", mark("spot").alias("mark"), place("spot").alias("pos"))
     by = W.partitionBy(*name).orderBy("pos")
     new = F.when(F.col("pos") - F.lag("pos").over(by) <= WINDOW, 0).otherwise(1)
-    runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    runs = seeds.withColumn("new", new).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     runs = runs.groupBy(*name, "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where(F.col("b") - F.col("a") >= MIN_WORDS - K - 2 * (WINDOW - 1))
     span = F.struct(F.greatest(F.col("a") - (WINDOW - 1), F.lit(0)).cast("long").alias("low"), (F.col("b") + K + WINDOW - 1).cast("long").alias("high"))
-    runs = runs.groupBy(*name).agg(F.collect_list(span).alias("runs"))
+    runs = stage(runs.groupBy(*name).agg(F.collect_list(span).alias("runs")), "seed-runs")
+    release(hits)  # before the grams are written, which need as much room
     covered = done.groupBy(*name).agg(F.collect_list(F.struct(F.col("start").alias("low"), (F.col("start") + F.col("words")).alias("high"))).alias("covered"))
     # Merge joins at every size, as above.
     texts = docs.join(runs.join(covered.hint("merge"), name, "left").hint("merge"), name).select(*name, "text", "runs", "covered")
     grams = stage(texts.mapInArrow(long_task, "seed long, doc_id long, spot long, open boolean"), "long-grams")
+    release(runs)
     wanted = grams.groupBy("seed").agg(F.max("open").alias("any_open"), F.min("doc_id").alias("first_id"), F.min_by("spot", F.struct("doc_id", "spot")).alias("first_spot"), F.count("*").alias("n"))
     found = grams.where("open").join(wanted.where("any_open AND n > 1").select("seed", "first_id", "first_spot").hint("merge"), "seed")
     found = matched(found, MIN_WORDS).repartition(shuffle_parts(docs.sparkSession), *KEYS).sortWithinPartitions(*KEYS, "pos")
@@ -493,7 +495,6 @@ def repeated(docs: DataFrame) -> DataFrame:
     done = stage(found, "passages")
     release(*used)
     matches, grams = long_matches(docs, hits, done)
-    release(hits)
     more, also = reported(docs, matches)
     every = stage(done.union(more).distinct(), "all-passages")
     release(*also, grams, done)

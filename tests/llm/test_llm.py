@@ -369,6 +369,7 @@ def test_shuffle_files_go_when_their_step_is_done(spark):
         if size() <= before + (written - before) // 10:
             break
         time.sleep(0.2)
+        base.release()
     assert written > before + 1_000_000 and size() <= before + (written - before) // 10
 
 
