@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.functions.text import collapse, strip, u
+from folio.functions.text import collapse, once, strip, u
 
 # Section keys in order of precedence, and the patterns that name them in Russian, Kazakh and English.
 SECTION_PATTERNS: dict[str, tuple[str, ...]] = {
@@ -36,11 +36,14 @@ def normalized(c: Column) -> Column:
 
 def section_key(normal: Column) -> Column:
     """The first key, in order, one of whose patterns is found in a normalized heading without its number; else null."""
-    bare = strip(F.regexp_replace(normal, u(NUMBER_PREFIX), ""))
-    out = F.lit(None).cast("string")
-    for key, patterns in reversed(SECTION_PATTERNS.items()):
-        out = F.when(bare.rlike(u("|".join(f"(?:{p})" for p in patterns))), key).otherwise(out)
-    return out
+
+    def named(bare: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for key, patterns in reversed(SECTION_PATTERNS.items()):
+            out = F.when(bare.rlike(u("|".join(f"(?:{p})" for p in patterns))), key).otherwise(out)
+        return out
+
+    return once(strip(F.regexp_replace(normal, u(NUMBER_PREFIX), "")), named)
 
 
 def numbering(raw: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def u(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that f names several times and that is computed once: it is bound as a variable."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, u(rf"^{WS}+|{WS}+$"), "")
 
@@ -40,8 +47,8 @@ def word_count(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines at any line end; a final line end opens no further line."""
-    parts = F.split(F.coalesce(c, F.lit("")), LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return once(F.split(F.coalesce(c, F.lit("")), LINE_ENDS, -1), whole)
 
 
 def is_upper(c: Column) -> Column:
@@ -71,8 +78,7 @@ def split_message(c: Column, limit: int = 3500) -> Column:
         starts = F.filter(F.when(F.exists(even, parts_pair), folded).otherwise(even), lambda s: s < n)
         return F.transform(starts, lambda s: F.decode(F.substring(units, 2 * s + 1, 2 * (after(s) - s)), "utf-16le"))
 
-    # Bound as a variable, so that it is encoded once.
-    return F.element_at(F.transform(F.array(F.encode(c, "utf-16le")), cut), 1)
+    return once(F.encode(c, "utf-16le"), cut)
 
 
 def sample_list(c: Column, most: int = 10) -> Column:

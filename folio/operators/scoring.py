@@ -62,10 +62,14 @@ def penalties(findings: DataFrame, presets: DataFrame) -> DataFrame:
 
 
 def category_scores(docs: DataFrame, findings: DataFrame, presets: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
-    """One row for each document and category; docs: doc_id, preset_id; coverage: doc_id, category, coverage of reviewed ones."""
-    pen = penalties(findings, presets).groupBy("doc_id", "preset_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("criterion", "fraction", "label"))).alias("each"))
+    """One row for each document and category; docs: doc_id, preset_id; coverage: doc_id, category, coverage of reviewed ones.
+
+    A document's penalties are few, one for each criterion. They are joined by doc_id alone, which tables bucketed by it serve without an exchange."""
+    pen = penalties(findings, presets).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("preset_id", "bucket", "criterion", "fraction", "label"))).alias("all"))
     weights = presets.select(F.col("id").alias("preset_id"), F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(f"scoring.{c}").cast("double").alias("max_points")) for c in SCORED))).alias("w")).select("preset_id", "w.*")
-    rows = docs.select("doc_id", "preset_id").join(F.broadcast(weights), "preset_id").join(pen.withColumnRenamed("bucket", "category"), ["doc_id", "preset_id", "category"], "left")
+    rows = docs.select("doc_id", "preset_id").join(pen, "doc_id", "left").join(F.broadcast(weights), "preset_id")
+    own = F.filter("all", lambda x: (x["preset_id"] == F.col("preset_id")) & (x["bucket"] == F.col("category")))
+    rows = rows.withColumn("each", F.transform(own, lambda x: F.struct(x["criterion"].alias("criterion"), x["fraction"].alias("fraction"), x["label"].alias("label")))).drop("all")
     if coverage is None:
         rows = rows.withColumn("coverage", F.when(F.col("category").isin(*REVIEWED), 0.0).otherwise(1.0))
     else:

@@ -27,7 +27,8 @@ def marked(paragraphs: DataFrame) -> DataFrame:
 
 def placed(paragraphs: DataFrame) -> DataFrame:
     """marked() with the document's first heading and first references heading, is_body, and the section of each paragraph."""
-    doc, order = W.partitionBy("doc_id"), W.partitionBy("doc_id").orderBy("idx")
+    order = W.partitionBy("doc_id").orderBy("idx")
+    doc = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # in this order too, so that one sort serves all
     p = marked(paragraphs)
     p = p.withColumn("first_heading", F.coalesce(F.min(F.when(F.col("is_heading"), F.col("idx"))).over(doc), F.lit(0)))
     p = p.withColumn("references_at", F.min(F.when(F.col("section_key") == "references", F.col("idx"))).over(doc))
@@ -85,6 +86,15 @@ def font_use(runs: DataFrame, by: str = "doc_id") -> DataFrame:
     return use.select(by, "name", "size", "chars", share.alias("share"), rank.alias("rank"))
 
 
+def fonts_used(runs: DataFrame) -> DataFrame:
+    """doc_id and use: a document's fonts (rank, name, size, chars, share) as font_use() has them, in the order of their rank."""
+    place = F.shiftleft(F.col("idx").cast("long"), 32) + F.col("pos")
+    each = runs.groupBy("doc_id", "name", "size").agg(F.sum("chars").alias("chars"), F.min(place).alias("seen"))
+    d = each.groupBy("doc_id").agg(F.sum("chars").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("chars")).alias("order"), "seen", "name", "size", "chars"))).alias("fonts"))
+    share = lambda x: F.bround(x["chars"] * 100.0 / F.greatest(F.col("total"), F.lit(1)), 1)
+    return d.select("doc_id", F.transform("fonts", lambda x, i: F.struct((i + 1).alias("rank"), x["name"].alias("name"), x["size"].alias("size"), x["chars"].alias("chars"), share(x).alias("share"))).alias("use"))
+
+
 def style_chain(styles: DataFrame, most: int = 16) -> DataFrame:
     """Ancestors of each style: (style_id, depth, ancestor), itself at depth 0; cycles end where they return.
 

@@ -615,7 +615,9 @@ h AS (SELECT *, CASE text WHEN 'Introduction' THEN 'introduction' WHEN 'Conclusi
 
 
 def _papers(spark, d, **changed) -> rules.Corpus:
-    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("n"))
+    # Dealt by document before lines become paragraphs: the grouping and all windows and groups by doc_id after it need no exchange.
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").repartition("l_orderkey")
+    li = li.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("n"))
     li = li.agg((F.min("l_partkey") % 5).alias("k"), (F.min("l_suppkey") % 3).cast("int").alias("level"), F.min("l_quantity").cast("int").alias("q"), F.min("l_returnflag").alias("f"))
     body = F.concat(F.repeat(F.lit("word "), F.col("q")), (2 * F.col("n") + 1).cast("string"))
     run = lambda text, bold: F.array(F.struct(text.alias("text"), F.lit("Times New Roman").alias("font_name"), F.lit(14.0).alias("font_size_pt"), bold.alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("underline"), F.lit(None).cast("string").alias("color_rgb")))
@@ -627,7 +629,7 @@ def _papers(spark, d, **changed) -> rules.Corpus:
             F.struct((2 * F.col("n") + 1).alias("idx"), body.alias("text"), none.cast("int").alias("outline_level"), F.when(F.col("q") % 5 == 0, 1.0).otherwise(1.5).alias("line_spacing"), F.lit(False).alias("page_break_before"), run(body, F.lit(False)).alias("runs")),
         )
     ).alias("p")
-    return H.corpus(spark, li.select("doc_id", each).select("doc_id", "p.*"), **changed)
+    return H.corpus(spark, li.select("doc_id", each).select("doc_id", "p.*"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")), **changed)
 
 
 @query(f"""WITH {_PAPER}, o AS (SELECT *, lag(lvl, 1, 0) OVER w AS above, row_number() OVER (PARTITION BY doc_id, key ORDER BY idx) AS nth FROM h WHERE head WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
